@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailgrain.llm.ngram_join import near_duplicates
+from trailgrain.llm.packing import pack
+from trailgrain.llm.quality_classifier import classify
+from trailgrain.llm.quality_rules import quality_rules
 from trailgrain.llm.substring_dedup import substring_deduplicate
 from trailgrain.llm.suffix_dedup import suffix_deduplicate
 
@@ -30,8 +34,23 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+    return quality_rules(table(spark, sf_dir, "documents")).select(*columns)
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_suffix_dedup, op3_substring_dedup)}
+    return {f.__name__: f for f in (
+        op1_ngram_join, op2_suffix_dedup, op3_substring_dedup, op4_quality_classifier, op5_quality_rules, op10_packing,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
