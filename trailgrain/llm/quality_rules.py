@@ -7,24 +7,28 @@ kept if its posterior probability of being good reaches the threshold, and if th
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailgrain.llm.shared import stored
 
-#: name: (bad where, good where, else abstain), over the columns that `measures` gives
+#: name: (bad where, good where; it abstains elsewhere), over the columns that `measures` gives
 RULES = {
-    "symbols": ("100 * n_symbols > 5 * word_chars", "100 * n_symbols <= word_chars"),
-    "repeats": ("100 * n_repeat_words > 10 * n_words", "100 * n_repeat_words <= 2 * n_words"),
-    "lines": ("n_lines >= 4 and 100 * n_dup_lines > 30 * n_lines", "n_lines >= 2 and n_dup_lines = 0"),
-    "capitals": ("100 * n_capitals > 40 * word_chars", "100 * n_capitals <= 15 * word_chars"),
-    "shouts": ("100 * n_shouts > 20 * n_words", "100 * n_shouts <= 2 * n_words"),
-    "variety": ("n_words >= 20 and 100 * n_distinct < 25 * n_words", "n_words >= 20 and 100 * n_distinct >= 35 * n_words"),
-    "length": ("n_words < 15", "n_words >= 40"),
+    "symbols": ("100 * n_symbols > 5 * word_chars", "false"),
+    "capitals": ("100 * n_capitals > 40 * word_chars", "false"),
+    "shouts": ("100 * n_shouts > 20 * n_words", "false"),
+    "repeats": ("100 * n_repeat_words > 10 * n_words", "false"),
+    "lines": ("n_lines >= 4 and 100 * n_dup_lines > 30 * n_lines", "false"),
+    "variety": ("n_words >= 20 and 100 * n_distinct < 25 * n_words", "false"),
+    "tidy": ("false", "n_words >= 30 and 100 * n_symbols <= word_chars and 100 * n_capitals <= 15 * word_chars and 100 * n_shouts <= 2 * n_words"),
+    "varied": ("false", "100 * n_distinct >= 35 * n_words and 100 * n_symbols <= word_chars and 100 * n_shouts <= 2 * n_words"),
+    "own_lines": ("false", "n_lines >= 2 and n_dup_lines = 0 and 100 * n_symbols <= word_chars and 100 * n_shouts <= 2 * n_words"),
 }
 ROUNDS = 30
-RIGHT, WEIGHT = 0.9, 200.0  # what is assumed of each rule beforehand, as that many votes
-PRIOR = 0.85
+RIGHT, WEIGHT = 0.8, 200.0  # the accuracy assumed of each rule beforehand, as that many votes
+PRIOR = 0.5  # without votes a text may be good or bad; it is the rules that tell
 
 
 def measures(text: Column) -> list[Column]:
@@ -76,44 +80,30 @@ def quality_rules(documents: DataFrame, threshold: float = 0.5) -> DataFrame:
     )
     votes = F.array(*[F.expr(f"case when {bad} then -1 when {good} then 1 else 0 end") for bad, good in RULES.values()])
     voted = stored(counted.withColumn("votes", votes), "votes")
-    prior, rules = learned(voted.select("votes"))
-    score = _logit(prior)
-    for j, (good, bad) in enumerate(rules):
-        vote = F.col("votes")[j]
-        score = score + F.when(vote == 1, _log(good / (1 - bad))).when(vote == -1, _log((1 - good) / bad)).otherwise(0.0)
+    score = F.lit(0.0) + F.log(F.lit(PRIOR / (1 - PRIOR)))
+    for j, right in enumerate(learned(voted.select("votes"))):
+        score = score + F.col("votes")[j] * F.log(F.lit(right / (1 - right)))
     failed = F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words")
     out = voted.select("*", failed.alias("base_failed"), (1 / (1 + F.exp(-score))).alias("posterior"))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
 
 
-def learned(voted: DataFrame) -> tuple[float, list[tuple[float, float]]]:
-    """Share of good documents, and each rule's rates of right votes on good and on bad ones, by EM.
+def learned(voted: DataFrame) -> list[float]:
+    """Each rule's accuracy where it votes, by expectation-maximisation.
 
-    One expression folds the rounds over the array of vote patterns with their counts, at most 3 ** rules of them.
+    One expression folds the rounds over the array of vote patterns with their counts, at most 3 ** rules of them. The
+    odds of a text being good are the prior's times accuracy / (1 - accuracy) for each good vote, divided by it for each bad one.
     """
     patterns = voted.groupBy("votes").agg(F.count("*").cast("double").alias("c"))
     patterns = patterns.agg(F.sort_array(F.collect_list(F.struct(F.col("votes").alias("v"), "c"))).alias("p"))
     n = len(RULES)
     step = f"""
       transform(array(transform(p, x -> named_struct('v', x.v, 'c', x.c, 'q',
-        1 / (1 + exp(-(ln(s.prior / (1 - s.prior)) + aggregate(
-          zip_with(x.v, s.rules, (v, r) -> case v when 1 then ln(r.good / (1 - r.bad)) when -1 then ln((1 - r.good) / r.bad) else 0D end),
-          0D, (a, y) -> a + y))))))), m -> named_struct(
-        'prior', (aggregate(m, 0D, (a, x) -> a + x.c * x.q) + {PRIOR * WEIGHT}D) / (aggregate(m, 0D, (a, x) -> a + x.c) + {WEIGHT}D),
-        'rules', transform(sequence(0, {n - 1}), j -> named_struct(
-          'good', (aggregate(m, 0D, (a, x) -> a + if(x.v[j] = 1, x.c * x.q, 0D)) + {RIGHT * WEIGHT}D)
-                / (aggregate(m, 0D, (a, x) -> a + if(x.v[j] <> 0, x.c * x.q, 0D)) + {WEIGHT}D),
-          'bad', (aggregate(m, 0D, (a, x) -> a + if(x.v[j] = -1, x.c * (1 - x.q), 0D)) + {RIGHT * WEIGHT}D)
-               / (aggregate(m, 0D, (a, x) -> a + if(x.v[j] <> 0, x.c * (1 - x.q), 0D)) + {WEIGHT}D)))))[0]
+        1 / (1 + exp(-aggregate(zip_with(x.v, s, (v, r) -> v * ln(r / (1 - r))), {math.log(PRIOR / (1 - PRIOR))}D, (a, y) -> a + y)))))), m ->
+        transform(sequence(0, {n - 1}), j ->
+          (aggregate(m, 0D, (a, x) -> a + x.c * case x.v[j] when 1 then x.q when -1 then 1 - x.q else 0D end) + {RIGHT * WEIGHT}D)
+          / (aggregate(m, 0D, (a, x) -> a + x.c * abs(x.v[j])) + {WEIGHT}D)))[0]
     """
-    start = f"named_struct('prior', {PRIOR}D, 'rules', transform(sequence(1, {n}), j -> named_struct('good', {RIGHT}D, 'bad', {RIGHT}D)))"
-    row = patterns.select(F.expr(f"aggregate(sequence(1, {ROUNDS}), {start}, (s, t) -> {step})").alias("s")).first().s
-    return round(row.prior, 6), [(round(r.good, 6), round(r.bad, 6)) for r in row.rules]
-
-
-def _log(x: float) -> Column:
-    return F.log(F.lit(x))
-
-
-def _logit(p: float) -> Column:
-    return F.log(F.lit(p / (1 - p)))
+    start = f"transform(sequence(1, {n}), j -> {RIGHT}D)"
+    row = patterns.select(F.expr(f"aggregate(sequence(1, {ROUNDS}), {start}, (s, t) -> {step})").alias("s")).first()
+    return [round(x, 6) for x in row.s]
