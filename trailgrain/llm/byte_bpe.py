@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailgrain.llm.shared import small_batches
+
 CACHE = 600_000
 BATCH = 10_000
 CHARACTERS = 1_500_000  # of texts that are coded together
@@ -151,6 +153,7 @@ def byte_bpe(documents: DataFrame, path: str, pattern: str) -> DataFrame:
                 yield pa.record_batch([b.column("doc_id").slice(i, j - i), pa.array(ids, pa.string()), pa.array([x.count(",") + 1 if x else 0 for x in ids], pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["doc_id", "ids", "n_tokens", "decoded"])
                 i = j
 
+    small_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(code, "doc_id long, ids string, n_tokens long, decoded binary")
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailgrain.llm.shared import partitions
+from trailgrain.llm.shared import partitions, small_batches
 
 START, END = "<|im_start|>", "<|im_end|>"
 SEGMENT = 2_000_000  # characters after which a conversation goes on in another row
@@ -86,6 +86,7 @@ def format_conversations(conversations: DataFrame, path: str, learn_from: str =
     conversation of more than SEGMENT characters continues in further segments, so that a task holds one segment at most.
     Other columns are ignored; an empty table gives no rows.
     """
+    small_batches(conversations.sparkSession)
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailgrain.llm import arrays as A
-from trailgrain.llm.shared import partitions, stored
+from trailgrain.llm.shared import partitions, small_batches, stored
 
 POSITION = A.U((1 << 20) - 1)
 PIECE = np.dtype([("mini", "u8"), ("sk", "u8"), ("doc", "i8"), ("key", "i8"), ("start", "i4"), ("len", "i2"), ("many", "u1")])
@@ -230,6 +230,7 @@ def repeated(documents: DataFrame, units: Callable, window: int, gram: int, keep
 
 def keyed(documents: DataFrame) -> DataFrame:
     """doc_id, text, a key of both (rows that are equal in both are treated alike) and the block that the key names."""
+    small_batches(documents.sparkSession)
     blocks = 4 * partitions(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     return docs.withColumn("block", F.pmod("key", F.lit(blocks)).cast("int"))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailgrain.llm import arrays as A
+from trailgrain.llm.shared import small_batches
 
 BITS = 18
 PER_CLASS = 3000
@@ -130,6 +131,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, totals: tuple[int, int]) -> np.nd
 
 def train(documents: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> np.ndarray:
     """The fitted model, from at most per_class rows of each class."""
+    small_batches(documents.sparkSession)
     names = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).alias("y"), F.min(label).alias("y0"))
     names = names.where("y = y0 and crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0")
     totals = {r.y: r.c for r in names.groupBy("y").agg(F.count("*").alias("c")).collect()}

@@ -25,6 +25,11 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Bound the Arrow batches that go to Python by bytes, so that long texts do not make them large."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df to a new folder under the shared one and read it again, which cuts its lineage."""
     spark = df.sparkSession
@@ -57,32 +62,28 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star steps; a step is a grouped minimum and a join, so that no group is held in
     one task, and each round's links are stored. Nodes without a link do not appear. Null ends are ignored.
     """
-    spark = links.sparkSession
     now = stored(
         links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links"
     )
-    mark = _mark(now)
     for _ in range(rounds):
-        if mark[0] == 0:
+        if _stars(now):
             break
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         near = large.join(small, "a")
-        new = stored(
-            near.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).distinct(), "links"
-        )
-        after = _mark(new)
+        new = near.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).distinct()
+        new = stored(new, "links")
         dropped(now)
         now = new
-        if after == mark:
-            break
-        mark = after
-    nodes = now.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
-    roots = now.select(F.col("b").alias("node")).distinct().join(nodes.select("node"), "node", "left_anti")
-    return nodes.union(roots.select("node", F.col("node").alias("component")))
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
 
 
-def _mark(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("sum(cast(b as decimal(38, 0)))")).first())
+def _stars(links: DataFrame) -> bool:
+    """Whether each node has one smaller node at most, which has none itself: then the links name the components."""
+    ends = links.select(F.col("a").alias("n"), F.lit(1).alias("child"), F.lit(0).alias("parent")).union(links.select("b", F.lit(0), F.lit(1)))
+    state = ends.groupBy("n").agg(F.sum("child").alias("c"), F.max("parent").alias("p"))
+    return state.where("c > 1 or (c > 0 and p > 0)").limit(1).count() == 0
