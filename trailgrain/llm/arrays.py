@@ -233,3 +233,21 @@ def common_prefixes(codes: np.ndarray, sa: np.ndarray, cap: int, ranks: tuple |
         if not go.all():
             at, stop, held, last = at[go], stop[go], held[go], last[go]
     return lcp
+
+
+def spanning(left: np.ndarray, right: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Links (node, root) with the same connected groups as the pairs (left[x], right[y])."""
+    nodes, at = np.unique(np.concatenate([left[x], right[y]]), return_inverse=True)
+    a, b = at[: len(x)], at[len(x) :]
+    label = np.arange(len(nodes))
+    while True:
+        new = label.copy()
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    moved = label != np.arange(len(nodes))
+    return np.stack([nodes[moved], nodes[label[moved]]], 1)

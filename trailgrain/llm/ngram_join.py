@@ -13,6 +13,7 @@ that share enough prefix shingles are verified. So no link that joins different
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -22,37 +23,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailgrain.llm import arrays as A
-from trailgrain.llm.shared import components, partitions, release, stored
+from trailgrain.llm.shared import components, partitions, release, small_batches, stored
 
-SKETCH_BITS, SKETCH_BLOCKS = 20, 256
+SKETCH_BITS, SKETCH_BLOCKS = 22, 1024
 CHOICES = (1, 2, 3, 4, 6, 8, 12, 16)
 POSTING = np.dtype([("tok", "u8"), ("doc", "i8"), ("n", "i4"), ("m", "i2")])
 FLUSH = 400_000
-STAR_ROUNDS = 4
+STAR_ROUNDS, FEW = 1, 4  # rounds of comparing with pivots, unless there are at most so many open pairs a posting
+HOT, TILE = 64, 1024  # documents of a shingle from which they are verified in tiles, and documents in one side of a tile
 
 
-def shingle_sets(data: np.ndarray, offs: np.ndarray, width: int) -> Iterator[np.ndarray]:
-    """For each row its sorted distinct shingle hashes; the words of a row with fewer than width words are one shingle."""
+def set_chunks(data: np.ndarray, offs: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For chunks of rows their sets of shingle hashes, each sorted, one after another, and the rows' offsets into them.
+
+    The words of a row with fewer than width words are one shingle.
+    """
     for i, j in A.row_chunks(offs):
-        part, rows = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
-        starts, ends, at = A.words(part, rows)
-        hashes = A.word_hashes(part, starts, ends, A.LOWER_CODE)
-        grams = A.gram_hashes(hashes, width)
-        for a, b in zip(at[:-1], at[1:], strict=True):
-            if b - a >= width:
-                yield np.unique(grams[a : b - width + 1])
-            elif b > a:
-                yield A.span_hashes(hashes[a:b], np.array([0]), np.array([b - a]))
-            else:
-                yield grams[:0]
-
-
-def set_name(s: np.ndarray) -> bytes:
-    """128 bits that name a set of shingles."""
-    pair = np.array([len(s), 0], np.uint64)
-    if len(s):
-        pair = np.array([np.add.reduce(A.mix(s)), np.bitwise_xor.reduce(A.mix(s * A.U(0x9E3779B97F4A7C15)))]) + A.U(len(s))
-    return pair.tobytes()
+        starts, ends, at = A.words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+        hashes = A.word_hashes(data[offs[i] : offs[j]], starts, ends, A.LOWER_CODE)
+        n_words = np.diff(at)
+        n = np.where(n_words >= width, n_words - width + 1, n_words > 0)
+        bounds = np.append(0, np.cumsum(n))
+        s = A.gram_hashes(hashes, width)[np.arange(bounds[-1]) + np.repeat(at[:-1] - bounds[:-1], n)]
+        short = np.flatnonzero((n_words > 0) & (n_words < width))
+        s[bounds[short]] = A.span_hashes(hashes, at[short], at[short + 1])
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            s[a:b].sort()
+        keep = np.ones(len(s), bool)
+        keep[1:] = s[1:] != s[:-1]
+        keep[bounds[:-1][n > 0]] = True
+        yield s[keep], np.append(0, np.cumsum(keep))[bounds]
+
+
+def shingle_sets(data: np.ndarray, offs: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """For each row its sorted distinct shingle hashes."""
+    for s, at in set_chunks(data, offs, width):
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            yield s[a:b]
+
+
+def set_names(s: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """128 bits that name each set of shingles: a sum and a sum of other hashes, with the size."""
+    sums = [np.append(A.U(0), np.cumsum(A.mix(x))) for x in (s, s * A.U(0x9E3779B97F4A7C15))]
+    pairs = np.stack([x[at[1:]] - x[at[:-1]] + np.diff(at).astype(np.uint64) for x in sums], 1)
+    data = pairs.tobytes()
+    return [data[k : k + 16] for k in range(0, len(data), 16)]
 
 
 def near_duplicates(documents: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
@@ -66,6 +81,7 @@ def near_duplicates(documents: DataFrame, percent: int = 80, width: int = 5) ->
     """
     if not 1 <= percent <= 100:
         raise ValueError("percent must be from 1 to 100")
+    small_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets, sketch = _sets(docs, width)
     nodes = sets.where("n > 0 and doc_id is not null").groupBy("name").agg(F.min("doc_id").alias("node"))
@@ -89,11 +105,10 @@ def _sets(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
         for b in batches:
             data, offs = A.text_bytes(b.column("text"))
             n, names = [], []
-            for s in shingle_sets(data, offs, width):
-                n.append(len(s)), names.append(set_name(s))
-                counts += np.bincount((s >> A.U(64 - SKETCH_BITS)).astype(np.int64), minlength=size).astype(np.uint32) if len(s) > 20_000 else 0
-                if len(s) <= 20_000:
-                    np.add.at(counts, (s >> A.U(64 - SKETCH_BITS)).astype(np.int64), 1)
+            for s, at in set_chunks(data, offs, width):
+                n += np.diff(at).tolist()
+                names += set_names(s, at)
+                np.add.at(counts, (s >> A.U(64 - SKETCH_BITS)).astype(np.int64), 1)
             yield pa.record_batch([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], ["doc_id", "n", "name", "block", "counts"])
         parts = np.split(counts, SKETCH_BLOCKS)
         k = [i for i, p in enumerate(parts) if p.any()]
@@ -120,23 +135,33 @@ def _classes(sketch: DataFrame) -> np.ndarray:
     for k, c in rows:
         counts[k * width : (k + 1) * width] = np.frombuffer(c, np.uint64)
     usual = np.median(counts)
-    floor = usual + 8 * math.sqrt(usual) + 8
+    floor = usual + 4 * math.sqrt(usual) + 4
     return np.where(counts > floor, np.log2(np.maximum(counts / floor, 1)) + 1, 0).astype(np.uint8)
 
 
 def prefix(s: np.ndarray, classes: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """The document's prefix in global order and how many shingles of it a partner must share."""
-    n = len(s)
+    """The document's prefix in global order and how many shingles of it a partner must share. classes: of its shingles."""
+    if classes.any():
+        order = np.lexsort((s, classes))
+        s, length, m = s[order], *_choice(len(s), percent, classes[order])
+    else:
+        length, m = _plain_choice(len(s), percent)
+    return s[:length], m
+
+
+def _choice(n: int, percent: int, classes: np.ndarray) -> tuple[int, int]:
+    """Length of the prefix and m that make the estimated cost least: postings, and candidates with their verification."""
     rest = n - -(-percent * n // 100)
-    cls = classes[(s >> A.U(64 - SKETCH_BITS)).astype(np.int64)]
-    if cls.any():
-        order = np.lexsort((s, cls))
-        s, cls = s[order], cls[order]
-    costs = np.cumsum(np.exp2(2.0 * cls))  # how many documents a shingle may bring, from its class
+    costs = np.cumsum(np.exp2(2.0 * classes))  # how many documents a shingle may bring, from its class
     sizes = np.array([m for m in CHOICES if rest + m <= n])
     brought = costs[rest + sizes - 1]
-    best = int(np.argmin(brought + brought / sizes * (4 + n / 64)))  # postings, and candidates with their verification
-    return s[: rest + sizes[best]], int(sizes[best])
+    best = int(np.argmin(brought + brought / sizes * (4 + n / 64)))
+    return rest + int(sizes[best]), int(sizes[best])
+
+
+@functools.lru_cache(100_000)
+def _plain_choice(n: int, percent: int) -> tuple[int, int]:
+    return _choice(n, percent, np.zeros(n))
 
 
 def _postings(docs: DataFrame, classes: np.ndarray, percent: int, width: int, sets: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -144,6 +169,12 @@ def _postings(docs: DataFrame, classes: np.ndarray, percent: int, width: int, se
     spark = docs.sparkSession
     blocks, shared = 4 * partitions(spark), spark.sparkContext.broadcast(classes)
 
+    def rows_of(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bytes]]:
+        for s, at in set_chunks(data, offs, width):
+            cls = shared.value[(s >> A.U(64 - SKETCH_BITS)).astype(np.int64)]
+            for a, b, name in zip(at[:-1].tolist(), at[1:].tolist(), set_names(s, at), strict=True):
+                yield s[a:b], cls[a:b], name
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[bytes] = set()
         held, size = [], 0
@@ -159,11 +190,11 @@ def _postings(docs: DataFrame, classes: np.ndarray, percent: int, width: int, se
 
         for b in batches:
             data, offs = A.text_bytes(b.column("text"))
-            for doc, s in zip(b.column("doc_id").to_pylist(), shingle_sets(data, offs, width), strict=True):
-                if doc is None or not len(s) or (name := set_name(s)) in known:
+            for doc, (s, cls, name) in zip(b.column("doc_id").to_pylist(), rows_of(data, offs), strict=True):
+                if doc is None or not len(s) or name in known:
                     continue
                 known.add(name)
-                tok, m = prefix(s, shared.value, percent)
+                tok, m = prefix(s, cls, percent)
                 p = np.zeros(len(tok), POSTING)
                 p["tok"], p["doc"], p["n"], p["m"] = tok, doc, len(s), m
                 held.append(p)
@@ -191,42 +222,83 @@ def _postings(docs: DataFrame, classes: np.ndarray, percent: int, width: int, se
 
 
 def _links(docs: DataFrame, postings: DataFrame, percent: int, width: int) -> DataFrame:
-    lists = stored(postings, "lists")
-    blocks = 4 * partitions(docs.sparkSession)
-    links = None
+    """Links that join what belongs together: with pivots, then within frequent shingles, then by shared prefixes."""
+    lists = stored(postings.withColumn("comp", F.col("doc")), "lists")
+    found: list[DataFrame] = []
+    before = None
     for turn in range(STAR_ROUNDS):
-        lists = _between(lists, links)
-        docs_, pairs = _open_pairs(lists)
-        if pairs <= 16 * docs_:
+        rows, pairs = _open_pairs(lists)
+        if pairs <= FEW * rows or (before and pairs > 0.8 * before):
             break
+        before = pairs
         pivots = lists.groupBy("tok").agg(F.min(F.struct(F.xxhash64("doc", F.lit(turn)), "doc")).alias("p")).select("tok", F.col("p.doc").alias("pivot"))
         star = lists.join(pivots, "tok").where("doc <> pivot")
         star = star.select(F.col("doc").alias("x"), F.col("pivot").alias("y")).groupBy("x", "y").agg(F.count("*").alias("c"))
         best = star.groupBy("x").agg(F.max(F.struct("c", "y")).alias("b")).select("x", F.col("b.y").alias("y"))
-        new = stored(_verified(docs, best, percent, width), "links")
-        links = new if links is None else links.union(new)
-    else:
-        lists = _between(lists, links)
+        found.append(stored(_verified(docs, best, percent, width), "links"))
+        lists = _between(lists, functools.reduce(DataFrame.union, found))
+    sizes = lists.groupBy("tok").agg(F.count("*").alias("c"), F.expr("bit_xor(xxhash64(doc))").alias("same"))
+    hot = sizes.where(F.col("c") >= HOT)
+    if not hot.isEmpty():
+        one = hot.groupBy("same", "c").agg(F.min("tok").alias("tok")).select("tok", "c")  # of shingles of the same documents one will do
+        found.append(stored(_verified_in_tiles(docs, lists.join(one, "tok"), percent, width), "links"))
+        lists = _between(lists.join(hot.select("tok"), "tok", "left_anti"), functools.reduce(DataFrame.union, found))
+    blocks = 4 * partitions(docs.sparkSession)
     packed = lists.select(F.pmod(F.xxhash64("tok"), F.lit(blocks)).alias("block"), "tok", "doc", "n", "m", "comp")
 
     def cross(t: pa.Table) -> pa.Table:
         return _cross_pairs(*(t.column(c).to_numpy() for c in ("tok", "doc", "n", "m", "comp")), percent)
 
+    # Pairs that share a hot shingle are verified already; the others have all that they share in these lists.
     pairs = packed.groupBy("block").applyInArrow(cross, "x long, y long, c int, need int")
     pairs = pairs.groupBy("x", "y").agg(F.sum("c").alias("c"), F.max("need").alias("need")).where("c >= need").select("x", "y")
-    last = stored(_verified(docs, stored(pairs, "pairs"), percent, width), "links")
-    return last if links is None else links.union(last)
+    found.append(stored(_verified(docs, stored(pairs, "pairs"), percent, width), "links"))
+    return functools.reduce(DataFrame.union, found)
+
+
+def _verified_in_tiles(docs: DataFrame, lists: DataFrame, percent: int, width: int) -> DataFrame:
+    """Links between documents of one frequent shingle, tile by tile; only links that join groups are returned."""
+    parts = F.ceil(F.col("c") / TILE).cast("int")
+    rows = lists.select("tok", "doc", "comp", parts.alias("parts")).withColumn("part", F.pmod(F.xxhash64("doc"), "parts").cast("int"))
+    tiles = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("tok", "doc", "comp", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("doc"), "text")
+
+    def verify(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        doc, comp, part = (t.column(c).to_numpy() for c in ("doc", "comp", "part"))
+        sets = [s for b in t.select(["text"]).to_batches() for s in shingle_sets(*A.text_bytes(b.column("text")), width)]
+        sizes = np.array([len(s) for s in sets])
+        names, column = np.unique(np.concatenate(sets), return_inverse=True)
+        row = np.repeat(np.arange(len(sets)), sizes)
+        shared = np.bincount(column, minlength=len(names)) > 1
+        number = np.cumsum(shared) - 1
+        row, column = row[shared[column]], number[column[shared[column]]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        step = 2048
+        for first in range(0, int(shared.sum()), step):
+            a, b = np.searchsorted(column, [first, first + step])
+            m = np.zeros((len(sets), step), np.float32)
+            m[row[a:b], column[a:b] - first] = 1
+            both += m @ m.T
+        union = sizes[:, None] + sizes[None, :] - both
+        hit = (100 * both >= percent * union) & (comp[:, None] != comp[None, :]) & (both > 0)
+        if part.min() != part.max():
+            hit &= part[:, None] != part[None, :]
+        links = A.spanning(doc, doc, *np.nonzero(hit))
+        return pa.table({"a": pa.array(links[:, 0].copy(), pa.int64()), "b": pa.array(links[:, 1].copy(), pa.int64())})
+
+    release(docs.sparkSession)
+    return tiles.join(texts, "doc").select("tok", "i", "j", "doc", "comp", "part", "text").groupBy("tok", "i", "j").applyInArrow(verify, "a long, b long")
 
 
-def _between(lists: DataFrame, links: DataFrame | None) -> DataFrame:
+def _between(lists: DataFrame, links: DataFrame) -> DataFrame:
     """Stored rows of those shingles whose documents are in more than one group so far."""
-    lists = lists.select("tok", "doc", "n", "m")
-    if links is None:
-        return stored(lists.withColumn("comp", F.col("doc")), "lists")
     groups = components(links).withColumnRenamed("node", "doc").withColumnRenamed("component", "comp")
-    lists = stored(lists.join(groups, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")), "lists")
-    several = lists.groupBy("tok").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("tok")
-    return stored(lists.join(several, "tok", "left_semi"), "lists")
+    now = lists.select("tok", "doc", "n", "m").join(groups, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+    several = now.groupBy("tok").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("tok")
+    return stored(now.join(several, "tok", "left_semi"), "lists")
 
 
 def _open_pairs(lists: DataFrame) -> tuple[int, int]:
@@ -279,9 +351,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, percent: int, width: int) -> Da
     """Of the pairs (x, y) those whose whole sets reach the threshold, as links (a, b)."""
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [list(shingle_sets(*A.text_bytes(b.column(c)), width)) for c in ("tx", "ty")]
             keep = []
-            for s, t in zip(*sets, strict=True):
+            for s, t in zip(*(shingle_sets(*A.text_bytes(b.column(c)), width) for c in ("tx", "ty")), strict=True):
                 both = len(np.intersect1d(s, t, assume_unique=True)) if 100 * min(len(s), len(t)) >= percent * max(len(s), len(t)) else 0
                 keep.append(both > 0 and 100 * both >= percent * (len(s) + len(t) - both))
             kept = pa.array(keep, pa.bool_())

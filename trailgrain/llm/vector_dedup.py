@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailgrain.llm.shared import components, stored
+from trailgrain.llm.arrays import spanning
+from trailgrain.llm.shared import components, small_batches, stored
 
 SAMPLE, PART, CELL = 8192, 4096, 48
 ENTRY = "key binary, vec_id long"
@@ -84,7 +85,7 @@ def calibrate(v: np.ndarray, books: tuple[np.ndarray, np.ndarray], threshold: fl
     r, w = np.concatenate(ranks), np.concatenate(weights)
     order = np.argsort(r)
     share = np.cumsum(w[order]) / w.sum()
-    return int(max(4, r[order][np.searchsorted(share, recall)]))
+    return int(max(4, r[order][min(np.searchsorted(share, recall), len(r) - 1)]))
 
 
 def near_vectors(embeddings: DataFrame, threshold: float = 0.9, recall: float = 0.99, sample: int = SAMPLE, part: int = PART) -> DataFrame:
@@ -97,6 +98,7 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.9, recall: float =
     (null) and are not kept. Labels and other columns are ignored; an empty table gives no rows.
     """
     spark = embeddings.sparkSession
+    small_batches(embeddings.sparkSession)
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +201,7 @@ def compare(t: pa.Table, threshold: float) -> pa.Table:
         goes = home[part[x]] + base * y.astype(np.int64)
         back = np.isin(goes, known) | (home[part[x]] == cell)
         add += np.bincount(y[~back], copies[part[x[~back]]], len(own)).astype(np.int64)
-        spans.append(_spanning(entry[part], entry[own], x, y))
+        spans.append(spanning(entry[part], entry[own], x, y))
     if not out_entry:
         return empty
     e, n = np.concatenate([*out_entry, entry[own]]), np.concatenate([*out_n, add])
@@ -217,20 +219,3 @@ def _narrow(v: np.ndarray) -> bytes:
 def _wide(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.float32 if data[:1] == b"4" else np.float64, offset=1)
 
-
-def _spanning(guests: np.ndarray, residents: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Links (node, root) with the same connected groups as the pairs (guests[x], residents[y])."""
-    nodes, at = np.unique(np.concatenate([guests[x], residents[y]]), return_inverse=True)
-    a, b = at[: len(x)], at[len(x) :]
-    label = np.arange(len(nodes))
-    while True:
-        new = label.copy()
-        least = np.minimum(label[a], label[b])
-        np.minimum.at(new, a, least)
-        np.minimum.at(new, b, least)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    moved = label != np.arange(len(nodes))
-    return np.stack([nodes[moved], nodes[label[moved]]], 1)
