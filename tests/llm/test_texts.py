@@ -170,3 +170,16 @@ def test_pack(spark, group):
     assert got.groupby("sequence_id").length.sum().max() <= 4096
     assert len(got[got.doc_id == 3]) == 2
     assert pack(frame(spark).limit(0), path).count() == 0
+
+
+def test_quality_rules_equal_their_sql(spark):
+    import duckdb
+
+    from trailgrain.llm import queries
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    found = con.execute(queries.oracle_sql()["op5_quality_rules"])
+    columns = [d[0] for d in found.description]
+    want = sorted(found.fetchall())
+    assert sorted(tuple(r[c] for c in columns) for r in queries.op5_quality_rules(spark, DATA).collect()) == want

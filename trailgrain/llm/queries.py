@@ -14,7 +14,7 @@ from trailgrain.llm.chat_format import format_conversations, read_back
 from trailgrain.llm.ngram_join import near_duplicates
 from trailgrain.llm.packing import pack
 from trailgrain.llm.quality_classifier import classify
-from trailgrain.llm.quality_rules import quality_rules
+from trailgrain.llm.quality_rules import PRIOR, RIGHT, ROUNDS, RULES, WEIGHT, quality_rules
 from trailgrain.llm.substring_dedup import substring_deduplicate
 from trailgrain.llm.suffix_dedup import suffix_deduplicate
 from trailgrain.llm.shared import shared_dir
@@ -46,7 +46,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
-    return quality_rules(table(spark, sf_dir, "documents")).select(*columns)
+    return quality_rules(table(spark, sf_dir, "documents")).withColumn("posterior", F.round("posterior", 4)).select(*columns)
 
 
 def op6_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,5 +82,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     )}
 
 
+def quality_rules_sql() -> str:
+    """The same votes, the same rounds of estimation over pattern counts, and the same verdicts in SQL."""
+    n = len(RULES)
+    votes = ", ".join(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END" for bad, good in RULES.values())
+    log_odds = f"list_sum(list_transform(range(1, {n + 1}), lambda j: x.v[j] * ln(s[j] / (1 - s[j])))) + ln({PRIOR} / (1 - {PRIOR}))"
+    return rf"""
+WITH RECURSIVE texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+cut AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM texts),
+grams AS (SELECT doc_id, i, list_slice(ws, i, i + 4) AS g FROM cut, unnest(range(1, greatest(len(ws) - 3, 1))) AS u(i)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM grams) WHERE c > 1),
+repeats AS (SELECT doc_id, count(DISTINCT i + k) AS r FROM again, unnest(range(0, 5)) AS v(k) GROUP BY ALL),
+counted AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, length(regexp_replace(text, '[^\p{{Lu}}]+', '', 'g')) AS n_capitals, length(regexp_replace(text, '[^!]+', '', 'g')) AS n_shouts,
+  len(list_distinct(ws)) AS n_distinct, len(ls) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r, 0) AS BIGINT) AS n_repeat_words FROM cut LEFT JOIN repeats USING (doc_id)),
+voted AS (SELECT *, [{votes}] AS v FROM counted),
+patterns AS (SELECT list(struct_pack(v := v, c := CAST(c AS DOUBLE)) ORDER BY v) AS p FROM (SELECT v, count(*) AS c FROM voted GROUP BY ALL)),
+em AS (SELECT 0 AS t, [CAST({RIGHT} AS DOUBLE) for j in range(1, {n + 1})] AS s
+  UNION ALL SELECT t + 1, list_transform(range(1, {n + 1}), lambda j: (list_sum(list_transform(q, lambda x: x.c * CASE x.v[j] WHEN 1 THEN x.q WHEN -1 THEN 1 - x.q ELSE 0 END)) + {RIGHT * WEIGHT}) / (list_sum(list_transform(q, lambda x: x.c * abs(x.v[j]))) + {WEIGHT}))
+  FROM (SELECT t, list_transform(p, lambda x: struct_pack(v := x.v, c := x.c, q := 1 / (1 + exp(-({log_odds}))))) AS q FROM em, patterns WHERE t < {ROUNDS})),
+learnt AS (SELECT list_transform(s, lambda r: round(r, 6)) AS s FROM em WHERE t = {ROUNDS}),
+scored AS (SELECT x.*, 1 / (1 + exp(-({log_odds}))) AS posterior, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM voted x, learnt)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND posterior >= 0.5 AS kept, round(posterior, 4) AS posterior FROM scored
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_quality_rules": quality_rules_sql()}
