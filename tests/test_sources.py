@@ -82,3 +82,37 @@ def test_stream_equals_batch(spark, tmp_path):
         assert got[seq].late == (latest is not None and t < latest)
         n, latest = n + 1, t if latest is None else max(latest, t)
         counts[relation] = counts.get(relation, 0) + 1
+
+
+def test_sysdig(spark, tmp_path):
+    import uuid
+
+    from trailgrain.sources import sysdig
+
+    lines = [
+        "100 5.226817322 2 0 john (18) > write cwd=/tmp/ fd=1(<f>/tmp/a.txt) size=124",
+        "101 5.226832508 2 0 john (18) < write cwd=/tmp/ res=124 exepath=/bin/john",
+        "102 6.5 2 0 scp (19) > read cwd=/root/ fd=3(<f>/tmp/a.txt) size=9",
+        "103 6.6 2 0 scp (19) < read cwd=/root/ res=9 exepath=<NA>",
+        "104 7.0 2 0 scp (19) < read cwd=/root/ res=-11 name=/tmp/none",
+        "105 7.1 2 0 sh (20) < clone res=21",
+        "106 7.2 2 0 sh (20) < execve res=0 exe=./run/../x cwd=/opt/",
+        "107 7.3 2 0 sh (20) > connect fd=4(<4t>10.0.0.1:5->10.0.0.2:80)",
+        "108 7.4 2 0 sh (20) < connect res=0",
+        "broken",
+        "109 7.5 2 0 sh (20) < nanosleep res=0",
+    ]
+    (tmp_path / "t.log").write_text("\n".join(lines))
+    read = sysdig.read_sysdig(spark, str(tmp_path))
+    assert read.where("event is null").count() == 1
+    events = sysdig.sysdig_events(read, "h")
+    got = {r.event_id: r for r in events.collect()}
+    assert set(got) == {f"sysdig:{k}" for k in (101, 103, 105, 106, 108)}
+    file = "sysdig:file:" + str(uuid.uuid5(uuid.NAMESPACE_URL, "sysdig:h:file:/tmp/a.txt"))
+    john = "sysdig:process:" + str(uuid.uuid5(uuid.NAMESPACE_URL, "sysdig:h:process:18"))
+    a, b = got["sysdig:101"], got["sysdig:103"]
+    assert (a.src, a.dst, a.relation, a.timestamp_ns, a.data_size, a.src_label) == (john, file, "EVENT_WRITE", 5_226_832_508, 124, "/bin/john")
+    assert (b.src, b.relation, b.timestamp_ns, b.dst_label) == (file, "EVENT_READ", 6_600_000_000, "scp")
+    assert got["sysdig:106"].dst_label == "/opt/run/../x"
+    assert got["sysdig:108"].dst_label == "10.0.0.1:5->10.0.0.2:80"
+    assert sysdig.latest_write(events, "/tmp/a.txt", 124).first().event_id == "sysdig:101"
