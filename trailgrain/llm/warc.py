@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailgrain.llm.shared import partitions, stored
+from trailgrain.llm.shared import partitions, small_batches, stored
 
 ROLL = 32 << 20
 DATE = "2024-01-01T00:00:00Z"  # of all records; a parameter of write_warc
@@ -72,12 +72,16 @@ def write_warc(pages: DataFrame, folder: str, roll: int = ROLL, date: str = DATE
     import pyarrow.fs as fs
 
     spark = pages.sparkSession
+    small_batches(pages.sparkSession)
     html = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "utf-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("long"))
-    keepers = rows.groupBy("sha").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").select("sha", "keeper")
-    rows = rows.join(keepers, "sha", "left").withColumn("payload", F.when(F.expr("keeper is null or page_id <=> keeper"), F.col("payload")))
-    ordered = rows.repartitionByRange(partitions(spark), "page_id").sortWithinPartitions("page_id", "sha", "url")
+    names = rows.select("page_id", "sha")
+    keepers = names.groupBy("sha").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").select("sha", "keeper")
+    verdicts = names.join(keepers, "sha").select("page_id", "sha", "keeper").distinct()
+    # A page's verdict is sorted just before it, so that payloads are shuffled once only.
+    both = rows.withColumn("kind", F.lit(1)).unionByName(verdicts.withColumn("kind", F.lit(0)), allowMissingColumns=True)
+    ordered = both.repartitionByRange(partitions(spark), "page_id").sortWithinPartitions("page_id", "sha", "kind", "url")
     attempt = f"{folder}/_tmp-{uuid.uuid4().hex}"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,14 +89,20 @@ def write_warc(pages: DataFrame, folder: str, roll: int = ROLL, date: str = DATE
 
         store, base = fs.FileSystem.from_uri(attempt)
         store.create_dir(base, recursive=True)
-        part, out, stream, state = TaskContext.get().partitionId(), [], None, {}
+        part, out, stream, state, verdict = TaskContext.get().partitionId(), [], None, {}, None
 
         def close() -> None:
             stream.close()
             out.append((state["temporary"], state["name"], state["n"], state["bytes"], state["sha"].hexdigest()))
 
         for b in batches:
-            for page_id, url, payload, sha, size, keeper in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "sha", "size", "keeper")), strict=True):
+            for page_id, url, payload, sha, size, keeper, kind in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "sha", "size", "keeper", "kind")), strict=True):
+                if kind == 0:
+                    verdict = (page_id, sha, keeper)
+                    continue
+                keeper = verdict[2] if verdict and verdict[:2] == (page_id, sha) else None
+                if keeper is not None and keeper != page_id:
+                    payload = None
                 digest = base64.b32encode(bytes.fromhex(sha)).decode()
                 member = gzip.compress(record(page_id, url, payload, digest, size, keeper, date), 6, mtime=0)
                 if stream and state["bytes"] + len(member) > roll:
