@@ -9,7 +9,6 @@ and, from the ids, the bytes again.
 from __future__ import annotations
 
 import base64
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -156,7 +155,3 @@ def byte_bpe(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     small_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(code, "doc_id long, ids string, n_tokens long, decoded binary")
-
-
-def sha256(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()

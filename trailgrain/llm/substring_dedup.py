@@ -9,8 +9,6 @@ longest match that occurs often enough, the matching statistics; matches of a wi
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,10 +49,6 @@ def substring_deduplicate(documents: DataFrame, window: int = 35, gram: int = 8,
     return docs.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(apply, "doc_id long, kept string, n_words long, n_removed long")
 
 
-def sha256(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
-
-
 class WaveletMatrix:
     """Ranks of symbols in a sequence, a bit level at a time; bits are packed 64 to a word, with a count for each word."""
 
