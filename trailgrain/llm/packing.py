@@ -9,6 +9,7 @@ pieces). Documents longer than a sequence are cut to whole sequences first, and
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -17,42 +18,56 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailgrain.llm.shared import stored
+from trailgrain.llm.shared import small_batches, stored
 
 CAPACITY = 4096
 GROUP = 512  # sequences in a group, about
 END = 2
-CACHE = 400_000
+CACHE = 700_000
+LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+STOP = re.compile(rb"([a-z0-9])([.,])(?=[ \n]|$)")
 _TOKENIZERS: dict = {}
 
 
 class WordTokenizer:
-    """A tokenizer whose pre-tokeniser drops white space, with a bounded cache of encoded words.
+    """A tokenizer that lower-cases and drops white space, with a bounded cache of encoded words.
 
     Ids of a text are those of its words one after another, as no token, normal form or special token crosses ASCII
-    white space.
+    white space. A-Z are lowered and a full stop or comma at a word's end is cut off before, which gives the same tokens
+    and fewer different words; texts that may hold special tokens are left as they are.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache = Tokenizer.from_file(path), {}
-
-    def __call__(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        words, cache = text.encode().split(), self.cache
-        try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
-            new = list({w for w in words if w not in cache})
-            if len(cache) + len(new) > CACHE:
-                cache.clear()
-                new = list(set(words))
-            for i in range(0, len(new), 4096):
-                part = new[i : i + 4096]
-                for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                    cache[w] = np.array(e.ids, "<u4").tobytes()
-            return b"".join([cache[w] for w in words])
+        self.type = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Little-endian ids of each text, 16 bits each where the vocabulary allows."""
+        cut = []
+        for text in texts:
+            raw = text.encode()
+            if b"<|" not in raw:
+                raw = STOP.sub(rb"\1 \2", raw.translate(LOWER))
+            cut.append(raw.split())
+        new = {w for words in cut for w in words if w not in self.cache}
+        if len(self.cache) + len(new) > CACHE:
+            self.cache.clear()
+            new = {w for words in cut for w in words}
+        self.learn(list(new))
+        return [b"".join([self.cache[w] for w in words]) for words in cut]
+
+    def learn(self, words: list[bytes]) -> None:
+        """Encode new words, many in one text; the offsets of the ids tell the words."""
+        for i in range(0, len(words), 2000):
+            part = [w.decode() for w in words[i : i + 2000]]
+            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids = np.array(e.ids, self.type).tobytes()
+            ends = np.cumsum([len(w) + 1 for w in part])
+            at = np.searchsorted(np.array([o[0] for o in e.offsets], np.int64), np.append(0, ends)) * np.dtype(self.type).itemsize
+            for w, a, b in zip(words[i : i + 2000], at[:-1].tolist(), at[1:].tolist(), strict=True):
+                self.cache[w] = ids[a:b]
 
 
 def tokenizer(path: str) -> WordTokenizer:
@@ -65,12 +80,12 @@ def tokenized(documents: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens and ids (16 bits each where the vocabulary allows) of each text, with the end id."""
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = tokenizer(path)
-        wide = run.tokenizer.get_vocab_size() > 1 << 16
+        end = np.array([END], run.type).tobytes()
         for b in batches:
-            ids = [np.frombuffer(run(t or ""), "<u4") for t in b.column("text").to_pylist()]
-            ids = [np.append(x, np.uint32(END)).astype("<u4" if wide else "<u2") for x in ids]
-            yield pa.record_batch([b.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "n_tokens", "ids"])
+            ids = [x + end for x in run([t or "" for t in b.column("text").to_pylist()])]
+            yield pa.record_batch([b.column("doc_id"), pa.array([len(x) // len(end) for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
+    small_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(encode, "doc_id long, n_tokens long, ids binary")
 
@@ -137,7 +152,7 @@ def pack(documents: DataFrame, path: str, capacity: int = CAPACITY, group: int =
     tokens = stored(tokenized(documents, path), "tokens")
     total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
     groups = max(1, total // (capacity * group))
-    width = 4 if tokenizer(path).tokenizer.get_vocab_size() > 1 << 16 else 2
+    kind = tokenizer(path).type
 
     def place(t: pa.Table) -> pa.Table:
         t = t.sort_by([("doc_id", "ascending"), ("ids", "ascending")])
@@ -146,7 +161,7 @@ def pack(documents: DataFrame, path: str, capacity: int = CAPACITY, group: int =
         rows, raw, last = [], b"", -1
         for d, start, n, s, offset in sorted(assign(sizes, capacity)):
             if d != last:
-                raw, last = np.frombuffer(ids[d].as_py(), f"<u{width}").astype("<u4"), d
+                raw, last = np.frombuffer(ids[d].as_py(), kind).astype("<u4"), d
             piece = raw[start : start + n].tobytes()
             rows.append((docs[d], start, n, zlib.crc32(piece), int(sizes[d]), (number << 32) | s, offset, piece))
         names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
