@@ -178,3 +178,19 @@ def test_vectors(spark, part):
     assert got[None].component_id is None
     assert not got[None].kept
     assert got[0].component_id == 0
+
+
+def test_calibration_sees_partners_outside_the_sample(spark, monkeypatch):
+    import trailgrain.llm.vector_dedup as V
+
+    monkeypatch.setattr(V, "CELL", 1)
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(1500, 16))
+    near = base + rng.normal(scale=0.38, size=base.shape)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.concatenate([base, near]).astype(np.float32))]
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), sample=64).agg({"n_links": "sum"}).first()[0]
+    v = np.array([r[1] for r in rows], float)
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    want = (v @ v.T >= 0.9).sum() - len(v)
+    assert want > 1000
+    assert 0.99 * want <= got <= want

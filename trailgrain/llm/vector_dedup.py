@@ -1,8 +1,8 @@
 """Near-duplicate vectors by an inverted multi-index.
 
 Two codebooks, one for each half of the unit vectors, span a grid of cells; a vector lives in the cell of its nearest
-codewords. A vector visits cells in the order of the multi-sequence algorithm, nearest first, as many as a calibration
-on a bounded sample needs for the target recall, and is compared there in double precision with the residents. Equal
+codewords. A vector visits cells in the order of the multi-sequence algorithm, nearest first, as many as sampled vectors
+need to meet the target share of their partners in the whole table, and is compared there in double precision with the residents. Equal
 vectors are one entry with a count; cells with many residents are split into parts. A part counts links and
 returns links that span its groups, never all pairs.
 """
@@ -21,6 +21,7 @@ from trailgrain.llm.arrays import spanning
 from trailgrain.llm.shared import components, small_batches, stored
 
 SAMPLE, PART, CELL = 8192, 4096, 48
+QUERIES, ENOUGH, BLOCKS = 2048, 512, 8  # vectors of a calibration block, how many must have partners, blocks at most
 ENTRY = "key binary, vec_id long"
 
 
@@ -66,33 +67,95 @@ def distances(v: np.ndarray, books: tuple[np.ndarray, np.ndarray]) -> tuple[np.n
     return tuple((c * c).sum(1) - 2 * x @ c.T for c, x in zip(books, (v[:, :half], v[:, half:]), strict=True))
 
 
-def calibrate(v: np.ndarray, books: tuple[np.ndarray, np.ndarray], threshold: float, recall: float) -> int:
-    """How many cells a vector must visit, so that on average the sample's vectors find this share of their partners."""
+def ranks_of(v: np.ndarray, books: tuple[np.ndarray, np.ndarray], cells: np.ndarray) -> np.ndarray:
+    """The how-manieth of the cells that one vector visits these are."""
+    d1, d2 = distances(v[None, :], books)
+    sums = (d1[0][:, None] + d2[0][None, :]).ravel()
+    return np.searchsorted(np.sort(sums), sums[cells], "right")
+
+
+def homes(v: np.ndarray, books: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     d1, d2 = distances(v, books)
-    home = np.argmin(d1, 1) * len(books[1]) + np.argmin(d2, 1)
-    ranks, weights = [], []
-    sums = None
-    for i in range(0, len(v), 256):
-        hit = v[i : i + 256] @ v.T >= threshold
-        hit[np.arange(len(hit)), np.arange(i, i + len(hit))] = False
-        for q in np.flatnonzero(hit.any(1)):
-            sums = (d1[i + q][:, None] + d2[i + q][None, :]).ravel()
-            own = sums[home[hit[q]]]
-            ranks.append(np.searchsorted(np.sort(sums), own, "right"))
-            weights.append(np.full(len(own), 1 / len(own)))
-    if not ranks:
-        return 8
-    r, w = np.concatenate(ranks), np.concatenate(weights)
-    order = np.argsort(r)
-    share = np.cumsum(w[order]) / w.sum()
-    return int(max(4, r[order][min(np.searchsorted(share, recall), len(r) - 1)]))
+    return np.argmin(d1, 1) * len(books[1]) + np.argmin(d2, 1)
+
+
+def needed(ranks: np.ndarray, weights: np.ndarray, recall: float) -> int:
+    """The least rank by which this share of the weights is reached."""
+    order = np.argsort(ranks)
+    share = np.cumsum(weights[order]) / weights.sum()
+    return int(ranks[order][min(np.searchsorted(share, recall), len(ranks) - 1)])
+
+
+def at_threshold(v: np.ndarray, threshold: float) -> np.ndarray:
+    """For each vector one in a random direction that just links with it."""
+    if v.shape[1] < 2 or threshold >= 1:
+        return v
+    side = np.random.default_rng(7).normal(size=v.shape)
+    side -= (side * v).sum(1)[:, None] * v
+    cosine = max(threshold, -1.0)
+    return cosine * v + np.sqrt(1 - cosine * cosine) * side / np.sqrt((side * side).sum(1))[:, None]
+
+
+def calibrate(entries: DataFrame, books: tuple[np.ndarray, np.ndarray], threshold: float, recall: float) -> int:
+    """How many cells a vector must visit, so that on average the sampled queries find this share of their partners.
+
+    Queries are blocks of entries in hash order, each compared with all entries, until ENOUGH of them have partners or all
+    entries have been queries. Where partners are too rare for that in BLOCKS blocks, the queries also look for made-up
+    partners at the threshold, and the larger number counts.
+    """
+    spark = entries.sparkSession
+    ranks, weights, last, queries = [], [], None, []
+    for _ in range(BLOCKS):
+        rest = entries if last is None else entries.where(F.col("entry") > last)
+        block = rest.select("entry", "key").orderBy("entry").limit(QUERIES).collect()
+        if block:
+            last = block[-1].entry
+            queries = [unit(np.frombuffer(bytes(r.key), np.float64)) for r in block]
+            found = _partners(entries, [r.entry for r in block], np.stack(queries), books, threshold)
+            ranks += [r["rank"] for r in found]
+            weights += [r["weight"] for r in found]
+        if len(block) < QUERIES:
+            return max(4, needed(np.array(ranks), np.array(weights), recall)) if ranks else 4
+        if sum(weights) >= ENOUGH:
+            return max(4, needed(np.array(ranks), np.array(weights), recall))
+    v = np.stack(queries[:ENOUGH])
+    made = np.concatenate([ranks_of(x, books, c) for x, c in zip(v, homes(at_threshold(v, threshold), books)[:, None], strict=True)])
+    return max(4, needed(made, np.ones(len(made)), recall), needed(np.array(ranks), np.array(weights), recall) if ranks else 4)
+
+
+def _partners(entries: DataFrame, names: list[int], queries: np.ndarray, books: tuple[np.ndarray, np.ndarray], threshold: float) -> list:
+    """Ranks of the cells in which partners of the queries live; a query's partners weigh 1 together."""
+    shared = entries.sparkSession.sparkContext.broadcast((np.array(names), queries, books))
+
+    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, queries, books = shared.value
+        for b in batches:
+            keys, entry = b.column("key").to_pylist(), b.column("entry").to_numpy()
+            for i in range(0, len(keys), 1024):
+                v = np.stack([unit(np.frombuffer(x, np.float64)) for x in keys[i : i + 1024]])
+                x, y = np.nonzero(v @ queries.T >= threshold)
+                other = entry[i + x] != names[y]
+                x, y = x[other], y[other]
+                used, at = np.unique(x, return_inverse=True)
+                cell = homes(v[used], books)[at] if len(used) else np.zeros(0, np.int64)
+                pairs, n = np.unique(np.stack([y, cell]), axis=1, return_counts=True)
+                yield pa.record_batch([pa.array(pairs[0].astype(np.int32)), pa.array(pairs[1].astype(np.int32)), pa.array(n.astype(np.int64))], ["query", "cell", "n"])
+
+    def rank(t: pa.Table) -> pa.Table:
+        _, queries, books = shared.value
+        n = t.column("n").to_numpy()
+        ranks = ranks_of(queries[t.column("query")[0].as_py()], books, t.column("cell").to_numpy())
+        return pa.table({"rank": pa.array(ranks.astype(np.int64)), "weight": pa.array(n / n.sum())})
+
+    hits = entries.select("entry", "key").mapInArrow(cross, "query int, cell int, n long").groupBy("query", "cell").agg(F.sum("n").alias("n"))
+    return hits.groupBy("query").applyInArrow(rank, "rank long, weight double").groupBy("rank").agg(F.sum("weight").alias("weight")).collect()
 
 
 def near_vectors(embeddings: DataFrame, threshold: float = 0.9, recall: float = 0.99, sample: int = SAMPLE, part: int = PART) -> DataFrame:
     """Rows of embeddings: vec_id, n_links (other vectors linked directly), component_id and kept.
 
-    Vectors link if the cosine, in double precision, is at least the threshold; candidates come from the index, fitted on
-    `sample` vectors at most, so that links may be missed within the recall but none is wrong. Null and zero vectors,
+    Vectors link if the cosine, in double precision, is at least the threshold; candidates come from the index, whose
+    codebooks are fitted on `sample` vectors at most and whose visits are calibrated against all, so that links may be missed within the recall but none is wrong. Null and zero vectors,
     vectors with null or non-finite components and vectors of other lengths than the most frequent link with nothing.
     Repeated rows are vectors of their own; rows with null vec_id count as links of others, but get no component
     (null) and are not kept. Labels and other columns are ignored; an empty table gives no rows.
@@ -116,7 +179,8 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.9, recall: float =
     entries = stored(entries.withColumn("entry", F.xxhash64("key")), "entries")
     total = entries.count()
     k = int(min(1024, max(4, round((total / CELL) ** 0.5))))
-    visits, books = _index(entries, k, threshold, recall, sample)
+    books = _books(entries, k, sample)
+    visits = calibrate(entries, books, threshold, recall)
     shared = spark.sparkContext.broadcast(books)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,20 +218,20 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.9, recall: float =
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
-def _index(entries: DataFrame, k: int, threshold: float, recall: float, sample: int) -> tuple[int, tuple[np.ndarray, np.ndarray]]:
-    """Visits and codebooks, fitted in one task on at most `sample` entries."""
+def _books(entries: DataFrame, k: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codebooks, fitted in one task on at most `sample` entries."""
     def fit(t: pa.Table) -> pa.Table:
         v = np.stack([unit(np.frombuffer(x, np.float64)) for x in sorted(t.column("key").to_pylist())])
         half = max(1, v.shape[1] // 2)
         books = (codebook(v[:, :half], k), codebook(v[:, half:], k))
-        return pa.table({"visits": pa.array([calibrate(v, books, threshold, recall)], pa.int32()), "a": [books[0].tobytes()], "b": [books[1].tobytes()], "half": pa.array([half], pa.int32()), "rest": pa.array([v.shape[1] - half], pa.int32())})
+        return pa.table({"a": [books[0].tobytes()], "b": [books[1].tobytes()], "half": pa.array([half], pa.int32()), "rest": pa.array([v.shape[1] - half], pa.int32())})
 
     rows = entries.select("key", "entry").orderBy("entry").limit(sample).select("key").withColumn("all", F.lit(0)).groupBy("all")
-    found = rows.applyInArrow(fit, "visits int, a binary, b binary, half int, rest int").collect()
+    found = rows.applyInArrow(fit, "a binary, b binary, half int, rest int").collect()
     if not found:
-        return 1, (np.zeros((1, 1)), np.zeros((1, 1)))
+        return np.zeros((1, 1)), np.zeros((1, 1))
     r = found[0]
-    return r.visits, (np.frombuffer(bytes(r.a)).reshape(-1, r.half), np.frombuffer(bytes(r.b)).reshape(-1, r.rest) if r.rest else np.zeros((1, 0)))
+    return np.frombuffer(bytes(r.a)).reshape(-1, r.half), np.frombuffer(bytes(r.b)).reshape(-1, r.rest) if r.rest else np.zeros((1, 0))
 
 
 def compare(t: pa.Table, threshold: float) -> pa.Table:
