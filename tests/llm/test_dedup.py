@@ -194,3 +194,15 @@ def test_calibration_sees_partners_outside_the_sample(spark, monkeypatch):
     want = (v @ v.T >= 0.9).sum() - len(v)
     assert want > 1000
     assert 0.99 * want <= got <= want
+
+
+def test_parts_bound_guests_too(spark):
+    from trailgrain.llm.vector_dedup import visits_by_part
+
+    rows = [(i, 1, b"", 1, [1]) for i in range(5)] + [(100 + i, 1, b"", 2, [2, 1]) for i in range(3000)]
+    placed = spark.createDataFrame(rows, "entry long, copies long, vector binary, home int, seen array<int>")
+    found = visits_by_part(placed, 100).toPandas()
+    sides = found.groupby(["cell", "r", "q", "resident"]).size()
+    assert sides.max() <= 200
+    met = found[found.cell == 1].merge(found[found.cell == 1], on=["r", "q"])
+    assert (met.resident_x & ~met.resident_y).sum() == 5 * 3005

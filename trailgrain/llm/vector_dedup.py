@@ -3,7 +3,7 @@
 Two codebooks, one for each half of the unit vectors, span a grid of cells; a vector lives in the cell of its nearest
 codewords. A vector visits cells in the order of the multi-sequence algorithm, nearest first, as many as sampled vectors
 need to meet the target share of their partners in the whole table, and is compared there in double precision with the residents. Equal
-vectors are one entry with a count; cells with many residents are split into parts. A part counts links and
+vectors are one entry with a count; cells with many residents or many visitors are split into parts. A part counts links and
 returns links that span its groups, never all pairs.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailgrain.llm.arrays import spanning
-from trailgrain.llm.shared import components, small_batches, stored
+from trailgrain.llm.shared import components, partitions, small_batches, stored
 
 SAMPLE, PART, CELL = 8192, 4096, 48
 QUERIES, ENOUGH, BLOCKS = 2048, 512, 8  # vectors of a calibration block, how many must have partners, blocks at most
@@ -196,16 +196,10 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.9, recall: float =
             yield pa.record_batch([b.column("entry"), b.column("copies"), pa.array(small, pa.binary()), pa.array([s[0] for s in seen], pa.int32()), pa.array(seen, pa.list_(pa.int32()))], ["entry", "copies", "vector", "home", "seen"])
 
     placed = stored(entries.select("entry", "copies", "key").mapInArrow(place, "entry long, copies long, vector binary, home int, seen array<int>"), "placed")
-    parts = placed.groupBy("home").agg(F.ceil(F.count("*") / part).cast("int").alias("parts")).withColumnRenamed("home", "cell")  # a row for each used cell, k * k at most
-    own = placed.withColumn("cell", F.col("home")).join(parts, "cell").withColumn("r", F.pmod("entry", "parts").cast("int"))
-    own = own.select("cell", "r", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q"), "entry", "copies", "vector", "home", "seen", F.lit(True).alias("resident"))
-    guests = placed.select("entry", "copies", "vector", "home", F.explode("seen").alias("cell")).join(parts, "cell").withColumn("q", F.pmod("entry", "parts").cast("int"))
-    guests = guests.select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("r"), "q", "entry", "copies", "vector", "home", F.lit(None).cast("array<int>").alias("seen"), F.lit(False).alias("resident"))
-
     def match(t: pa.Table) -> pa.Table:
         return compare(t, threshold)
 
-    found = stored(own.unionByName(guests).groupBy("cell", "r", "q").applyInArrow(match, "entry long, n long, other long"), "found")
+    found = stored(visits_by_part(placed, part).groupBy("cell", "r", "q").applyInArrow(match, "entry long, n long, other long"), "found")
     ids = entries.select("entry", "id", "copies")
     links = found.where("other is not null").select("entry", "other").distinct()
     links = links.join(ids.select("entry", F.col("id").alias("a")), "entry").join(ids.select(F.col("entry").alias("other"), F.col("id").alias("b")), "other").select("a", "b")
@@ -218,6 +212,19 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.9, recall: float =
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
+def visits_by_part(placed: DataFrame, part: int) -> DataFrame:
+    """Residents and guests of the cells. Either are split by their number, so that each part (cell, r, q) has about `part` of each at most."""
+    guests = placed.select("entry", "copies", "vector", "home", F.explode("seen").alias("cell"))
+    pieces = lambda name: F.ceil(F.count("*") / part).cast("int").alias(name)
+    parts = placed.groupBy(F.col("home").alias("cell")).agg(pieces("rs")).join(guests.groupBy("cell").agg(pieces("qs")), "cell")  # a row for each used cell, k * k at most
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = placed.withColumn("cell", F.col("home")).join(parts, "cell").withColumn("r", F.pmod("entry", "rs").cast("int"))
+    own = own.select("cell", "r", spread("qs").alias("q"), "entry", "copies", "vector", "home", "seen", F.lit(True).alias("resident"))
+    guests = guests.join(parts, "cell").withColumn("q", F.pmod("entry", "qs").cast("int"))
+    guests = guests.select("cell", spread("rs").alias("r"), "q", "entry", "copies", "vector", "home", F.lit(None).cast("array<int>").alias("seen"), F.lit(False).alias("resident"))
+    return own.unionByName(guests).repartition(partitions(placed.sparkSession), "cell", "r", "q")  # not by cell alone, as the joins leave it
+
+
 def _books(entries: DataFrame, k: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
     """Codebooks, fitted in one task on at most `sample` entries."""
     def fit(t: pa.Table) -> pa.Table:
