@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from trailgrain.llm.ngram_join import near_duplicates
 from trailgrain.llm.packing import pack
-from trailgrain.llm.quality_classifier import classify
+from trailgrain.llm.quality_classifier import score, train
 from trailgrain.llm.quality_rules import quality_rules
 from trailgrain.llm.shared import stored
 from trailgrain.llm.suffix_dedup import suffix_deduplicate
@@ -16,31 +16,50 @@ from trailgrain.llm.suffix_dedup import suffix_deduplicate
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """With the key of doc_id and text by which verdicts are joined; it is never null."""
+    return docs.withColumn("key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+
+
+def by_key(docs: DataFrame) -> DataFrame:
+    """The key in place of doc_id, for operators that judge rows."""
+    return docs.select(F.col("key").alias("doc_id"), "text")
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep. A row with null doc_id is judged by no id and goes."""
-    kept = quality_rules(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """Rows whose own text the quality rules keep, whatever their doc_id."""
+    docs = keyed(docs)
+    kept = quality_rules(by_key(docs)).where("kept").select(F.col("doc_id").alias("key")).distinct()
+    return docs.join(kept, "key", "left_semi").select(*COLUMNS)
 
 
 def keep_classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject."""
+    """Rows whose own text the classifier, trained on labels by doc_id, does not reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    kept = classify(docs, labels).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    model = train(docs, labels)
+    docs = keyed(docs)
+    kept = score(by_key(docs), model).where("predicted = 1").select(F.col("doc_id").alias("key")).distinct()
+    return docs.join(kept, "key", "left_semi").select(*COLUMNS)
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """Of each group of near duplicates the document with the smallest doc_id (null last), of several texts under it the one with the smallest key.
+
+    Texts that share a doc_id are in one group only if they link. Of rows equal in doc_id and text one stays.
+    """
+    docs = keyed(docs)
+    groups = near_duplicates(by_key(docs)).select(F.col("doc_id").alias("key"), "component_id").distinct()
+    ids = docs.select("key", "doc_id").distinct().join(groups, "key")
+    kept = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("first")).select("first.key")
+    one = docs.join(kept, "key", "left_semi").groupBy("key").agg(F.min(F.struct("lang", "source", "n_chars", "doc_id", "text")).alias("row"))
+    return one.select(*[F.col(f"row.{c}").alias(c) for c in COLUMNS])
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes that repeat what starts earlier; characters of which bytes are cut go whole."""
-    left = suffix_deduplicate(docs).select("doc_id", F.expr("try_validate_utf8(cast(kept as string))").alias("whole"), "kept", F.col("n_removed").alias("cut"))
-    text = F.coalesce("whole", F.replace(F.expr("make_valid_utf8(cast(kept as string))"), F.lit("�"), F.lit("")))
-    left = left.select("doc_id", text.alias("text"))
-    return docs.select("doc_id", "lang", "source").join(left, "doc_id").select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    left = suffix_deduplicate(docs, as_text=True).select("key", F.col("kept").alias("text"))
+    rows = keyed(docs).select("key", "doc_id", "lang", "source")
+    return rows.join(left, "key").select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

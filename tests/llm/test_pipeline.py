@@ -68,3 +68,23 @@ def test_registered_digests(spark):
     for r in queries.op7_byte_bpe(spark, DATA).collect():
         assert r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
     assert sorted(f"op{n}" for n in range(1, 11)) == sorted(k.split("_")[0] for k in queries.queries())
+
+
+def test_rows_with_null_and_repeated_ids(spark):
+    good = (docs := spark.read.parquet(f"{DATA}/documents.parquet").where("lang = 'en' and n_chars between 300 and 2000").orderBy("doc_id")).first().text
+    lone = docs.where("doc_id > 100").first().text
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    table = lambda pairs: spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in pairs], schema)
+    bad = "#$% " * 50
+    assert {(d, t) for d, t in rows(corpus_pipeline.keep_good(spark, table([(None, good), (1, good), (1, bad), (None, bad)]), DATA))} == {(None, good), (1, good)}
+    given = [(1, "a b c d e f g h"), (1, "one two three four five six"), (2, "a b c d e f g h"), (None, "a b c d e f g h"), (None, "x y z u v w"), (1, "a b c d e f g h")]
+    assert sorted(rows(corpus_pipeline.keep_one_of_near(spark, table(given), DATA)), key=str) == sorted([given[0], given[1], given[4]], key=str)
+    repeat = "".join(chr(0x3041 + 7 * i % 80) for i in range(60))
+    cut = [(1, "\ufffd start \u3042" + repeat + "\u30a2 end"), (2, "\ufffd other \u3044" + repeat + "\u30a4 more"), (2, lone), (2, lone)]
+    got = rows(corpus_pipeline.cut_repeats(spark, table(cut), DATA))
+    assert len(got) == 4
+    assert cut[0] in got
+    second = next(t for d, t in got if d == 2 and t.startswith("\ufffd"))
+    assert second.startswith("\ufffd other ")
+    assert second.endswith(" more")
+    assert second.count("\ufffd") == 1

@@ -18,13 +18,15 @@ SEPARATOR = 0xF8  # no UTF-8 text holds it
 SHARD = 1 << 22
 
 
-def suffix_deduplicate(documents: DataFrame, length: int = 100, gram: int = 24, shard: int = SHARD) -> DataFrame:
+def suffix_deduplicate(documents: DataFrame, length: int = 100, gram: int = 24, shard: int = SHARD, as_text: bool = False) -> DataFrame:
     """Rows of documents (doc_id, text) with `kept` (binary), n_bytes, n_removed and n_spans.
 
     A byte is removed if a string of `length` bytes covers it that also starts earlier: in a smaller doc_id, or in the
     same document before. Strings are judged on the input and never cross documents. Null text counts as empty, null
     doc_id as smaller than all others; rows equal in doc_id and text are treated alike, as the same document; other
     columns are ignored. Empty and short texts keep everything; an empty table gives no rows.
+
+    as_text: instead, one row (key, kept) for each doc_id and text, kept being text from which characters that lost a byte are gone.
     """
     if not 1 <= gram < length:
         raise ValueError("gram must be from 1 to length - 1")
@@ -46,6 +48,19 @@ def suffix_deduplicate(documents: DataFrame, length: int = 100, gram: int = 24,
             ids.append(doc_id.as_py()), kept.append(left), sizes.append(len(raw)), removed.append(len(raw) - len(left)), counts.append(len(own))
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "kept": pa.array(kept, pa.binary()), "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(counts, pa.int64())})
 
+    def apply_text(texts: pa.Table, found: pa.Table) -> pa.Table:
+        runs = runs_by_key(found)
+        kept: dict[int, str] = {}
+        for key, text in zip(texts.column("key"), texts.column("text"), strict=True):
+            if (k := key.as_py()) in kept:
+                continue
+            raw = (text.as_py() or "").encode()
+            ends = [0, *np.ravel(runs.get(k, ())).astype(int).tolist(), len(raw)]
+            kept[k] = "".join(raw[a:b].decode(errors="ignore") for a, b in zip(ends[::2], ends[1::2], strict=True))  # only the ends of a part can be broken
+        return pa.table({"key": pa.array(kept.keys(), pa.int64()), "kept": pa.array(kept.values(), pa.string())})
+
+    if as_text:
+        return docs.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(apply_text, "key long, kept string")
     return docs.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(apply, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
