@@ -36,3 +36,16 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_routes_are_valid(spark):
     assert registry.queries()["route_violations"](spark, DATA).count() == 0
+
+
+def test_graph_rounds_run_to_the_end(spark, monkeypatch):
+    from trailgrain.operators import graph as G
+    from trailgrain.plans import graphs
+
+    short = spark.createDataFrame([(k, k, k + 1, k * graphs.HOUR) for k in range(8)], "edge_id long, src long, dst long, timestamp_ns long").coalesce(1)
+    monkeypatch.setattr(graphs, "pois", lambda edges: edges.where("edge_id = 7"))
+    assert {tuple(r) for r in graphs.all_routes_backward(short).collect()} == {(k, 7 - k) for k in range(8)}
+    monkeypatch.setattr(graphs, "pois", lambda edges: edges.where("edge_id = 0"))
+    assert {tuple(r) for r in graphs.all_routes_forward(short).collect()} == {(k, k) for k in range(8)}
+    got = G.reachable(short, spark.createDataFrame([(0,)], "node long")).collect()
+    assert {(r.node, r.hop) for r in got} == {(k, k) for k in range(9)}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,21 +34,20 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     return known
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, rounds: int = 100) -> DataFrame:
+def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Nodes that directed paths reach from the seeds, those included, with the fewest hops."""
     steps = edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct()
     known = cut(seeds.select("node").distinct().withColumn("hop", F.lit(0)))
     front = known
-    for hop in range(1, rounds + 1):
+    for hop in itertools.count(1):
         front = steps.join(front.select("node"), "node").select(F.col("next").alias("node")).distinct().join(known.select("node"), "node", "left_anti").withColumn("hop", F.lit(hop))
         front = cut(front)
         if front.isEmpty():
-            break
-        known = known.union(front)
-    return known
+            return known
+        known = cut(known.union(front))
 
 
-def earliest_arrival(edges: DataFrame, starts: DataFrame, strict: bool = True, rounds: int = 200) -> DataFrame:
+def earliest_arrival(edges: DataFrame, starts: DataFrame, strict: bool = True) -> DataFrame:
     """Earliest time at which information of the starts (node, at) can be at each node, along edges in time order.
 
     strict: an edge carries on only what was there before its own time; otherwise equal times chain too.
@@ -55,28 +55,27 @@ def earliest_arrival(edges: DataFrame, starts: DataFrame, strict: bool = True, r
     steps = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"), "timestamp_ns")
     best = cut(starts.groupBy("node").agg(F.min("at").alias("at")))
     front = best
-    for _ in range(rounds):
+    while True:
         later = F.col("timestamp_ns") > F.col("at") if strict else F.col("timestamp_ns") >= F.col("at")
         new = steps.join(front, "node").where(later).groupBy(F.col("next").alias("node")).agg(F.min("timestamp_ns").alias("new"))
         front = cut(new.join(best, "node", "left").where("at is null or new < at").select("node", F.col("new").alias("at")))
         if front.isEmpty():
             return best
         best = cut(best.union(front).groupBy("node").agg(F.min("at").alias("at")))
-    return best
 
 
-def latest_departure(edges: DataFrame, ends: DataFrame, strict: bool = True, rounds: int = 200) -> DataFrame:
+def latest_departure(edges: DataFrame, ends: DataFrame, strict: bool = True) -> DataFrame:
     """Latest time at which information at each node can still reach the ends (node, at): earliest arrival, mirrored."""
     mirrored = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), (-F.col("timestamp_ns")).alias("timestamp_ns"))
-    found = earliest_arrival(mirrored, ends.select("node", (-F.col("at")).alias("at")), strict, rounds)
+    found = earliest_arrival(mirrored, ends.select("node", (-F.col("at")).alias("at")), strict)
     return found.select("node", (-F.col("at")).alias("at"))
 
 
-def temporal_routes(edges: DataFrame, pois: DataFrame, backward: bool = True, rounds: int = 200) -> DataFrame:
+def temporal_routes(edges: DataFrame, pois: DataFrame, backward: bool = True, rounds: int | None = None) -> DataFrame:
     """Fewest strictly time-ordered hops from each event to a point of interest: (edge_id, depth, parent).
 
     Level by level: an event has depth d if its time is strictly before the latest event of less depth at its target (after
-    the earliest, forward). The parent is the latest event of the level before at that node, ties to the smallest edge_id.
+    the earliest, forward), to the end or, where `rounds` is given, to that depth. The parent is the latest event of the level before at that node, ties to the smallest edge_id.
     """
     sign = 1 if backward else -1
     a, b = ("src", "dst") if backward else ("dst", "src")
@@ -84,7 +83,7 @@ def temporal_routes(edges: DataFrame, pois: DataFrame, backward: bool = True, ro
     start = rows.join(pois.select("edge_id"), "edge_id", "left_semi")
     exposed = start.select("edge_id", "t", F.explode(F.array("near", "far")).alias("node"))
     found = cut(start.select("edge_id", F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent")))
-    for depth in range(1, rounds + 1):
+    for depth in itertools.count(1) if rounds is None else range(1, rounds + 1):
         best = exposed.groupBy("node").agg(F.max(F.struct("t", (-F.col("edge_id")).alias("tie"))).alias("m")).select(F.col("node").alias("far"), F.col("m.t").alias("limit"), (-F.col("m.tie")).alias("parent"))
         left = rows.join(found.select("edge_id"), "edge_id", "left_anti")
         level = cut(left.join(best, "far").where("t < limit").select("edge_id", "near", "t", "parent"))

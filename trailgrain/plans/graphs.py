@@ -78,6 +78,17 @@ def routes_forward(edges: DataFrame) -> DataFrame:
     return G.temporal_routes(_hourly(edges), pois(edges), False, rounds=4).select("edge_id", "depth")
 
 
+@edge_query(None)
+def all_routes_backward(edges: DataFrame) -> DataFrame:
+    """Fewest hops without a limit of depth, over whole hours."""
+    return G.temporal_routes(_hourly(edges), pois(edges), True).select("edge_id", "depth")
+
+
+@edge_query(None)
+def all_routes_forward(edges: DataFrame) -> DataFrame:
+    return G.temporal_routes(_hourly(edges), pois(edges), False).select("edge_id", "depth")
+
+
 @edge_query(None)
 def route_violations(edges: DataFrame) -> DataFrame:
     """Links of routes that are not strictly ordered, not continuous or not one hop shorter; there must be none."""
