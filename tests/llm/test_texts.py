@@ -183,3 +183,33 @@ def test_quality_rules_equal_their_sql(spark):
     columns = [d[0] for d in found.description]
     want = sorted(found.fetchall())
     assert sorted(tuple(r[c] for c in columns) for r in queries.op5_quality_rules(spark, DATA).collect()) == want
+
+
+def test_word_tokenizer_equals_the_library(monkeypatch):
+    import random
+
+    from tokenizers import Tokenizer
+
+    from trailgrain.llm import packing as K
+
+    monkeypatch.setattr(K, "CACHE", 500)
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(5)
+    plain, run = Tokenizer.from_file(path), K.WordTokenizer(path)
+    odd = ["".join(rng.choice("abZ9é.,'s’-%$ \ńßİ<|_[]`~{}@/\\\"") for _ in range(rng.randint(0, 40))) for _ in range(4000)]
+    odd += [x + "'s" for x in odd[:200]] + [" ".join(rng.choice(["über", "naïve", "straße", "élan", "co", "don't", "x<|y"]) for _ in range(30))]
+    for i in range(0, len(odd), 300):
+        part = odd[i : i + 300]
+        assert [np.frombuffer(x, run.type).tolist() for x in run(part)] == [plain.encode(t, add_special_tokens=False).ids for t in part]
+
+
+def test_assign_finds_the_cheapest_sequence_with_room():
+    sizes = np.array([60] * 400 + [3] * 400)  # with 60 in it a sequence has room for one more small piece only
+    pieces = assign(sizes, 64)
+    assert len([p for p in pieces if p[0] < 400]) == 400  # none of the long ones is cut
+
+
+def test_equal_rows_are_dealt_out(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    got = pack(spark.createDataFrame([(1, "word " * 900)] * 60, "doc_id long, text string"), path, group=1).toPandas()
+    assert got.length.sum() == 60 * 901
+    assert (got.sequence_id // 2**32).nunique() > 5

@@ -3,14 +3,15 @@
 Documents are tokenised once and stored. They are dealt by hash into groups of a few hundred sequences' worth of tokens;
 a group opens as many sequences as its tokens fill and gives its documents, the most costly first, to the sequence of
 the lowest cost so far that has room, the cost of a piece being linear plus quadratic in its length (attention within
-pieces). Documents longer than a sequence are cut to whole sequences first, and what fits nowhere whole is cut.
+pieces). Documents longer than a sequence are cut to whole sequences first, and what fits whole in no sequence is cut.
+Equal rows are dealt to different groups.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,25 +24,41 @@ from trailgrain.llm.shared import small_batches, stored
 CAPACITY = 4096
 GROUP = 512  # sequences in a group, about
 END = 2
-CACHE = 700_000
+CACHE = 350_000  # words in each of the two parts of the cache
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-STOP = re.compile(rb"([a-z0-9])([.,])(?=[ \n]|$)")
+END_OF_LETTERS = re.compile(rb"(?<=[a-z0-9])(?=[!-&(-/:-@\[-`{-~])")
+LETTERS = re.compile("[a-zß-öø-ÿ]+").fullmatch  # words that the tokenizer neither changes nor cuts
+#: How a byte-level vocabulary writes bytes: printable ones as themselves, the others in order from U+0100 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+SHOWN = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
 _TOKENIZERS: dict = {}
 
 
+def gaps(found: list) -> Iterator[int]:
+    """Where a list holds None."""
+    k = -1
+    try:
+        while True:
+            k = found.index(None, k + 1)
+            yield k
+    except ValueError:
+        return
+
+
 class WordTokenizer:
     """A tokenizer that lower-cases and drops white space, with a bounded cache of encoded words.
 
     Ids of a text are those of its words one after another, as no token, normal form or special token crosses ASCII
-    white space. A-Z are lowered and a full stop or comma at a word's end is cut off before, which gives the same tokens
-    and fewer different words; texts that may hold special tokens are left as they are.
+    white space. A-Z are lowered before, and words are cut where ASCII letters or digits end at an ASCII sign other than
+    the apostrophe, where the tokenizer always cuts; that gives the same tokens and fewer different words. Texts that may
+    hold special tokens are left as they are. The cache has a young and an old part; what is met again becomes young.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
-        self.type = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {}, {}
+        self.type, self.code = ("<u2", "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else ("<u4", "I")
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text, 16 bits each where the vocabulary allows."""
@@ -49,25 +66,37 @@ class WordTokenizer:
         for text in texts:
             raw = text.encode()
             if b"<|" not in raw:
-                raw = STOP.sub(rb"\1 \2", raw.translate(LOWER))
+                raw = END_OF_LETTERS.sub(b" ", raw.translate(LOWER))
             cut.append(raw.split())
-        new = {w for words in cut for w in words if w not in self.cache}
-        if len(self.cache) + len(new) > CACHE:
-            self.cache.clear()
-            new = {w for words in cut for w in words}
-        self.learn(list(new))
-        return [b"".join([self.cache[w] for w in words]) for words in cut]
+        if len(self.young) > CACHE:
+            self.young, self.old = {}, self.young
+        found = [list(map(self.young.get, words)) for words in cut]
+        missing = [list(gaps(ids)) for ids in found]
+        new = {words[k] for words, places in zip(cut, missing, strict=True) for k in places}
+        for w in new & self.old.keys():
+            self.young[w] = self.old[w]
+        self.learn(list(new - self.young.keys()))
+        for words, ids, places in zip(cut, found, missing, strict=True):
+            for k in places:
+                ids[k] = self.young[words[k]]
+        return [b"".join(ids) for ids in found]
 
     def learn(self, words: list[bytes]) -> None:
-        """Encode new words, many in one text; the offsets of the ids tell the words."""
-        for i in range(0, len(words), 2000):
-            part = [w.decode() for w in words[i : i + 2000]]
+        """Encode new words: those of lower-case letters by the model alone, the others many in one text whose offsets tell the words."""
+        run, others = self.tokenizer.model.tokenize, []
+        for w in words:
+            if LETTERS(w.decode()):
+                self.young[w] = array(self.code, [t.id for t in run(w.decode("latin-1").translate(SHOWN))]).tobytes()
+            else:
+                others.append(w)
+        for i in range(0, len(others), 2000):
+            part = [w.decode() for w in others[i : i + 2000]]
             e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             ids = np.array(e.ids, self.type).tobytes()
             ends = np.cumsum([len(w) + 1 for w in part])
             at = np.searchsorted(np.array([o[0] for o in e.offsets], np.int64), np.append(0, ends)) * np.dtype(self.type).itemsize
-            for w, a, b in zip(words[i : i + 2000], at[:-1].tolist(), at[1:].tolist(), strict=True):
-                self.cache[w] = ids[a:b]
+            for w, a, b in zip(others[i : i + 2000], at[:-1].tolist(), at[1:].tolist(), strict=True):
+                self.young[w] = ids[a:b]
 
 
 def tokenizer(path: str) -> WordTokenizer:
@@ -77,17 +106,17 @@ def tokenizer(path: str) -> WordTokenizer:
 
 
 def tokenized(documents: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens and ids (16 bits each where the vocabulary allows) of each text, with the end id."""
+    """doc_id, row (a number of the row), n_tokens and ids (16 bits each where the vocabulary allows) of each text, with the end id."""
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = tokenizer(path)
         end = np.array([END], run.type).tobytes()
         for b in batches:
             ids = [x + end for x in run([t or "" for t in b.column("text").to_pylist()])]
-            yield pa.record_batch([b.column("doc_id"), pa.array([len(x) // len(end) for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+            yield pa.record_batch([b.column("doc_id"), b.column("row"), pa.array([len(x) // len(end) for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "row", "n_tokens", "ids"])
 
     small_batches(documents.sparkSession)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(encode, "doc_id long, n_tokens long, ids binary")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    return docs.mapInArrow(encode, "doc_id long, row long, n_tokens long, ids binary")
 
 
 def assign(sizes: np.ndarray, capacity: int = CAPACITY, linear: float = 1.0, quadratic: float = 1.0 / 2048) -> list[tuple[int, int, int, int, int]]:
@@ -106,40 +135,27 @@ def assign(sizes: np.ndarray, capacity: int = CAPACITY, linear: float = 1.0, qua
         if n % capacity:
             rest.append((n % capacity, d, n - n % capacity))
     rest.sort(key=lambda x: (-x[0], x[1]))
-    used = [0] * n_sequences
-    cost = [0.0] * n_sequences
-    heap = [(0.0, s) for s in range(whole, n_sequences)]
-    price = lambda n: linear * n + quadratic * n * n
+    used, cost = np.zeros(n_sequences - whole, np.int64), np.zeros(n_sequences - whole)
 
     def put(d: int, start: int, n: int, s: int) -> None:
-        pieces.append((d, start, n, s, used[s]))
+        pieces.append((d, start, n, whole + s, int(used[s])))
         used[s] += n
-        cost[s] += price(n)
+        cost[s] += linear * n + quadratic * n * n
+
+    def cheapest(room: int) -> int:
+        """The sequence of the lowest cost among those with room, or -1."""
+        s = int(np.argmin(np.where(used <= capacity - room, cost, np.inf)))
+        return s if used[s] <= capacity - room else -1
 
     for n, d, start in rest:
-        passed = []
-        while heap and used[heap[0][1]] + n > capacity:
-            passed.append(heapq.heappop(heap))
-            if len(passed) > 256:  # the search for room is bounded; beyond it the document is cut
-                break
-        if heap and used[heap[0][1]] + n <= capacity:
-            s = heapq.heappop(heap)[1]
+        if (s := cheapest(n)) >= 0:
             put(d, start, n, s)
-            if used[s] < capacity:
-                passed.append((cost[s], s))
-        else:
-            for x in passed:
-                heapq.heappush(heap, x)
-            passed = []
-            while n:
-                s = heapq.heappop(heap)[1]
-                take = min(n, capacity - used[s])
-                put(d, start, take, s)
-                start, n = start + take, n - take
-                if used[s] < capacity:
-                    passed.append((cost[s], s))
-        for x in passed:
-            heapq.heappush(heap, x)
+            continue
+        while n:
+            s = cheapest(1)
+            take = min(n, capacity - int(used[s]))
+            put(d, start, take, s)
+            start, n = start + take, n - take
     return pieces
 
 
@@ -169,4 +185,4 @@ def pack(documents: DataFrame, path: str, capacity: int = CAPACITY, group: int =
         return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(names, columns, strict=False)} | {"ids": pa.array(columns[7], pa.binary())})
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
-    return tokens.withColumn("g", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(groups))).groupBy("g").applyInArrow(place, schema)
+    return tokens.withColumn("g", F.pmod(F.xxhash64("doc_id", "row"), F.lit(groups))).groupBy("g").applyInArrow(place, schema)
