@@ -203,9 +203,8 @@ def test_word_tokenizer_equals_the_library(monkeypatch):
 
 
 def test_assign_finds_the_cheapest_sequence_with_room():
-    sizes = np.array([60] * 400 + [3] * 400)  # with 60 in it a sequence has room for one more small piece only
-    pieces = assign(sizes, 64)
-    assert len([p for p in pieces if p[0] < 400]) == 400  # none of the long ones is cut
+    sizes = np.array([50] * 300 + [30] * 600 + [14] * 300 + [4] * 300)  # two of 30 cost less than one of 50, but leave no room for 14
+    assert len(assign(sizes, 64, quadratic=1.0)) == len(sizes)  # nothing is cut
 
 
 def test_equal_rows_are_dealt_out(spark):
