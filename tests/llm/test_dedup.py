@@ -104,6 +104,7 @@ def test_ngram_join(docs, monkeypatch, star, hot):
     monkeypatch.setattr(N, "FEW", 0)
     monkeypatch.setattr(N, "HOT", hot)
     monkeypatch.setattr(N, "TILE", 4)
+    monkeypatch.setattr(N, "TILE_SHINGLES", 500)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs).collect()} == groups(ROWS)
 
 
@@ -116,6 +117,13 @@ def test_null_and_repeated_ids(spark):
     assert substring_deduplicate(docs).count() == 5
 
 
+def test_one_id_with_two_texts_of_equal_size(spark):
+    first, second = " ".join(f"a{i}" for i in range(16)), " ".join(f"b{i}" for i in range(16))
+    rows = [(4, first), (5, first), (5, second), (9, second + " more"), (7, "quite another text of seven words here")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(4, 4), (5, 4), (5, 4), (7, 7), (9, 4)]
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert near_duplicates(docs).count() == suffix_deduplicate(docs).count() == substring_deduplicate(docs).count() == 0

@@ -6,9 +6,14 @@ documents overlap enough, then for any m the first |s| - need + m shingles of bo
 link asks of s, share at least m. Each document takes the m that makes its estimated cost least, and two documents are
 verified if they share as many prefix shingles as the smaller of their two m.
 
-Groups of copies do not need all their pairs: documents of one set are one node, and a shingle's documents are first
-compared with one of them, the pivot. What that links is one group already. Then all pairs between different groups
-that share enough prefix shingles are verified. So no link that joins different groups is lost.
+Groups of copies do not need all their pairs: documents of one set are one node, and a shingle's nodes are first
+compared with one of them, the pivot, if they share as many prefix shingles with it. What that links is one group
+already. Then all pairs between different groups that share enough prefix shingles are verified. So no link that joins
+different groups is lost. Pairs of a frequent shingle are not written out: the nodes outside its largest group meet
+all its nodes in tiles of bounded size and are verified there at once.
+
+Sets are verified as arrays of hashes. They are stored once, for nodes that share a prefix shingle with others; before a
+join a bit table of fixed size tells which of them it needs.
 """
 
 from __future__ import annotations
@@ -23,14 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailgrain.llm import arrays as A
-from trailgrain.llm.shared import components, partitions, release, small_batches, stored
+from trailgrain.llm.shared import components, dropped, partitions, release, small_batches, stored
 
 SKETCH_BITS, SKETCH_BLOCKS = 22, 1024
 CHOICES = (1, 2, 3, 4, 6, 8, 12, 16)
-POSTING = np.dtype([("tok", "u8"), ("doc", "i8"), ("n", "i4"), ("m", "i2")])
+POSTING = np.dtype([("tok", "u8"), ("node", "i8"), ("n", "i4"), ("m", "i2")])
 FLUSH = 400_000
-STAR_ROUNDS, FEW = 1, 4  # rounds of comparing with pivots, unless there are at most so many open pairs a posting
-HOT, TILE = 64, 1024  # documents of a shingle from which they are verified in tiles, and documents in one side of a tile
+STAR_ROUNDS, FEW = 3, 4  # rounds of comparing with pivots at most; none at so many open pairs a posting
+HOT = 64  # nodes of a shingle from which they are verified in tiles
+TILE, TILE_SHINGLES = 1024, 1 << 20  # nodes and shingles in one side of a tile, about
+SLOTS = 1 << 17  # rows of 64 bits in the table that tells which keys a join needs
 
 
 def set_chunks(data: np.ndarray, offs: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -62,12 +69,11 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, width: int) -> Iterator[np.
             yield s[a:b]
 
 
-def set_names(s: np.ndarray, at: np.ndarray) -> list[bytes]:
-    """128 bits that name each set of shingles: a sum and a sum of other hashes, with the size."""
+def set_nodes(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A number of 64 bits for each set of shingles, from two sums of different hashes and the size."""
     sums = [np.append(A.U(0), np.cumsum(A.mix(x))) for x in (s, s * A.U(0x9E3779B97F4A7C15))]
-    pairs = np.stack([x[at[1:]] - x[at[:-1]] + np.diff(at).astype(np.uint64) for x in sums], 1)
-    data = pairs.tobytes()
-    return [data[k : k + 16] for k in range(0, len(data), 16)]
+    one, two = (x[at[1:]] - x[at[:-1]] for x in sums)
+    return A.mix(one ^ A.mix(two + np.diff(at).astype(np.uint64))).view(np.int64)
 
 
 def near_duplicates(documents: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
@@ -84,38 +90,43 @@ def near_duplicates(documents: DataFrame, percent: int = 80, width: int = 5) ->
     small_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets, sketch = _sets(docs, width)
-    nodes = sets.where("n > 0 and doc_id is not null").groupBy("name").agg(F.min("doc_id").alias("node"))
-    postings = _postings(docs, _classes(sketch), percent, width, sets.where("n > 0"), nodes)
-    links = _links(docs, postings, percent, width)
-    same = sets.where("n > 0 and doc_id is not null").join(nodes, "name").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    shared_ids = same.join(same.groupBy("a").agg(F.count("*").alias("c")).where("c > 1"), "a", "left_semi")  # an id with several texts
-    found = components(links.union(shared_ids))
-    group = nodes.join(found, "node", "left").select("name", F.coalesce("component", "node").alias("component_id"))
-    out = sets.join(group, "name", "left")
+    own = sets.where("node is not null and doc_id is not null")
+    nodes = own.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    lists = stored(_postings(docs, _classes(sketch), percent, width), "lists")
+    links, used = _links(_set_store(docs, nodes, lists, width), lists, percent)
+    several = own.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("doc_id", "a")
+    texts_of_id = own.join(several, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    found = components(links.union(texts_of_id))
+    for t in used:
+        dropped(t)
+    groups = nodes.join(found, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
+    first = groups.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    out = sets.join(groups.select("node", "component").join(first, "component").select("node", "component_id"), "node", "left")
     mine = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), mine.alias("component_id"))
 
 
 def _sets(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """Stored: doc_id, n and name of each document; and the frequency sketch, block by block."""
+    """Stored: doc_id, n and node (null without shingles) of each document; and the frequency sketch, block by block."""
     size = 1 << SKETCH_BITS
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.uint32)
         for b in batches:
             data, offs = A.text_bytes(b.column("text"))
-            n, names = [], []
+            n, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for s, at in set_chunks(data, offs, width):
-                n += np.diff(at).tolist()
-                names += set_names(s, at)
+                n.append(np.diff(at))
+                nodes.append(set_nodes(s, at))
                 np.add.at(counts, (s >> A.U(64 - SKETCH_BITS)).astype(np.int64), 1)
-            yield pa.record_batch([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], ["doc_id", "n", "name", "block", "counts"])
+            n, nodes = np.concatenate(n), np.concatenate(nodes)
+            yield pa.record_batch([b.column("doc_id"), pa.array(n), pa.array(nodes, mask=n == 0), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], ["doc_id", "n", "node", "block", "counts"])
         parts = np.split(counts, SKETCH_BLOCKS)
         k = [i for i, p in enumerate(parts) if p.any()]
-        yield pa.record_batch([pa.nulls(len(k), pa.int64()), pa.nulls(len(k), pa.int64()), pa.nulls(len(k), pa.binary()), pa.array(k, pa.int32()), pa.array([parts[i].tobytes() for i in k], pa.binary())], ["doc_id", "n", "name", "block", "counts"])
+        yield pa.record_batch([*[pa.nulls(len(k), pa.int64())] * 3, pa.array(k, pa.int32()), pa.array([parts[i].tobytes() for i in k], pa.binary())], ["doc_id", "n", "node", "block", "counts"])
 
-    found = stored(docs.mapInArrow(scan, "doc_id long, n long, name binary, block int, counts binary"), "sets")
-    return found.where("block is null").select("doc_id", "n", "name"), found.where("block is not null").select("block", "counts")
+    found = stored(docs.mapInArrow(scan, "doc_id long, n long, node long, block int, counts binary"), "sets")
+    return found.where("block is null").select("doc_id", "n", "node"), found.where("block is not null").select("block", "counts")
 
 
 def _classes(sketch: DataFrame) -> np.ndarray:
@@ -164,19 +175,13 @@ def _plain_choice(n: int, percent: int) -> tuple[int, int]:
     return _choice(n, percent, np.zeros(n))
 
 
-def _postings(docs: DataFrame, classes: np.ndarray, percent: int, width: int, sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Stored rows (tok, doc, n, m) of prefix shingles that at least two nodes share; doc is a node."""
+def _postings(docs: DataFrame, classes: np.ndarray, percent: int, width: int) -> DataFrame:
+    """Rows (tok, node, n, m) of prefix shingles that at least two nodes share."""
     spark = docs.sparkSession
     blocks, shared = 4 * partitions(spark), spark.sparkContext.broadcast(classes)
 
-    def rows_of(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bytes]]:
-        for s, at in set_chunks(data, offs, width):
-            cls = shared.value[(s >> A.U(64 - SKETCH_BITS)).astype(np.int64)]
-            for a, b, name in zip(at[:-1].tolist(), at[1:].tolist(), set_names(s, at), strict=True):
-                yield s[a:b], cls[a:b], name
-
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: set[bytes] = set()
+        known: set[int] = set()
         held, size = [], 0
 
         def flushed() -> pa.RecordBatch:
@@ -189,41 +194,81 @@ def _postings(docs: DataFrame, classes: np.ndarray, percent: int, width: int, se
             return pa.record_batch([pa.array(block[heads], pa.int32()), pa.array([p[i:j].tobytes() for i, j in zip(heads, ends, strict=True)], pa.binary())], ["block", "payload"])
 
         for b in batches:
-            data, offs = A.text_bytes(b.column("text"))
-            for doc, (s, cls, name) in zip(b.column("doc_id").to_pylist(), rows_of(data, offs), strict=True):
-                if doc is None or not len(s) or name in known:
-                    continue
-                known.add(name)
-                tok, m = prefix(s, cls, percent)
-                p = np.zeros(len(tok), POSTING)
-                p["tok"], p["doc"], p["n"], p["m"] = tok, doc, len(s), m
-                held.append(p)
-                size += len(p)
-                if size >= FLUSH:
-                    yield flushed()
-                    held, size = [], 0
+            b = b.filter(b.column("doc_id").is_valid())
+            for s, at in set_chunks(*A.text_bytes(b.column("text")), width):
+                cls = shared.value[(s >> A.U(64 - SKETCH_BITS)).astype(np.int64)]
+                for i, j, node in zip(at[:-1].tolist(), at[1:].tolist(), set_nodes(s, at).tolist(), strict=True):
+                    if i == j or node in known:
+                        continue
+                    known.add(node)
+                    tok, m = prefix(s[i:j], cls[i:j], percent)
+                    p = np.zeros(len(tok), POSTING)
+                    p["tok"], p["node"], p["n"], p["m"] = tok, node, j - i, m
+                    held.append(p)
+                    size += len(p)
+                    if size >= FLUSH:
+                        yield flushed()
+                        held, size = [], 0
         if size:
             yield flushed()
 
     def lists(t: pa.Table) -> pa.Table:
         p = np.frombuffer(b"".join(t.column("payload").to_pylist()), POSTING)
-        p = p[np.argsort(p["tok"])]
+        p = p[np.lexsort((p["node"], p["tok"]))]
         new = np.ones(len(p), bool)
-        new[1:] = p["tok"][1:] != p["tok"][:-1]
-        run = np.cumsum(new) - 1
+        new[1:] = (p["tok"][1:] != p["tok"][:-1]) | (p["node"][1:] != p["node"][:-1])
+        p = p[new]
+        run = np.cumsum(np.append(True, p["tok"][1:] != p["tok"][:-1])) - 1
         p = p[np.bincount(run)[run] > 1]
-        return pa.table({"tok": pa.array(p["tok"].astype(np.int64)), "doc": pa.array(p["doc"].copy()), "n": pa.array(p["n"].copy()), "m": pa.array(p["m"].astype(np.int32))})
+        return pa.table({"tok": pa.array(p["tok"].astype(np.int64)), "node": pa.array(p["node"].copy()), "n": pa.array(p["n"].copy()), "m": pa.array(p["m"].astype(np.int32)), "comp": pa.array(p["node"].copy())})
+
+    return docs.mapInArrow(emit, "block int, payload binary").groupBy("block").applyInArrow(lists, "tok long, node long, n int, m int, comp long")
 
-    rows = docs.mapInArrow(emit, "block int, payload binary").groupBy("block").applyInArrow(lists, "tok long, doc long, n int, m int")
-    named = sets.where("doc_id is not null").join(nodes, "name").where("doc_id <> node").groupBy("doc_id", "n").agg(F.min("node").alias("node"))
-    named = named.select(F.col("doc_id").alias("doc"), F.col("n").cast("int").alias("n"), "node")
-    raw = stored(rows, "postings")
-    return raw.join(named, ["doc", "n"], "left").select("tok", F.coalesce("node", "doc").alias("doc"), "n", "m").distinct()
 
+def _only(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows of df that may have a key among those wanted (a column of the same name): all that do, and few others.
+
+    The keys' hashes set bits in a table of SLOTS rows at most, which is broadcast whatever the input; so only rows that a
+    join needs are shuffled for it.
+    """
+    h = F.xxhash64(key)
+    slot, bit = F.pmod(F.shiftrightunsigned(h, 6), F.lit(SLOTS)).cast("int").alias("slot"), F.expr(f"shiftleft(1L, cast(xxhash64({key}) & 63 as int))")
+    bits = wanted.select(slot, bit.alias("bit")).groupBy("slot").agg(F.expr("bit_or(bit)").alias("bits"))
+    return df.withColumn("slot", slot).join(F.broadcast(bits), "slot").where(F.expr(f"bits & shiftleft(1L, cast(xxhash64({key}) & 63 as int)) <> 0")).drop("slot", "bits")
 
-def _links(docs: DataFrame, postings: DataFrame, percent: int, width: int) -> DataFrame:
-    """Links that join what belongs together: with pivots, then within frequent shingles, then by shared prefixes."""
-    lists = stored(postings.withColumn("comp", F.col("doc")), "lists")
+
+def _set_store(docs: DataFrame, nodes: DataFrame, lists: DataFrame, width: int) -> DataFrame:
+    """Stored: the whole set of each node of the lists, from the text of its smallest doc_id."""
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[int] = set()
+        for b in batches:
+            want, out = b.column("node").to_pylist(), []
+            for s, at in set_chunks(*A.text_bytes(b.column("text")), width):
+                for i, j, node in zip(at[:-1].tolist(), at[1:].tolist(), set_nodes(s, at).tolist(), strict=True):
+                    if node == want[len(out)] and node not in known:
+                        known.add(node)
+                        out.append(s[i:j].tobytes())
+                    else:
+                        out.append(None)
+            b = pa.record_batch([b.column("node"), pa.array(out, pa.binary())], ["node", "hashes"])
+            yield b.filter(b.column("hashes").is_valid())
+
+    wanted = stored(nodes.join(lists.select("node").distinct(), "node"), "wanted")
+    texts = _only(docs, "doc_id", wanted).join(wanted, "doc_id")
+    store = stored(texts.select("node", "text").mapInArrow(hashes, "node long, hashes binary"), "store")
+    dropped(wanted)
+    return store
+
+
+def _majors(lists: DataFrame, turn: int) -> DataFrame:
+    """For each shingle its largest group (major) and a node of it (pivot, with its m), another one each turn."""
+    draw = F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "m")).alias("p")
+    by = lists.groupBy("tok", "comp").agg(F.count("*").alias("c"), draw).groupBy("tok").agg(F.max(F.struct("c", "comp", "p")).alias("b"))
+    return by.select("tok", F.col("b.comp").alias("major"), F.col("b.p.node").alias("pivot"), F.col("b.p.m").alias("pivot_m"))
+
+
+def _links(store: DataFrame, lists: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Links that join what belongs together: with pivots, then within frequent shingles, then by shared prefixes; and the tables they read."""
     found: list[DataFrame] = []
     before = None
     for turn in range(STAR_ROUNDS):
@@ -231,87 +276,96 @@ def _links(docs: DataFrame, postings: DataFrame, percent: int, width: int) -> Da
         if pairs <= FEW * rows or (before and pairs > 0.8 * before):
             break
         before = pairs
-        pivots = lists.groupBy("tok").agg(F.min(F.struct(F.xxhash64("doc", F.lit(turn)), "doc")).alias("p")).select("tok", F.col("p.doc").alias("pivot"))
-        star = lists.join(pivots, "tok").where("doc <> pivot")
-        star = star.select(F.col("doc").alias("x"), F.col("pivot").alias("y")).groupBy("x", "y").agg(F.count("*").alias("c"))
+        star = lists.join(_majors(lists, turn), "tok").where("comp <> major")
+        star = star.groupBy(F.col("node").alias("x"), F.col("pivot").alias("y")).agg(F.count("*").alias("c"), F.min(F.least("m", "pivot_m")).alias("need")).where("c >= need")
         best = star.groupBy("x").agg(F.max(F.struct("c", "y")).alias("b")).select("x", F.col("b.y").alias("y"))
-        found.append(stored(_verified(docs, best, percent, width), "links"))
-        lists = _between(lists, functools.reduce(DataFrame.union, found))
-    sizes = lists.groupBy("tok").agg(F.count("*").alias("c"), F.expr("bit_xor(xxhash64(doc))").alias("same"))
-    hot = sizes.where(F.col("c") >= HOT)
+        found.append(_verified(store, best, percent))
+        lists = _between(lists, lists, found)
+    hot = lists.groupBy("tok").agg(F.count("*").alias("c"), F.sum("n").alias("size"), F.expr("bit_xor(xxhash64(node))").alias("same")).where(F.col("c") >= HOT)
     if not hot.isEmpty():
-        one = hot.groupBy("same", "c").agg(F.min("tok").alias("tok")).select("tok", "c")  # of shingles of the same documents one will do
-        found.append(stored(_verified_in_tiles(docs, lists.join(one, "tok"), percent, width), "links"))
-        lists = _between(lists.join(hot.select("tok"), "tok", "left_anti"), functools.reduce(DataFrame.union, found))
-    blocks = 4 * partitions(docs.sparkSession)
-    packed = lists.select(F.pmod(F.xxhash64("tok"), F.lit(blocks)).alias("block"), "tok", "doc", "n", "m", "comp")
+        one = hot.groupBy("same", "c").agg(F.min("tok").alias("tok"), F.max("size").alias("size"))  # of shingles of the same nodes one will do
+        found.append(_verified_in_tiles(store, lists.join(one, "tok"), _majors(lists, 0), percent))
+        lists = _between(lists.join(hot.select("tok"), "tok", "left_anti"), lists, found)
+    blocks = 4 * partitions(lists.sparkSession)
+    packed = lists.select(F.pmod(F.xxhash64("tok"), F.lit(blocks)).alias("block"), "tok", "node", "n", "m", "comp")
 
     def cross(t: pa.Table) -> pa.Table:
-        return _cross_pairs(*(t.column(c).to_numpy() for c in ("tok", "doc", "n", "m", "comp")), percent)
+        return _cross_pairs(*(t.column(c).to_numpy() for c in ("tok", "node", "n", "m", "comp")), percent)
 
     # Pairs that share a hot shingle are verified already; the others have all that they share in these lists.
     pairs = packed.groupBy("block").applyInArrow(cross, "x long, y long, c int, need int")
     pairs = pairs.groupBy("x", "y").agg(F.sum("c").alias("c"), F.max("need").alias("need")).where("c >= need").select("x", "y")
-    found.append(stored(_verified(docs, stored(pairs, "pairs"), percent, width), "links"))
-    return functools.reduce(DataFrame.union, found)
+    found.append(_verified(store, pairs, percent))
+    return functools.reduce(DataFrame.union, found), [store, lists, *found]
 
 
-def _verified_in_tiles(docs: DataFrame, lists: DataFrame, percent: int, width: int) -> DataFrame:
-    """Links between documents of one frequent shingle, tile by tile; only links that join groups are returned."""
-    parts = F.ceil(F.col("c") / TILE).cast("int")
-    rows = lists.select("tok", "doc", "comp", parts.alias("parts")).withColumn("part", F.pmod(F.xxhash64("doc"), "parts").cast("int"))
-    tiles = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("tok", "doc", "comp", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("doc"), "text")
+def _verified_in_tiles(store: DataFrame, lists: DataFrame, majors: DataFrame, percent: int) -> DataFrame:
+    """Stored links between nodes of one frequent shingle, tile by tile.
+
+    Nodes outside the shingle's largest group are dealt into rows of tiles, all its nodes into columns, by their number
+    and their shingles, so that a tile is bounded on both sides; only links that join groups are returned.
+    """
+    parts = lambda c, size: F.greatest(F.ceil(c / TILE), F.ceil(size / TILE_SHINGLES)).cast("int")
+    rows = lists.join(majors.select("tok", "major"), "tok")
+    minor = rows.where("comp <> major").groupBy("tok").agg(parts(F.count("*"), F.sum("n")).alias("tall"))
+    rows = rows.join(minor, "tok").withColumn("wide", parts(F.col("c"), F.col("size")))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    deal = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+    tall = rows.where("comp <> major").select("tok", deal("tall", 1).alias("i"), every("wide").alias("j"), "node", "comp", F.lit(True).alias("row"))
+    wide = rows.select("tok", every("tall").alias("i"), deal("wide", 2).alias("j"), "node", "comp", F.lit(False).alias("row"))
+    tiles = tall.union(wide)
 
     def verify(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        doc, comp, part = (t.column(c).to_numpy() for c in ("doc", "comp", "part"))
-        sets = [s for b in t.select(["text"]).to_batches() for s in shingle_sets(*A.text_bytes(b.column("text")), width)]
+        node, comp = t.column("node").to_numpy(), t.column("comp").to_numpy()
+        is_row = t.column("row").to_numpy(zero_copy_only=False).astype(bool)
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()]
+        x, y = np.flatnonzero(is_row), np.flatnonzero(~is_row)
         sizes = np.array([len(s) for s in sets])
         names, column = np.unique(np.concatenate(sets), return_inverse=True)
-        row = np.repeat(np.arange(len(sets)), sizes)
+        at = np.repeat(np.arange(len(sets)), sizes)
         shared = np.bincount(column, minlength=len(names)) > 1
         number = np.cumsum(shared) - 1
-        row, column = row[shared[column]], number[column[shared[column]]]
+        at, column = at[shared[column]], number[column[shared[column]]]
         order = np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
-        both = np.zeros((len(sets), len(sets)), np.float32)
+        at, column = at[order], column[order]
+        both = np.zeros((len(x), len(y)), np.float32)
         step = 2048
         for first in range(0, int(shared.sum()), step):
             a, b = np.searchsorted(column, [first, first + step])
             m = np.zeros((len(sets), step), np.float32)
-            m[row[a:b], column[a:b] - first] = 1
-            both += m @ m.T
-        union = sizes[:, None] + sizes[None, :] - both
-        hit = (100 * both >= percent * union) & (comp[:, None] != comp[None, :]) & (both > 0)
-        if part.min() != part.max():
-            hit &= part[:, None] != part[None, :]
-        links = A.spanning(doc, doc, *np.nonzero(hit))
+            m[at[a:b], column[a:b] - first] = 1
+            both += m[x] @ m[y].T
+        union = sizes[x, None] + sizes[None, y] - both
+        hit = (100 * both >= percent * union) & (comp[x, None] != comp[None, y]) & (both > 0)
+        links = A.spanning(node[x], node[y], *np.nonzero(hit))
         return pa.table({"a": pa.array(links[:, 0].copy(), pa.int64()), "b": pa.array(links[:, 1].copy(), pa.int64())})
 
-    release(docs.sparkSession)
-    return tiles.join(texts, "doc").select("tok", "i", "j", "doc", "comp", "part", "text").groupBy("tok", "i", "j").applyInArrow(verify, "a long, b long")
+    release(store.sparkSession)
+    sets = _only(store, "node", rows.select("node"))
+    return stored(tiles.join(sets, "node").select("tok", "i", "j", "node", "comp", "row", "hashes").groupBy("tok", "i", "j").applyInArrow(verify, "a long, b long"), "links")
 
 
-def _between(lists: DataFrame, links: DataFrame) -> DataFrame:
-    """Stored rows of those shingles whose documents are in more than one group so far."""
-    groups = components(links).withColumnRenamed("node", "doc").withColumnRenamed("component", "comp")
-    now = lists.select("tok", "doc", "n", "m").join(groups, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+def _between(lists: DataFrame, old: DataFrame, links: list[DataFrame]) -> DataFrame:
+    """Stored rows of those shingles whose nodes are in more than one group so far; the old lists are deleted."""
+    groups = components(functools.reduce(DataFrame.union, links)).withColumnRenamed("component", "comp")
+    now = lists.select("tok", "node", "n", "m").join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     several = now.groupBy("tok").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("tok")
-    return stored(now.join(several, "tok", "left_semi"), "lists")
+    new = stored(now.join(several, "tok", "left_semi"), "lists")
+    dropped(old)
+    return new
 
 
 def _open_pairs(lists: DataFrame) -> tuple[int, int]:
-    """Rows, and pairs of documents in different groups that share a shingle, counted for each shingle."""
+    """Rows, and pairs of nodes in different groups that share a shingle, counted for each shingle."""
     by = lists.groupBy("tok", "comp").agg(F.count("*").alias("c")).groupBy("tok").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
     row = by.agg(F.sum("s"), F.sum(F.expr("(s * s - q) / 2"))).first()
     return int(row[0] or 0), int(row[1] or 0)
 
 
-def _cross_pairs(tok: np.ndarray, doc: np.ndarray, n: np.ndarray, m: np.ndarray, comp: np.ndarray, percent: int) -> pa.Table:
-    """Pairs of one block between different groups, of sizes that can link, with the number of shared shingles in it."""
+def _cross_pairs(tok: np.ndarray, node: np.ndarray, n: np.ndarray, m: np.ndarray, comp: np.ndarray, percent: int) -> pa.Table:
+    """Pairs of nodes of one block between different groups, of sizes that can link, with the number of shared shingles in it."""
     order = np.lexsort((comp, tok))
-    tok, doc, n, m, comp = tok[order], doc[order], n[order].astype(np.int64), m[order], comp[order]
+    tok, node, n, m, comp = tok[order], node[order], n[order].astype(np.int64), m[order], comp[order]
     ends = np.searchsorted(tok, tok, "right")
     after = np.zeros(len(tok), np.int64)  # first row of the shingle's next group
     if len(tok):
@@ -330,7 +384,7 @@ def _cross_pairs(tok: np.ndarray, doc: np.ndarray, n: np.ndarray, m: np.ndarray,
         right = np.repeat(after[i:j] - (np.cumsum(c) - c), c) + np.arange(c.sum())
         fit = 100 * np.minimum(n[left], n[right]) >= percent * np.maximum(n[left], n[right])
         left, right = left[fit], right[fit]
-        x, y, need = np.minimum(doc[left], doc[right]), np.maximum(doc[left], doc[right]), np.minimum(m[left], m[right])
+        x, y, need = np.minimum(node[left], node[right]), np.maximum(node[left], node[right]), np.minimum(m[left], m[right])
         out.append(_counted(x, y, np.ones(len(x), np.int64), need))
         i = j
     rows = _counted(*np.concatenate(out, axis=1)) if out else np.zeros((4, 0), np.int64)
@@ -347,18 +401,22 @@ def _counted(x: np.ndarray, y: np.ndarray, c: np.ndarray, need: np.ndarray) -> n
     return np.stack([x[heads], y[heads], sums, need[heads]]).astype(np.int64)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, percent: int, width: int) -> DataFrame:
-    """Of the pairs (x, y) those whose whole sets reach the threshold, as links (a, b)."""
+def _verified(store: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Stored: of the pairs (x, y) those whose whole sets reach the threshold, as links (a, b)."""
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
-            for s, t in zip(*(shingle_sets(*A.text_bytes(b.column(c)), width) for c in ("tx", "ty")), strict=True):
+            for s, t in zip(*(b.column(c).to_pylist() for c in ("sx", "sy")), strict=True):
+                s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
                 both = len(np.intersect1d(s, t, assume_unique=True)) if 100 * min(len(s), len(t)) >= percent * max(len(s), len(t)) else 0
                 keep.append(both > 0 and 100 * both >= percent * (len(s) + len(t) - both))
             kept = pa.array(keep, pa.bool_())
             yield pa.record_batch([b.column("x").filter(kept), b.column("y").filter(kept)], ["a", "b"])
 
-    release(docs.sparkSession)
-    texts = docs.where("doc_id is not null")
-    one = pairs.join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("tx")), "x")
-    return one.join(texts.select(F.col("doc_id").alias("y"), F.col("text").alias("ty")), "y").select("x", "y", "tx", "ty").mapInArrow(verify, "a long, b long")
+    release(store.sparkSession)
+    pairs = stored(pairs, "pairs")
+    needed = _only(store, "node", pairs.select(F.explode(F.array("x", "y")).alias("node")))
+    one = pairs.join(needed.select(F.col("node").alias("x"), F.col("hashes").alias("sx")), "x")
+    links = stored(one.join(needed.select(F.col("node").alias("y"), F.col("hashes").alias("sy")), "y").select("x", "y", "sx", "sy").mapInArrow(verify, "a long, b long"), "links")
+    dropped(pairs)
+    return links
