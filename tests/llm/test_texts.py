@@ -212,3 +212,37 @@ def test_equal_rows_are_dealt_out(spark):
     got = pack(spark.createDataFrame([(1, "word " * 900)] * 60, "doc_id long, text string"), path, group=1).toPandas()
     assert got.length.sum() == 60 * 901
     assert (got.sequence_id // 2**32).nunique() > 5
+
+
+def test_warc_files_do_not_depend_on_the_session(spark, tmp_path, monkeypatch):
+    import io
+
+    from trailgrain.llm import warc as W
+
+    monkeypatch.setattr(W, "LEAST_PART", 40_000)
+    rows = [(i * i, f"http://x/{i}", f"page {i % 1900} " * (i % 40)) for i in range(2000)]
+    rows += [(77, f"http://hot/{i}", f"hot {i} " * 30) for i in range(1000)] + [(5, "http://twice", "same")] * 3 + [(None, None, "none")]
+    given = spark.createDataFrame(rows, "page_id long, url string, html string")
+    manifests = []
+    for k in (3, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", k)
+        try:
+            manifests.append(write_warc(given.repartition(k), f"file://{tmp_path}/{k}", roll=8000))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert manifests[0] == manifests[1]
+    assert len({m["name"].split("-")[1] for m in manifests[0]}) > 8  # parts; the hot id is divided too
+    firsts = [m["first_id"] for m in manifests[0] if m["first_id"] is not None]
+    assert firsts == sorted(firsts)
+    names, kinds = [], collections.Counter()
+    for m in manifests[0]:
+        with gzip.open(f"{tmp_path}/3/{m['name']}") as f:
+            for head, _ in W.records(io.BufferedReader(f)):
+                names.append(head["WARC-Record-ID"])
+                kinds[head["WARC-Type"]] += 1
+                if head["WARC-Type"] == "revisit":
+                    assert head["WARC-Refers-To-Target-URI"].startswith("http://")
+    assert len(set(names)) == len(names)
+    assert kinds["warcinfo"] == len(manifests[0])
+    got = read_warc(spark, f"file://{tmp_path}/7").collect()
+    assert len(got) == len(rows) == kinds["response"] + kinds["revisit"]
