@@ -96,12 +96,10 @@ def groups(rows, percent=80):
     return {d: (len(s), find(d)) for d, s in sets.items()}
 
 
-@pytest.mark.parametrize(("star", "hot"), [(1, 64), (0, 3), (2, 1000)])
-def test_ngram_join(docs, monkeypatch, star, hot):
+@pytest.mark.parametrize("hot", [64, 3, 1000])
+def test_ngram_join(docs, monkeypatch, hot):
     import trailgrain.llm.ngram_join as N
 
-    monkeypatch.setattr(N, "STAR_ROUNDS", star)
-    monkeypatch.setattr(N, "FEW", 0)
     monkeypatch.setattr(N, "HOT", hot)
     monkeypatch.setattr(N, "TILE", 4)
     monkeypatch.setattr(N, "TILE_SHINGLES", 500)

@@ -10,7 +10,7 @@ Groups of copies do not need all their pairs: documents of one set are one node,
 compared with one of them, the pivot, if they share as many prefix shingles with it. What that links is one group
 already. Then all pairs between different groups that share enough prefix shingles are verified. So no link that joins
 different groups is lost. Pairs of a frequent shingle are not written out: the nodes outside its largest group meet
-all its nodes in tiles of bounded size and are verified there at once.
+all its nodes in tiles of bounded size and are verified there at once; shingles with one largest group share the tiles.
 
 Sets are verified as arrays of hashes. They are stored once, for nodes that share a prefix shingle with others; before a
 join a bit table of fixed size tells which of them it needs.
@@ -32,9 +32,8 @@ from trailgrain.llm.shared import components, dropped, partitions, release, smal
 
 SKETCH_BITS, SKETCH_BLOCKS = 22, 1024
 CHOICES = (1, 2, 3, 4, 6, 8, 12, 16)
-POSTING = np.dtype([("tok", "u8"), ("node", "i8"), ("n", "i4"), ("m", "i2")])
+POSTING = np.dtype([("tok", "<u4"), ("top", "<u2"), ("node", "i8"), ("nm", "u4")])  # 48 bits of the shingle; size and place of m among the choices
 FLUSH = 400_000
-STAR_ROUNDS, FEW = 3, 4  # rounds of comparing with pivots at most; none at so many open pairs a posting
 HOT = 64  # nodes of a shingle from which they are verified in tiles
 TILE, TILE_SHINGLES = 1024, 1 << 20  # nodes and shingles in one side of a tile, about
 SLOTS = 1 << 17  # rows of 64 bits in the table that tells which keys a join needs
@@ -176,9 +175,10 @@ def _plain_choice(n: int, percent: int) -> tuple[int, int]:
 
 
 def _postings(docs: DataFrame, classes: np.ndarray, percent: int, width: int) -> DataFrame:
-    """Rows (tok, node, n, m) of prefix shingles that at least two nodes share."""
+    """Rows (tok, node, n, m) of prefix shingles that at least two nodes share, each with the shingle's pivot and its m."""
     spark = docs.sparkSession
     blocks, shared = 4 * partitions(spark), spark.sparkContext.broadcast(classes)
+    choice = {m: k for k, m in enumerate(CHOICES)}
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
@@ -186,7 +186,7 @@ def _postings(docs: DataFrame, classes: np.ndarray, percent: int, width: int) ->
 
         def flushed() -> pa.RecordBatch:
             p = np.concatenate(held)
-            block = (A.mix(p["tok"]) % A.U(blocks)).astype(np.int64)
+            block = (A.mix(_toks(p)) % A.U(blocks)).astype(np.int64)
             order = np.argsort(block, kind="stable")
             p, block = p[order], block[order]
             heads = np.flatnonzero(np.diff(block, prepend=-1))
@@ -203,7 +203,7 @@ def _postings(docs: DataFrame, classes: np.ndarray, percent: int, width: int) ->
                     known.add(node)
                     tok, m = prefix(s[i:j], cls[i:j], percent)
                     p = np.zeros(len(tok), POSTING)
-                    p["tok"], p["node"], p["n"], p["m"] = tok, node, j - i, m
+                    p["tok"], p["top"], p["node"], p["nm"] = tok & A.U(0xFFFFFFFF), (tok >> A.U(32)) & A.U(0xFFFF), node, (j - i) * len(CHOICES) + choice[m]
                     held.append(p)
                     size += len(p)
                     if size >= FLUSH:
@@ -214,15 +214,24 @@ def _postings(docs: DataFrame, classes: np.ndarray, percent: int, width: int) ->
 
     def lists(t: pa.Table) -> pa.Table:
         p = np.frombuffer(b"".join(t.column("payload").to_pylist()), POSTING)
-        p = p[np.lexsort((p["node"], p["tok"]))]
-        new = np.ones(len(p), bool)
-        new[1:] = (p["tok"][1:] != p["tok"][:-1]) | (p["node"][1:] != p["node"][:-1])
-        p = p[new]
-        run = np.cumsum(np.append(True, p["tok"][1:] != p["tok"][:-1])) - 1
-        p = p[np.bincount(run)[run] > 1]
-        return pa.table({"tok": pa.array(p["tok"].astype(np.int64)), "node": pa.array(p["node"].copy()), "n": pa.array(p["n"].copy()), "m": pa.array(p["m"].astype(np.int32)), "comp": pa.array(p["node"].copy())})
+        tok, node = _toks(p).astype(np.int64), p["node"]
+        drawn = A.mix(node.view(np.uint64))  # the pivot is the node of the least hash, so lists of the same nodes choose the same
+        order = np.lexsort((node, drawn, tok))
+        p, tok, node = p[order], tok[order], node[order]
+        new = np.append(True, (tok[1:] != tok[:-1]) | (node[1:] != node[:-1]))
+        p, tok, node = p[new], tok[new], node[new]
+        heads = np.flatnonzero(np.append(True, tok[1:] != tok[:-1]))
+        sizes = A.tails(heads, len(tok)) - heads
+        n, m = (p["nm"] // len(CHOICES)).astype(np.int32), np.array(CHOICES, np.int32)[p["nm"] % len(CHOICES)]
+        keep = np.repeat(sizes > 1, sizes)
+        columns = {"tok": tok, "node": node, "n": n, "m": m, "pivot": np.repeat(node[heads], sizes), "pivot_m": np.repeat(m[heads], sizes)}
+        return pa.table({c: pa.array(v[keep]) for c, v in columns.items()})
 
-    return docs.mapInArrow(emit, "block int, payload binary").groupBy("block").applyInArrow(lists, "tok long, node long, n int, m int, comp long")
+    return docs.mapInArrow(emit, "block int, payload binary").groupBy("block").applyInArrow(lists, "tok long, node long, n int, m int, pivot long, pivot_m int")
+
+
+def _toks(p: np.ndarray) -> np.ndarray:
+    return (p["top"].astype(np.uint64) << A.U(32)) | p["tok"].astype(np.uint64)
 
 
 def _only(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
@@ -260,59 +269,50 @@ def _set_store(docs: DataFrame, nodes: DataFrame, lists: DataFrame, width: int)
     return store
 
 
-def _majors(lists: DataFrame, turn: int) -> DataFrame:
-    """For each shingle its largest group (major) and a node of it (pivot, with its m), another one each turn."""
-    draw = F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "m")).alias("p")
-    by = lists.groupBy("tok", "comp").agg(F.count("*").alias("c"), draw).groupBy("tok").agg(F.max(F.struct("c", "comp", "p")).alias("b"))
-    return by.select("tok", F.col("b.comp").alias("major"), F.col("b.p.node").alias("pivot"), F.col("b.p.m").alias("pivot_m"))
-
-
 def _links(store: DataFrame, lists: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Links that join what belongs together: with pivots, then within frequent shingles, then by shared prefixes; and the tables they read."""
-    found: list[DataFrame] = []
-    before = None
-    for turn in range(STAR_ROUNDS):
-        rows, pairs = _open_pairs(lists)
-        if pairs <= FEW * rows or (before and pairs > 0.8 * before):
-            break
-        before = pairs
-        star = lists.join(_majors(lists, turn), "tok").where("comp <> major")
-        star = star.groupBy(F.col("node").alias("x"), F.col("pivot").alias("y")).agg(F.count("*").alias("c"), F.min(F.least("m", "pivot_m")).alias("need")).where("c >= need")
-        best = star.groupBy("x").agg(F.max(F.struct("c", "y")).alias("b")).select("x", F.col("b.y").alias("y"))
-        found.append(_verified(store, best, percent))
-        lists = _between(lists, lists, found)
-    hot = lists.groupBy("tok").agg(F.count("*").alias("c"), F.sum("n").alias("size"), F.expr("bit_xor(xxhash64(node))").alias("same")).where(F.col("c") >= HOT)
-    if not hot.isEmpty():
-        one = hot.groupBy("same", "c").agg(F.min("tok").alias("tok"), F.max("size").alias("size"))  # of shingles of the same nodes one will do
-        found.append(_verified_in_tiles(store, lists.join(one, "tok"), _majors(lists, 0), percent))
-        lists = _between(lists.join(hot.select("tok"), "tok", "left_anti"), lists, found)
+    """Links that join what belongs together: with pivots, then within frequent shingles and by shared prefixes; and the tables they read."""
+    star = lists.where("node <> pivot").repartition("node")
+    star = star.groupBy(F.col("node"), F.col("pivot").alias("y")).agg(F.count("*").alias("c"), F.min(F.least("m", "pivot_m")).alias("need")).where("c >= need")
+    best = star.groupBy("node").agg(F.max(F.struct("c", "y")).alias("b")).select(F.col("node").alias("x"), F.col("b.y").alias("y"))
+    first = _verified(store, best, percent)
+    left = _between(lists, first)
+    dropped(lists)
+    tiles = _verified_in_tiles(store, left.where(F.col("c") >= HOT), percent)
     blocks = 4 * partitions(lists.sparkSession)
-    packed = lists.select(F.pmod(F.xxhash64("tok"), F.lit(blocks)).alias("block"), "tok", "node", "n", "m", "comp")
+    packed = left.where(F.col("c") < HOT).select(F.pmod(F.xxhash64("tok"), F.lit(blocks)).alias("block"), "tok", "node", "n", "m", "comp")
 
     def cross(t: pa.Table) -> pa.Table:
         return _cross_pairs(*(t.column(c).to_numpy() for c in ("tok", "node", "n", "m", "comp")), percent)
 
-    # Pairs that share a hot shingle are verified already; the others have all that they share in these lists.
+    # Pairs that share a hot shingle meet in tiles; the others have all that they share in these lists.
     pairs = packed.groupBy("block").applyInArrow(cross, "x long, y long, c int, need int")
     pairs = pairs.groupBy("x", "y").agg(F.sum("c").alias("c"), F.max("need").alias("need")).where("c >= need").select("x", "y")
-    found.append(_verified(store, pairs, percent))
-    return functools.reduce(DataFrame.union, found), [store, lists, *found]
+    found = [first, tiles, _verified(store, pairs, percent)]
+    return functools.reduce(DataFrame.union, found), [store, left, *found]
 
 
-def _verified_in_tiles(store: DataFrame, lists: DataFrame, majors: DataFrame, percent: int) -> DataFrame:
-    """Stored links between nodes of one frequent shingle, tile by tile.
+def _verified_in_tiles(store: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
+    """Stored links between nodes of frequent shingles, tile by tile.
 
     Nodes outside the shingle's largest group are dealt into rows of tiles, all its nodes into columns, by their number
-    and their shingles, so that a tile is bounded on both sides; only links that join groups are returned.
+    and their shingles, so that a tile is bounded on both sides. Shingles that have one largest group are put together,
+    so that their nodes meet once, unless that makes more pairs than the shingles have by themselves.
     """
-    parts = lambda c, size: F.greatest(F.ceil(c / TILE), F.ceil(size / TILE_SHINGLES)).cast("int")
-    rows = lists.join(majors.select("tok", "major"), "tok")
-    minor = rows.where("comp <> major").groupBy("tok").agg(parts(F.count("*"), F.sum("n")).alias("tall"))
-    rows = rows.join(minor, "tok").withColumn("wide", parts(F.col("c"), F.col("size")))
+    by = hot.groupBy("tok", "comp").agg(F.count("*").alias("k")).groupBy("tok").agg(F.max(F.struct("k", "comp")).alias("b"), F.sum("k").alias("c"))
+    by = by.select("tok", F.col("b.comp").alias("major"), (F.col("c") * (F.col("c") - F.col("b.k"))).alias("own_pairs"))
+    rows = hot.select("tok", "node", "n", "comp").join(by, "tok")
+    nodes = rows.groupBy("major", "node").agg(F.first("comp").alias("comp"))
+    united = nodes.groupBy("major").agg((F.count("*") * F.count_if(F.col("comp") != F.col("major"))).alias("pairs"))
+    apart = by.groupBy("major").agg(F.sum("own_pairs").alias("own_pairs")).join(united, "major").select("major", (F.col("pairs") > F.col("own_pairs")).alias("apart"))
+    key = F.struct("major", F.when(F.col("apart"), F.col("tok")).alias("tok")).alias("key")
+    rows = stored(rows.join(apart, "major").select(key, "node", "n", "comp").distinct(), "tiles")
+    parts = lambda which: F.greatest(F.lit(1), F.ceil(F.count_if(which) / TILE), F.ceil(F.sum(F.when(which, F.col("n"))) / TILE_SHINGLES)).cast("int")
+    size = rows.groupBy("key").agg(parts(F.col("comp") != F.col("key.major")).alias("tall"), parts(F.lit(True)).alias("wide"))
+    rows_of = rows.join(size, "key")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     deal = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
-    tall = rows.where("comp <> major").select("tok", deal("tall", 1).alias("i"), every("wide").alias("j"), "node", "comp", F.lit(True).alias("row"))
-    wide = rows.select("tok", every("tall").alias("i"), deal("wide", 2).alias("j"), "node", "comp", F.lit(False).alias("row"))
+    tall = rows_of.where("comp <> key.major").select("key", deal("tall", 1).alias("i"), every("wide").alias("j"), "node", "comp", F.lit(True).alias("row"))
+    wide = rows_of.select("key", every("tall").alias("i"), deal("wide", 2).alias("j"), "node", "comp", F.lit(False).alias("row"))
     tiles = tall.union(wide)
 
     def verify(t: pa.Table) -> pa.Table:
@@ -342,24 +342,17 @@ def _verified_in_tiles(store: DataFrame, lists: DataFrame, majors: DataFrame, pe
 
     release(store.sparkSession)
     sets = _only(store, "node", rows.select("node"))
-    return stored(tiles.join(sets, "node").select("tok", "i", "j", "node", "comp", "row", "hashes").groupBy("tok", "i", "j").applyInArrow(verify, "a long, b long"), "links")
+    links = stored(tiles.join(sets, "node").select("key", "i", "j", "node", "comp", "row", "hashes").groupBy("key", "i", "j").applyInArrow(verify, "a long, b long"), "links")
+    dropped(rows)
+    return links
 
 
-def _between(lists: DataFrame, old: DataFrame, links: list[DataFrame]) -> DataFrame:
-    """Stored rows of those shingles whose nodes are in more than one group so far; the old lists are deleted."""
-    groups = components(functools.reduce(DataFrame.union, links)).withColumnRenamed("component", "comp")
+def _between(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """Stored rows of those shingles whose nodes are in more than one group so far, with comp, and c, the shingle's number of nodes."""
+    groups = components(links).withColumnRenamed("component", "comp")
     now = lists.select("tok", "node", "n", "m").join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    several = now.groupBy("tok").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("tok")
-    new = stored(now.join(several, "tok", "left_semi"), "lists")
-    dropped(old)
-    return new
-
-
-def _open_pairs(lists: DataFrame) -> tuple[int, int]:
-    """Rows, and pairs of nodes in different groups that share a shingle, counted for each shingle."""
-    by = lists.groupBy("tok", "comp").agg(F.count("*").alias("c")).groupBy("tok").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-    row = by.agg(F.sum("s"), F.sum(F.expr("(s * s - q) / 2"))).first()
-    return int(row[0] or 0), int(row[1] or 0)
+    several = now.groupBy("tok").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("c")).where("a < b").select("tok", "c")
+    return stored(now.join(several, "tok"), "lists")
 
 
 def _cross_pairs(tok: np.ndarray, node: np.ndarray, n: np.ndarray, m: np.ndarray, comp: np.ndarray, percent: int) -> pa.Table:
