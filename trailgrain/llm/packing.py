@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailgrain.llm.shared import small_batches, stored
+from trailgrain.llm.shared import Recent, small_batches, stored
 
 CAPACITY = 4096
 GROUP = 512  # sequences in a group, about
@@ -34,30 +34,19 @@ SHOWN = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_PRINTABL
 _TOKENIZERS: dict = {}
 
 
-def gaps(found: list) -> Iterator[int]:
-    """Where a list holds None."""
-    k = -1
-    try:
-        while True:
-            k = found.index(None, k + 1)
-            yield k
-    except ValueError:
-        return
-
-
 class WordTokenizer:
     """A tokenizer that lower-cases and drops white space, with a bounded cache of encoded words.
 
     Ids of a text are those of its words one after another, as no token, normal form or special token crosses ASCII
     white space. A-Z are lowered before, and words are cut where ASCII letters or digits end at an ASCII sign other than
     the apostrophe, where the tokenizer always cuts; that gives the same tokens and fewer different words. Texts that may
-    hold special tokens are left as they are. The cache has a young and an old part; what is met again becomes young.
+    hold special tokens are left as they are.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.words = Tokenizer.from_file(path), Recent(self.learn, CACHE)
         self.type, self.code = ("<u2", "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else ("<u4", "I")
 
     def __call__(self, texts: list[str]) -> list[bytes]:
@@ -68,25 +57,14 @@ class WordTokenizer:
             if b"<|" not in raw:
                 raw = END_OF_LETTERS.sub(b" ", raw.translate(LOWER))
             cut.append(raw.split())
-        if len(self.young) > CACHE:
-            self.young, self.old = {}, self.young
-        found = [list(map(self.young.get, words)) for words in cut]
-        missing = [list(gaps(ids)) for ids in found]
-        new = {words[k] for words, places in zip(cut, missing, strict=True) for k in places}
-        for w in new & self.old.keys():
-            self.young[w] = self.old[w]
-        self.learn(list(new - self.young.keys()))
-        for words, ids, places in zip(cut, found, missing, strict=True):
-            for k in places:
-                ids[k] = self.young[words[k]]
-        return [b"".join(ids) for ids in found]
-
-    def learn(self, words: list[bytes]) -> None:
+        return [b"".join(ids) for ids in self.words.find(cut)]
+
+    def learn(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """Encode new words: those of lower-case letters by the model alone, the others many in one text whose offsets tell the words."""
         run, others = self.tokenizer.model.tokenize, []
         for w in words:
             if LETTERS(w.decode()):
-                self.young[w] = array(self.code, [t.id for t in run(w.decode("latin-1").translate(SHOWN))]).tobytes()
+                yield w, array(self.code, [t.id for t in run(w.decode("latin-1").translate(SHOWN))]).tobytes()
             else:
                 others.append(w)
         for i in range(0, len(others), 2000):
@@ -95,8 +73,7 @@ class WordTokenizer:
             ids = np.array(e.ids, self.type).tobytes()
             ends = np.cumsum([len(w) + 1 for w in part])
             at = np.searchsorted(np.array([o[0] for o in e.offsets], np.int64), np.append(0, ends)) * np.dtype(self.type).itemsize
-            for w, a, b in zip(others[i : i + 2000], at[:-1].tolist(), at[1:].tolist(), strict=True):
-                self.young[w] = ids[a:b]
+            yield from ((w, ids[a:b]) for w, a, b in zip(others[i : i + 2000], at[:-1].tolist(), at[1:].tolist(), strict=True))
 
 
 def tokenizer(path: str) -> WordTokenizer:

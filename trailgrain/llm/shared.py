@@ -3,22 +3,64 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share, spark.checkpoint.dir. Only a local session, whose driver is the executor, may leave it unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         found = "file://" + tempfile.mkdtemp(prefix="trailgrain-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+class Recent:
+    """A cache of bounded size for the words of texts, in a young and an old part; what is met again becomes young.
+
+    learn: gives (key, value) for new keys. A part holds about `size` keys, and those of one call at most beyond.
+    """
+
+    def __init__(self, learn: Callable[[list], Iterable[tuple]], size: int) -> None:
+        self.learn, self.size = learn, size
+        self.young: dict[Hashable, object] = {}
+        self.old: dict[Hashable, object] = {}
+
+    def find(self, rows: list[list]) -> list[list]:
+        """The values of each row's keys."""
+        if len(self.young) > self.size:
+            self.young, self.old = {}, self.young
+        found = [list(map(self.young.get, keys)) for keys in rows]
+        missing = [list(_gaps(values)) for values in found]
+        new = {keys[k] for keys, places in zip(rows, missing, strict=True) for k in places}
+        for key in new & self.old.keys():
+            self.young[key] = self.old[key]
+        self.young.update(self.learn(list(new - self.young.keys())))
+        for keys, values, places in zip(rows, found, missing, strict=True):
+            for k in places:
+                values[k] = self.young[keys[k]]
+        return found
+
+
+def _gaps(values: list) -> Iterator[int]:
+    """Where a list holds None."""
+    k = -1
+    try:
+        while True:
+            k = values.index(None, k + 1)
+            yield k
+    except ValueError:
+        return
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
     gc.collect()
