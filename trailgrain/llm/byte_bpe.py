@@ -1,14 +1,18 @@
 """Byte-level BPE encoding and decoding by recursive queries.
 
-A partition's texts are cut into words by the tokenizer's pattern; each word that the worker has not seen yet goes to
+A partition's texts are cut into words by the tokenizer's pattern; each word that the worker has not met lately goes to
 DuckDB as rows (word, position, token), one for each byte. A recursive query joins neighbouring tokens with the merge
-table and contracts each word's leftmost pair of minimum rank, until no pair is left. Ordered aggregation gives the ids
-and, from the ids, the bytes again.
+table and contracts each word's leftmost pair of minimum rank, until no pair is left; ordered aggregation gives the ids.
+Decoding is a query of its own: rows (text, position, id) join the vocabulary, and ordered aggregation gives the bytes.
+
+A recursion keeps a copy of a word for each contraction. So words of more than LONG bytes are first cut where no token
+crosses, and parts that still are longer are contracted over a linked list with a heap instead.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailgrain.llm.shared import small_batches
+from trailgrain.llm.shared import Recent, small_batches
 
-CACHE = 600_000
+CACHE = 350_000  # words in each of the two parts of the cache
 BATCH = 10_000
 CHARACTERS = 1_500_000  # of texts that are coded together
-LONG = 256  # bytes; longer words are contracted step by step over a table of constant size
+TOKENS = 500_000  # that are decoded together
+LONG = 256  # bytes
 _CODERS: dict = {}
 
 # A row is a token with the position after it and the token there. The token after a contracted pair comes from the row of its second part.
@@ -44,14 +49,12 @@ WITH RECURSIVE steps AS (
   {STEP.format(rows="steps")})
 SELECT s.word, s.pos, s.token FROM steps s JOIN (SELECT word, max(round) AS round FROM steps GROUP BY word) USING (word, round)
 """
-GATHERED = """
-SELECT d.word, string_agg(CAST(d.token AS VARCHAR), ',' ORDER BY d.pos) AS ids, string_agg(v.hex, '' ORDER BY d.pos) AS bytes
-FROM done d JOIN vocabulary v ON v.token = d.token GROUP BY d.word
-"""
+GATHERED = "SELECT word, string_agg(CAST(token AS VARCHAR), ',' ORDER BY pos) AS ids FROM done GROUP BY word"
+DECODED = "SELECT t.text, list(v.bytes ORDER BY t.pos) AS bytes FROM tokens t JOIN vocabulary v USING (token) GROUP BY t.text ORDER BY t.text"
 
 
 class Coder:
-    """Words to their ids and back, with a cache of bounded size."""
+    """Words to their ids, and ids to bytes."""
 
     def __init__(self, path: str, pattern: str) -> None:
         import duckdb
@@ -60,34 +63,55 @@ class Coder:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
         self.pattern = regex.compile(pattern)
-        self.ranks, self.ids, self.bytes = ranks, {}, {}
+        self.ranks, self.words = ranks, Recent(self.learn, CACHE)
         self.of_byte = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
         merges = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+        self.merges = {(a, b): r for a, b, r in merges}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
         self._table("merges", **dict(zip(("head", "tail", "merged"), np.array(merges, np.int64).T, strict=True)))
-        known = pa.table({"token": pa.array(list(ranks.values()), pa.int64()), "hex": [t.hex() for t in ranks]})
-        self.db.register("known", known)
-        self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM known")
-
-    def _table(self, name: str, **columns: np.ndarray) -> None:
+        self._table("vocabulary", token=np.array(list(ranks.values()), np.int64), bytes=list(ranks))
+        self.pairs, self.triples = np.zeros(1 << 16, bool), np.zeros(1 << 24, bool)  # pairs that are tokens, triples that tokens hold
+        for t in ranks:
+            if len(t) == 2:
+                self.pairs[int.from_bytes(t)] = True
+            for i in range(len(t) - 2):
+                self.triples[int.from_bytes(t[i : i + 3])] = True
+
+    def _table(self, name: str, **columns: np.ndarray | list) -> None:
         self.db.register("given", pa.table({k: pa.array(v) for k, v in columns.items()}))
         self.db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def learn(self, words: list[str]) -> None:
-        """Encode words into the cache."""
-        words = sorted(words, key=len)
+    def parts(self, raw: bytes) -> list[bytes]:
+        """A long word cut wherever no token can cross: a token that does is the pair there, or holds a triple around it."""
+        if len(raw) <= LONG:
+            return [raw]
+        b = np.frombuffer(raw, np.uint8).astype(np.int64)
+        triple = self.triples[(b[:-2] << 16) | (b[1:-1] << 8) | b[2:]]
+        crossed = self.pairs[(b[:-1] << 8) | b[1:]]
+        crossed[1:] |= triple
+        crossed[:-1] |= triple
+        cuts = [0, *(np.flatnonzero(~crossed) + 1).tolist(), len(raw)]
+        return [raw[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def learn(self, words: list[str]) -> Iterator[tuple[str, str]]:
+        """Each word's ids, as decimals joined by commas."""
+        cut = [self.parts(w.encode()) for w in words]
+        found = {p: None for parts in cut for p in parts}
+        todo = sorted((p for p in found if len(p) <= LONG), key=len)
         i = 0
-        while i < len(words):
+        while i < len(todo):
             j, size = i, 0
-            while j < len(words) and j - i < BATCH and (j == i or size * len(words[j]) < 4_000_000):
-                size += len(words[j].encode())
+            while j < len(todo) and j - i < BATCH and (j == i or size * len(todo[j]) < 4_000_000):
+                size += len(todo[j])
                 j += 1
-            self._encode(words[i:j])
+            found.update(self._contracted(todo[i:j]))
             i = j
+        found.update((p, self._by_heap(p)) for p in found if len(p) > LONG)
+        for w, parts in zip(words, cut, strict=True):
+            yield w, ",".join([found[p] for p in parts])
 
-    def _encode(self, words: list[str]) -> None:
-        raw = [w.encode() for w in words]
+    def _contracted(self, raw: list[bytes]) -> Iterator[tuple[bytes, str]]:
         lengths = np.array([len(x) for x in raw])
         joined = np.frombuffer(b"".join(raw), np.uint8)
         word = np.repeat(np.arange(len(raw)), lengths)
@@ -98,30 +122,47 @@ class Coder:
         word, at, tokens = word[keep], at[keep], tokens[keep]
         same = np.append(word[1:] == word[:-1], False)
         self._table("start", word=word, pos=at, token=tokens, after=at + 1, following=np.where(same, np.append(tokens[1:], -1), -1))
-        if lengths.max() <= LONG:
-            self.db.execute(RECURSION)
-        else:
-            self._contract()
-        for k, ids, text in self.db.execute(GATHERED).fetchall():
-            self.ids[words[k]], self.bytes[words[k]] = ids, bytes.fromhex(text)
-
-    def _contract(self) -> None:
-        self.db.execute("CREATE OR REPLACE TEMP TABLE steps AS SELECT word, pos, after, token, following, 0 AS round FROM start")
-        self.db.execute("CREATE OR REPLACE TEMP TABLE done AS SELECT word, pos, token FROM start LIMIT 0")
-        while self.db.execute("SELECT count(*) FROM steps").fetchall()[0][0]:
-            self.db.execute(f"CREATE OR REPLACE TEMP TABLE later AS {STEP.format(rows='steps')}")
-            self.db.execute("INSERT INTO done SELECT word, pos, token FROM steps WHERE word NOT IN (SELECT word FROM later)")
-            self.db.execute("CREATE OR REPLACE TEMP TABLE steps AS SELECT * FROM later")
-
-    def encode(self, texts: list[str]) -> list[tuple[str, bytes]]:
-        """For each text its ids as decimals joined by commas, and the bytes that they decode to."""
-        cut = [self.pattern.findall(t) for t in texts]
-        new = {w for words in cut for w in words if w not in self.ids}
-        if len(self.ids) + len(new) > CACHE:
-            self.ids.clear(), self.bytes.clear()
-            new = {w for words in cut for w in words}
-        self.learn(list(new))
-        return [(",".join([self.ids[w] for w in words]), b"".join([self.bytes[w] for w in words])) for words in cut]
+        self.db.execute(RECURSION)
+        for k, ids in self.db.execute(GATHERED).fetchall():
+            yield raw[k], ids
+
+    def _by_heap(self, raw: bytes) -> str:
+        n = len(raw)
+        token, after, before = [int(self.of_byte[x]) for x in raw], list(range(1, n + 1)), list(range(-1, n - 1))
+        pair = lambda i: self.merges.get((token[i], token[after[i]])) if after[i] < n else None
+        heap = [(r, i) for i in range(n) if (r := pair(i)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            if token[i] < 0 or pair(i) != rank:
+                continue
+            gone = after[i]
+            token[i], token[gone], after[i] = rank, -1, after[gone]
+            if after[i] < n:
+                before[after[i]] = i
+            for k in (before[i], i):
+                if k >= 0 and (r := pair(k)) is not None:
+                    heapq.heappush(heap, (r, k))
+        return ",".join([str(t) for t in token if t >= 0])
+
+    def encode(self, texts: list[str]) -> list[str]:
+        """For each text its ids as decimals joined by commas."""
+        return [",".join(ids) for ids in self.words.find([self.pattern.findall(t) for t in texts])]
+
+    def decode(self, ids: list[str]) -> list[bytes]:
+        """The bytes of each text's ids."""
+        counts = np.array([x.count(",") + 1 if x else 0 for x in ids], np.int64)
+        tokens = np.fromstring(",".join([x for x in ids if x]), np.int64, sep=",") if counts.any() else np.zeros(0, np.int64)
+        self._table("tokens", text=np.repeat(np.arange(len(ids)), counts), pos=np.arange(len(tokens)), token=tokens)
+        found = self.db.execute(DECODED).to_arrow_table().combine_chunks()
+        out = [b""] * len(ids)
+        for k, parts in zip(found.column("text").to_pylist(), found.column("bytes"), strict=True):
+            values = parts.values
+            ends = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1]
+            out[k] = bytes(values.buffers()[2][int(ends[0]) : int(ends[-1])])
+        if sum(len(x) for x in found.column("bytes")) != len(tokens):
+            raise ValueError("an id is not in the vocabulary")
+        return out
 
 
 def coder(path: str, pattern: str) -> Coder:
@@ -131,27 +172,46 @@ def coder(path: str, pattern: str) -> Coder:
     return _CODERS[path, pattern]
 
 
+def slices(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about limit in all, or one row."""
+    ends = np.cumsum(sizes)
+    i = 0
+    while i < len(sizes):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + limit, "right")))
+        yield i, j
+        i = j
+
+
 def byte_bpe(documents: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Rows of documents: doc_id, ids (decimals joined by commas), n_tokens, and decoded (binary).
+    """Rows of documents: doc_id, ids (decimals joined by commas) and n_tokens.
 
     Each match of the pattern is encoded by itself, without special tokens. Null and empty texts have no tokens. Rows are
-    treated one by one whatever their doc_id; columns other than doc_id and text are ignored; no rows give no rows. A
-    text of one word of many thousand bytes takes a query for each contraction, but no more memory.
+    treated one by one whatever their doc_id; columns other than doc_id and text are ignored; no rows give no rows.
     """
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = coder(path, pattern)
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
-            sizes = np.cumsum([len(t) for t in texts])
-            i = 0
-            while i < len(texts):
-                j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + CHARACTERS, "right")))
-                part = texts[i:j]
-                rows = run.encode(part)
-                ids = [x for x, _ in rows]
-                yield pa.record_batch([b.column("doc_id").slice(i, j - i), pa.array(ids, pa.string()), pa.array([x.count(",") + 1 if x else 0 for x in ids], pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["doc_id", "ids", "n_tokens", "decoded"])
-                i = j
+            for i, j in slices([len(t) for t in texts], CHARACTERS):
+                ids = run.encode(texts[i:j])
+                yield pa.record_batch([b.column("doc_id").slice(i, j - i), pa.array(ids, pa.string()), pa.array([x.count(",") + 1 if x else 0 for x in ids], pa.int64())], ["doc_id", "ids", "n_tokens"])
 
     small_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(code, "doc_id long, ids string, n_tokens long, decoded binary")
+    return docs.mapInArrow(code, "doc_id long, ids string, n_tokens long")
+
+
+def byte_bpe_decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+    """Rows of encoded texts with `decoded` (binary), which is read from their ids alone: doc_id, ids, n_tokens, decoded.
+
+    Null and empty ids are no bytes. Ids that the vocabulary does not hold raise an error.
+    """
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run = coder(path, pattern)
+        for b in batches:
+            ids = [x or "" for x in b.column("ids").to_pylist()]
+            for i, j in slices([len(x) for x in ids], 5 * TOKENS):
+                yield pa.record_batch([*(b.column(c).slice(i, j - i) for c in ("doc_id", "ids", "n_tokens")), pa.array(run.decode(ids[i:j]), pa.binary())], ["doc_id", "ids", "n_tokens", "decoded"])
+
+    small_batches(encoded.sparkSession)
+    return encoded.select("doc_id", "ids", "n_tokens").mapInArrow(code, "doc_id long, ids string, n_tokens long, decoded binary")
