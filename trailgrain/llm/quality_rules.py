@@ -1,8 +1,9 @@
 """Quality rules by weak supervision, with DataFrame functions only.
 
 Each rule votes good (1) or bad (-1) or abstains (0). Expectation-maximisation over the counts of vote patterns, of
-which there are at most 3 ** rules, estimates how often each rule is right on good and on bad documents; a document is
-kept if its posterior probability of being good reaches the threshold, and if the base rules did not fail.
+which there are at most 3 ** rules, estimates how often each rule is right where it votes; a document is kept if its
+posterior probability of being good reaches the threshold, and if the base rules did not fail. The windows of a text are
+compared by their 64-bit hashes.
 """
 
 from __future__ import annotations
