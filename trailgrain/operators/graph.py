@@ -3,17 +3,24 @@
 from __future__ import annotations
 
 import itertools
+import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint df in spark.checkpoint.dir; a temporary folder stands in where that is unset."""
-    spark: SparkSession = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="trailgrain-"))
+    """Checkpoint df in spark.checkpoint.dir, which the driver and the executors must share.
+
+    Only a local session, whose driver is the executor, may leave it unset.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="trailgrain-"))
     return df.checkpoint()
 
 
@@ -52,16 +59,15 @@ def earliest_arrival(edges: DataFrame, starts: DataFrame, strict: bool = True) -
 
     strict: an edge carries on only what was there before its own time; otherwise equal times chain too.
     """
-    steps = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"), "timestamp_ns")
-    best = cut(starts.groupBy("node").agg(F.min("at").alias("at")))
-    front = best
+    steps = cut(edges.select(F.col("src").alias("node"), F.col("dst").alias("next"), "timestamp_ns"))
+    best = front = cut(starts.groupBy("node").agg(F.min("at").alias("at")))
+    later = F.col("timestamp_ns") > F.col("at") if strict else F.col("timestamp_ns") >= F.col("at")
     while True:
-        later = F.col("timestamp_ns") > F.col("at") if strict else F.col("timestamp_ns") >= F.col("at")
         new = steps.join(front, "node").where(later).groupBy(F.col("next").alias("node")).agg(F.min("timestamp_ns").alias("new"))
-        front = cut(new.join(best, "node", "left").where("at is null or new < at").select("node", F.col("new").alias("at")))
+        both = cut(best.join(new, "node", "full").select("node", F.least("at", "new").alias("at"), F.coalesce(F.col("new") < F.col("at"), F.col("new").isNotNull()).alias("moved")))
+        front, best = both.where("moved").select("node", "at"), both.select("node", "at")
         if front.isEmpty():
             return best
-        best = cut(best.union(front).groupBy("node").agg(F.min("at").alias("at")))
 
 
 def latest_departure(edges: DataFrame, ends: DataFrame, strict: bool = True) -> DataFrame:
@@ -136,3 +142,35 @@ def lineage(births: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
             break
         found = found.union(front)
     return found
+
+
+def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+    """Connected components of links (a, b): (node, component), component being the smallest node of it.
+
+    Star contraction: every node's larger neighbours move to its smallest one, then every node's neighbours do; the number
+    of rounds grows with the logarithm of the number of nodes, whatever the longest path.
+    """
+    seen = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    now = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    for _ in range(rounds):
+        both = now.union(now.select("b", "a"))
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        small = large.groupBy("a").agg(F.min("b").alias("m"))
+        new = cut(large.join(small, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", "m")).distinct())
+        if new.count() == now.count() and new.exceptAll(now).isEmpty():
+            return seen.join(now.withColumnRenamed("a", "node"), "node", "left").select("node", F.coalesce("b", "node").alias("component"))
+        now = new
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def followed(seeds: DataFrame, pointers: DataFrame, rounds: int = 64) -> DataFrame:
+    """The seeds (edge_id) and all that pointers (edge_id, next) lead to from them, by doubling: as many rounds as the logarithm of the longest chain."""
+    known, jump = cut(seeds.distinct()), cut(pointers.select("edge_id", "next"))
+    for _ in range(rounds):
+        reached = known.join(jump, "edge_id").select(F.col("next").alias("edge_id"))
+        known = cut(known.union(reached).distinct())
+        jump = cut(jump.join(jump.select(F.col("edge_id").alias("next"), F.col("next").alias("after")), "next").select("edge_id", F.col("after").alias("next")))
+        if jump.isEmpty():
+            return known
+    raise RuntimeError("pointers have a cycle")

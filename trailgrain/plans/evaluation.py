@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailgrain.operators.graph import cut
 from trailgrain.plans.ranking import SCORED, STRATA, budget, stratified, tied, top_budget
 from trailgrain.plans.registry import edge_query
 
@@ -16,7 +17,8 @@ flags AS (SELECT e.*, e.edge_id IN (SELECT edge_id FROM kept) AS kept, e.edge_id
 
 
 def flagged(edges: DataFrame) -> DataFrame:
-    scored, size = tied(edges), budget(edges)
+    scored = cut(tied(edges))
+    size = budget(scored)
     one = stratified(scored, size).select("edge_id", F.lit(True).alias("kept"))
     two = top_budget(scored, size).select("edge_id", F.lit(True).alias("top"))
     return edges.join(one, "edge_id", "left").join(two, "edge_id", "left").fillna(False, ["kept", "top"]).withColumn("truth", F.col("edge_id") % TRUTH == 0)
