@@ -5,8 +5,9 @@ DuckDB as rows (word, position, token), one for each byte. A recursive query joi
 table and contracts each word's leftmost pair of minimum rank, until no pair is left; ordered aggregation gives the ids.
 Decoding is a query of its own: rows (text, position, id) join the vocabulary, and ordered aggregation gives the bytes.
 
-A recursion keeps a copy of a word for each contraction. So words of more than LONG bytes are first cut where no token
-crosses, and parts that still are longer are contracted over a linked list with a heap instead.
+Words are first cut where no token of the vocabulary can cross, which changes no result: the parts are shorter and more
+often met again. A recursion keeps a copy of a part for each contraction; so the few parts that are longer than LONG bytes
+are contracted over a linked list with a heap instead.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from trailgrain.llm.shared import Recent, small_batches
 
-CACHE = 350_000  # words in each of the two parts of the cache
+CACHE = 300_000  # words, and parts of words, in each of the two parts of their caches
 BATCH = 10_000
 CHARACTERS = 1_500_000  # of texts that are coded together
 TOKENS = 500_000  # that are decoded together
@@ -50,7 +51,14 @@ WITH RECURSIVE steps AS (
 SELECT s.word, s.pos, s.token FROM steps s JOIN (SELECT word, max(round) AS round FROM steps GROUP BY word) USING (word, round)
 """
 GATHERED = "SELECT word, string_agg(CAST(token AS VARCHAR), ',' ORDER BY pos) AS ids FROM done GROUP BY word"
-DECODED = "SELECT t.text, list(v.bytes ORDER BY t.pos) AS bytes FROM tokens t JOIN vocabulary v USING (token) GROUP BY t.text ORDER BY t.text"
+DECODED = "SELECT list(v.bytes ORDER BY t.pos) AS bytes FROM tokens t JOIN vocabulary v USING (token)"
+
+
+A8 = np.uint64(8)
+
+
+def _hashed(runs: np.ndarray) -> np.ndarray:
+    return ((runs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64)
 
 
 class Coder:
@@ -63,63 +71,82 @@ class Coder:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
         self.pattern = regex.compile(pattern)
-        self.ranks, self.words = ranks, Recent(self.learn, CACHE)
+        self.ranks, self.words, self.parts = ranks, Recent(self.learn, CACHE), Recent(self.contract, CACHE)
         self.of_byte = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
         merges = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self.merges = {(a, b): r for a, b, r in merges}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
         self._table("merges", **dict(zip(("head", "tail", "merged"), np.array(merges, np.int64).T, strict=True)))
         self._table("vocabulary", token=np.array(list(ranks.values()), np.int64), bytes=list(ranks))
-        self.pairs, self.triples = np.zeros(1 << 16, bool), np.zeros(1 << 24, bool)  # pairs that are tokens, triples that tokens hold
+        # Of tokens of two and of three bytes those bytes, of longer ones all runs of four, hashed.
+        self.runs = [np.zeros(1 << 16, bool), np.zeros(1 << 24, bool), np.zeros(1 << 24, bool)]
         for t in ranks:
-            if len(t) == 2:
-                self.pairs[int.from_bytes(t)] = True
-            for i in range(len(t) - 2):
-                self.triples[int.from_bytes(t[i : i + 3])] = True
+            if 2 <= len(t) <= 3:
+                self.runs[len(t) - 2][int.from_bytes(t)] = True
+        fours = {int.from_bytes(t[i : i + 4]) for t in ranks for i in range(len(t) - 3)}
+        self.runs[2][_hashed(np.array(sorted(fours), np.uint64))] = True
 
     def _table(self, name: str, **columns: np.ndarray | list) -> None:
         self.db.register("given", pa.table({k: pa.array(v) for k, v in columns.items()}))
         self.db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def parts(self, raw: bytes) -> list[bytes]:
-        """A long word cut wherever no token can cross: a token that does is the pair there, or holds a triple around it."""
-        if len(raw) <= LONG:
-            return [raw]
-        b = np.frombuffer(raw, np.uint8).astype(np.int64)
-        triple = self.triples[(b[:-2] << 16) | (b[1:-1] << 8) | b[2:]]
-        crossed = self.pairs[(b[:-1] << 8) | b[1:]]
-        crossed[1:] |= triple
-        crossed[:-1] |= triple
-        cuts = [0, *(np.flatnonzero(~crossed) + 1).tolist(), len(raw)]
-        return [raw[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+    def cut(self, raw: list[bytes]) -> tuple[list[bytes], list[int]]:
+        """The parts of words, cut wherever no token can cross, and how many there are up to each word's end.
+
+        A token that crosses is a run of two or three bytes there, or holds one of four.
+        """
+        lengths = np.array([len(x) for x in raw], np.int64)
+        joined = b"".join(raw)
+        data, ends = np.frombuffer(joined, np.uint8).astype(np.uint64), np.cumsum(lengths)
+        inside = np.ones(len(data) - 1, bool)  # places between two bytes of one word
+        inside[ends[:-1] - 1] = False
+        crossed, runs, whole = np.zeros(len(data) - 1, bool), data, np.ones(len(data), bool)
+        for k, known in enumerate(self.runs, 1):
+            runs = (runs[:-1] << A8) | data[k:]
+            whole = whole[:-1] & inside[k - 1 :]
+            hit = known[_hashed(runs) if k == 3 else runs.astype(np.int64)] & whole
+            for i in range(k):
+                crossed[i : i + len(hit)] |= hit
+        places = np.append(np.flatnonzero(~crossed) + 1, len(data))
+        starts = [0, *places[:-1].tolist()]
+        return [joined[i:j] for i, j in zip(starts, places.tolist(), strict=True)], np.searchsorted(places, ends, "right").tolist()
 
     def learn(self, words: list[str]) -> Iterator[tuple[str, str]]:
-        """Each word's ids, as decimals joined by commas."""
-        cut = [self.parts(w.encode()) for w in words]
-        found = {p: None for parts in cut for p in parts}
-        todo = sorted((p for p in found if len(p) <= LONG), key=len)
+        """Each word's ids, as decimals joined by commas; a word that is a token is that token."""
+        others = []
+        for w in words:
+            rank = self.ranks.get(w.encode())
+            if rank is None:
+                others.append(w)
+            else:
+                yield w, str(rank)
+        if others:
+            parts, ends = self.cut([w.encode() for w in others])
+            ids, i = self.parts.find([parts])[0], 0
+            for w, j in zip(others, ends, strict=True):
+                yield w, ids[i] if j == i + 1 else ",".join(ids[i:j])
+                i = j
+
+    def contract(self, parts: list[bytes]) -> Iterator[tuple[bytes, str]]:
+        """Each part's ids."""
+        todo = sorted((p for p in parts if len(p) <= LONG), key=len)
         i = 0
         while i < len(todo):
             j, size = i, 0
             while j < len(todo) and j - i < BATCH and (j == i or size * len(todo[j]) < 4_000_000):
                 size += len(todo[j])
                 j += 1
-            found.update(self._contracted(todo[i:j]))
+            yield from self._contracted(todo[i:j])
             i = j
-        found.update((p, self._by_heap(p)) for p in found if len(p) > LONG)
-        for w, parts in zip(words, cut, strict=True):
-            yield w, ",".join([found[p] for p in parts])
+        yield from ((p, self._by_heap(p)) for p in parts if len(p) > LONG)
 
     def _contracted(self, raw: list[bytes]) -> Iterator[tuple[bytes, str]]:
         lengths = np.array([len(x) for x in raw])
         joined = np.frombuffer(b"".join(raw), np.uint8)
         word = np.repeat(np.arange(len(raw)), lengths)
         at = np.arange(len(joined)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        whole = np.array([self.ranks.get(x, -1) for x in raw])  # a word that is a token is that token
-        tokens = np.where(whole[word] >= 0, whole[word], self.of_byte[joined])
-        keep = (whole[word] < 0) | (at == 0)
-        word, at, tokens = word[keep], at[keep], tokens[keep]
+        tokens = self.of_byte[joined]
         same = np.append(word[1:] == word[:-1], False)
         self._table("start", word=word, pos=at, token=tokens, after=at + 1, following=np.where(same, np.append(tokens[1:], -1), -1))
         self.db.execute(RECURSION)
@@ -153,16 +180,16 @@ class Coder:
         """The bytes of each text's ids."""
         counts = np.array([x.count(",") + 1 if x else 0 for x in ids], np.int64)
         tokens = np.fromstring(",".join([x for x in ids if x]), np.int64, sep=",") if counts.any() else np.zeros(0, np.int64)
-        self._table("tokens", text=np.repeat(np.arange(len(ids)), counts), pos=np.arange(len(tokens)), token=tokens)
-        found = self.db.execute(DECODED).to_arrow_table().combine_chunks()
-        out = [b""] * len(ids)
-        for k, parts in zip(found.column("text").to_pylist(), found.column("bytes"), strict=True):
-            values = parts.values
-            ends = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1]
-            out[k] = bytes(values.buffers()[2][int(ends[0]) : int(ends[-1])])
-        if sum(len(x) for x in found.column("bytes")) != len(tokens):
+        self._table("tokens", pos=np.arange(len(tokens)), token=tokens)
+        parts = self.db.execute(DECODED).to_arrow_table().column("bytes").combine_chunks().values
+        if len(parts) != len(tokens):
             raise ValueError("an id is not in the vocabulary")
-        return out
+        if not len(tokens):
+            return [b""] * len(ids)
+        wide = pa.types.is_large_binary(parts.type)
+        offsets = np.frombuffer(parts.buffers()[1], np.int64 if wide else np.int32)[parts.offset : parts.offset + len(parts) + 1]
+        ends, data = offsets[np.append(0, np.cumsum(counts))].tolist(), parts.buffers()[2]
+        return [bytes(data[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def coder(path: str, pattern: str) -> Coder:
