@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 U = np.uint64
 _ODD = U(0x9E3779B97F4A7C15)
 _BASE = 0xD1342543DE82EF95

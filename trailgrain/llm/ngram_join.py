@@ -9,8 +9,8 @@ verified if they share as many prefix shingles as the smaller of their two m.
 Groups of copies do not need all their pairs: documents of one set are one node, and a shingle's nodes are first
 compared with one of them, the pivot, if they share as many prefix shingles with it. What that links is one group
 already. Then all pairs between different groups that share enough prefix shingles are verified. So no link that joins
-different groups is lost. Pairs of a frequent shingle are not written out: the nodes outside its largest group meet
-all its nodes in tiles of bounded size and are verified there at once; shingles with one largest group share the tiles.
+different groups is lost. Pairs of a frequent shingle are not written out: the nodes outside its pivot's group meet
+all its nodes in tiles of bounded size and are verified there at once; shingles with one pivot share the tiles.
 
 Sets are verified as arrays of hashes. They are stored once, for nodes that share a prefix shingle with others; before a
 join a bit table of fixed size tells which of them it needs.
@@ -33,7 +33,7 @@ from trailgrain.llm.shared import components, dropped, partitions, release, smal
 SKETCH_BITS, SKETCH_BLOCKS = 22, 1024
 CHOICES = (1, 2, 3, 4, 6, 8, 12, 16)
 POSTING = np.dtype([("tok", "<u4"), ("top", "<u2"), ("node", "i8"), ("nm", "u4")])  # 48 bits of the shingle; size and place of m among the choices
-FLUSH = 400_000
+FLUSH = 150_000
 HOT = 64  # nodes of a shingle from which they are verified in tiles
 TILE, TILE_SHINGLES = 1024, 1 << 20  # nodes and shingles in one side of a tile, about
 SLOTS = 1 << 17  # rows of 64 bits in the table that tells which keys a join needs
@@ -294,26 +294,19 @@ def _links(store: DataFrame, lists: DataFrame, percent: int) -> tuple[DataFrame,
 def _verified_in_tiles(store: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
     """Stored links between nodes of frequent shingles, tile by tile.
 
-    Nodes outside the shingle's largest group are dealt into rows of tiles, all its nodes into columns, by their number
-    and their shingles, so that a tile is bounded on both sides. Shingles that have one largest group are put together,
-    so that their nodes meet once, unless that makes more pairs than the shingles have by themselves.
+    The nodes of a pivot's frequent shingles outside its group are dealt into rows of tiles, all their nodes into columns,
+    by their number and their shingles, so that a tile is bounded on both sides. A pivot has no more shingles than its
+    prefix, and those of a group of near copies mostly hold the same nodes, which so meet once.
     """
-    by = hot.groupBy("tok", "comp").agg(F.count("*").alias("k")).groupBy("tok").agg(F.max(F.struct("k", "comp")).alias("b"), F.sum("k").alias("c"))
-    by = by.select("tok", F.col("b.comp").alias("major"), (F.col("c") * (F.col("c") - F.col("b.k"))).alias("own_pairs"))
-    rows = hot.select("tok", "node", "n", "comp").join(by, "tok")
-    nodes = rows.groupBy("major", "node").agg(F.first("comp").alias("comp"))
-    united = nodes.groupBy("major").agg((F.count("*") * F.count_if(F.col("comp") != F.col("major"))).alias("pairs"))
-    apart = by.groupBy("major").agg(F.sum("own_pairs").alias("own_pairs")).join(united, "major").select("major", (F.col("pairs") > F.col("own_pairs")).alias("apart"))
-    key = F.struct("major", F.when(F.col("apart"), F.col("tok")).alias("tok")).alias("key")
-    rows = stored(rows.join(apart, "major").select(key, "node", "n", "comp").distinct(), "tiles")
+    rows = stored(hot.groupBy("pivot", "major", "node").agg(F.first("n").alias("n"), F.first("comp").alias("comp")), "tiles")
     parts = lambda which: F.greatest(F.lit(1), F.ceil(F.count_if(which) / TILE), F.ceil(F.sum(F.when(which, F.col("n"))) / TILE_SHINGLES)).cast("int")
-    size = rows.groupBy("key").agg(parts(F.col("comp") != F.col("key.major")).alias("tall"), parts(F.lit(True)).alias("wide"))
-    rows_of = rows.join(size, "key")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    size = rows.groupBy("pivot").agg(parts(F.col("comp") != F.col("major")).alias("tall"), parts(F.lit(True)).alias("wide"))
+    rows_of = rows.join(size, "pivot")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     deal = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
-    tall = rows_of.where("comp <> key.major").select("key", deal("tall", 1).alias("i"), every("wide").alias("j"), "node", "comp", F.lit(True).alias("row"))
-    wide = rows_of.select("key", every("tall").alias("i"), deal("wide", 2).alias("j"), "node", "comp", F.lit(False).alias("row"))
-    tiles = tall.union(wide)
+    tall = F.when(F.col("comp") != F.col("major"), F.transform(every("wide"), lambda j: F.struct(deal("tall", 1).alias("i"), j.alias("j"), F.lit(True).alias("row"))))
+    wide = F.transform(every("tall"), lambda i: F.struct(i.alias("i"), deal("wide", 2).alias("j"), F.lit(False).alias("row")))
+    tiles = rows_of.select("pivot", "node", "comp", F.explode(F.when(tall.isNull(), wide).otherwise(F.concat(tall, wide))).alias("t")).select("pivot", "t.i", "t.j", "node", "comp", "t.row")
 
     def verify(t: pa.Table) -> pa.Table:
         node, comp = t.column("node").to_numpy(), t.column("comp").to_numpy()
@@ -329,7 +322,7 @@ def _verified_in_tiles(store: DataFrame, hot: DataFrame, percent: int) -> DataFr
         order = np.argsort(column, kind="stable")
         at, column = at[order], column[order]
         both = np.zeros((len(x), len(y)), np.float32)
-        step = 2048
+        step = 1024
         for first in range(0, int(shared.sum()), step):
             a, b = np.searchsorted(column, [first, first + step])
             m = np.zeros((len(sets), step), np.float32)
@@ -342,16 +335,17 @@ def _verified_in_tiles(store: DataFrame, hot: DataFrame, percent: int) -> DataFr
 
     release(store.sparkSession)
     sets = _only(store, "node", rows.select("node"))
-    links = stored(tiles.join(sets, "node").select("key", "i", "j", "node", "comp", "row", "hashes").groupBy("key", "i", "j").applyInArrow(verify, "a long, b long"), "links")
+    links = stored(tiles.join(sets, "node").select("pivot", "i", "j", "node", "comp", "row", "hashes").groupBy("pivot", "i", "j").applyInArrow(verify, "a long, b long"), "links")
     dropped(rows)
     return links
 
 
 def _between(lists: DataFrame, links: DataFrame) -> DataFrame:
-    """Stored rows of those shingles whose nodes are in more than one group so far, with comp, and c, the shingle's number of nodes."""
+    """Stored rows of those shingles whose nodes are in more than one group so far, with comp, the shingle's number of nodes c, and its pivot's group major."""
     groups = components(links).withColumnRenamed("component", "comp")
-    now = lists.select("tok", "node", "n", "m").join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    several = now.groupBy("tok").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("c")).where("a < b").select("tok", "c")
+    now = lists.select("tok", "node", "n", "m", "pivot").join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    of_pivot = F.max(F.when(F.col("node") == F.col("pivot"), F.col("comp"))).alias("major")
+    several = now.groupBy("tok").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("c"), of_pivot).where("a < b").select("tok", "c", "major")
     return stored(now.join(several, "tok"), "lists")
 
 

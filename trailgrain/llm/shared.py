@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Hashable, Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -112,10 +112,9 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
             break
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
-        near = large.join(small, "a")
-        new = near.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        near = large.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+        new = near.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("l")).select("l.a", "l.b").where("a <> b").distinct()
         new = stored(new, "links")
         dropped(now)
         now = new
