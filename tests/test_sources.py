@@ -15,6 +15,8 @@ RECORDS = [
     {"datum": {"v20.NetFlowObject": {"uuid": "s1", "remoteAddress": "10.0.0.1", "remotePort": 443, "hostId": "h"}}},
     {"datum": {"v20.Event": {"uuid": "e1", "type": "EVENT_READ", "subject": {"com.UUID": "p1"}, "predicateObject": {"com.UUID": "f1"}, "timestampNanos": 7, "size": {"long": 12}, "hostId": "h"}}},
     {"datum": {"v20.Event": {"uuid": "e2", "type": "EVENT_WRITE", "subject": {"com.UUID": "p1"}, "predicateObject": {"com.UUID": "s1"}, "predicateObject2": {"com.UUID": "f1"}, "timestampNanos": 8, "size": {"long": -1}, "hostId": "h"}}},
+    {"datum": {"v20.Event": {"uuid": "e3", "type": "EVENT_WRITE", "subject": {"com.UUID": "p9"}, "predicateObject": {"com.UUID": "f9"}, "predicateObjectPath": {"string": "/home/bob/n.txt"}, "timestampNanos": 9, "properties": {"map": {"exec": "vi", "bytesWritten": "77"}}, "hostId": "h"}}},
+    {"datum": {"uuid": "f3", "baseObject": {"properties": {"map": {"path": "/etc/x"}}}}, "datumType": "v20.FileObject"},
 ]
 
 
@@ -22,14 +24,27 @@ def test_cdm(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text("\n".join([*map(json.dumps, RECORDS), "{broken", ""]))
     lines = cdm.read_lines(spark, str(tmp_path))
     counts = cdm.malformed(lines).first()
-    assert (counts.records, counts.malformed) == (5, 1)
+    assert (counts.records, counts.malformed) == (7, 1)
     recs = cdm.records(lines)
     nodes = {r.uuid: r for r in cdm.nodes(recs).collect()}
     assert (nodes["p1"].label, nodes["p1"].semantic_key, nodes["p1"].node_type) == ("bash", "process:bash", "process")
     assert (nodes["f1"].label, nodes["f1"].semantic_key) == ("/home/ann/x.sh", "file:/home/*/x.sh")
     assert (nodes["s1"].label, nodes["s1"].semantic_key) == ("10.0.0.1:443", "socket:10.0.0.1:443")
     edges = {r.event_id: (r.src, r.dst, r.timestamp_ns, r.data_size) for r in cdm.edges(recs).collect()}
-    assert edges == {"e1": ("f1", "p1", 7, 12), "e2": ("p1", "s1", 8, None), "e2:2": ("p1", "f1", 8, None), "LINEAGE:p1": ("p0", "p1", 5, None)}
+    assert edges == {"e1": ("f1", "p1", 7, 12), "e2": ("p1", "s1", 8, None), "e2:2": ("p1", "f1", 8, None), "LINEAGE:p1": ("p0", "p1", 5, None), "e3": ("p9", "f9", 9, 77)}
+    assert (nodes["p9"].label, nodes["p9"].node_type, nodes["p9"].properties) == ("vi", "process", {"exec": "vi"})
+    assert (nodes["f9"].label, nodes["f9"].semantic_key) == ("/home/bob/n.txt", "file:/home/*/n.txt")
+    assert nodes["f3"].label == "/etc/x"
+
+
+def test_cdm_sizes(spark, tmp_path):
+    event = lambda k, **more: {"datum": {"v20.Event": {"uuid": f"e{k}", "type": "EVENT_READ", "subject": "p", "predicateObject": "f", **more}}}
+    rows = [event(k, **{f: {"long": 10 + k}}) for k, f in enumerate(cdm.SIZE_FIELDS)]
+    rows += [event(5 + k, properties={"map": {f: str(20 + k)}}) for k, f in enumerate(cdm.SIZE_FIELDS)]
+    rows += [event(10, size=-4, byteCount=8), event(11, size="many"), event(12, dataSize=5)]
+    (tmp_path / "s.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    got = {r.event_id: r.data_size for r in cdm.edges(cdm.records(cdm.read_lines(spark, str(tmp_path)))).collect()}
+    assert got == {**{f"e{k}": 10 + k for k in range(5)}, **{f"e{5 + k}": 20 + k for k in range(5)}, "e10": 8, "e11": None, "e12": None}
 
 
 def test_store(spark):
@@ -90,29 +105,34 @@ def test_sysdig(spark, tmp_path):
     from trailgrain.sources import sysdig
 
     lines = [
-        "100 5.226817322 2 0 john (18) > write cwd=/tmp/ fd=1(<f>/tmp/a.txt) size=124",
-        "101 5.226832508 2 0 john (18) < write cwd=/tmp/ res=124 exepath=/bin/john",
-        "102 6.5 2 0 scp (19) > read cwd=/root/ fd=3(<f>/tmp/a.txt) size=9",
-        "103 6.6 2 0 scp (19) < read cwd=/root/ res=9 exepath=<NA>",
-        "104 7.0 2 0 scp (19) < read cwd=/root/ res=-11 name=/tmp/none",
-        "105 7.1 2 0 sh (20) < clone res=21",
-        "106 7.2 2 0 sh (20) < execve res=0 exe=./run/../x cwd=/opt/",
-        "107 7.3 2 0 sh (20) > connect fd=4(<4t>10.0.0.1:5->10.0.0.2:80)",
-        "108 7.4 2 0 sh (20) < connect res=0",
-        "broken",
-        "109 7.5 2 0 sh (20) < nanosleep res=0",
+        "7 40.000000250 1 3 tar czf (881) > write cwd=/srv/ fd=6(<f>/srv/out 1.tgz) size=4096",
+        "8 40.000000900 1 3 tar czf (881) < write res=4096 exepath=/usr/bin/tar",
+        "9 41.25 0 3 rsync (902) > read fd=2(<f>backup/./list) cwd=/var size=30",
+        "10 41.26 0 3 rsync (902) < read res=30 exepath=<NA>",
+        "11 41.27 0 3 rsync (902) < read res=-5(EIO) name=/var/none",
+        "12 42.0 2 3 make (903) < vfork res=904",
+        "13 42.1 2 3 make (904) < execveat res=0 exe=./bin//lint cwd=/opt/tool",
+        "14 42.2 2 3 make (904) > connect fd=9(<6t>fe80::1:70->fe80::2:8443)",
+        "15 42.3 2 3 make (904) < connect res=0",
+        "16 42.4 2 3 make (904) > open name=/var/log/old(deleted)",
+        "17 42.5 2 3 make (904) < open fd=4(/proc/4) res=4 name=link(/var/log/new)",
+        "not a line",
+        "18 42.6 2 3 make (904) < futex res=0",
     ]
     (tmp_path / "t.log").write_text("\n".join(lines))
     read = sysdig.read_sysdig(spark, str(tmp_path))
     assert read.where("event is null").count() == 1
     events = sysdig.sysdig_events(read, "h")
     got = {r.event_id: r for r in events.collect()}
-    assert set(got) == {f"sysdig:{k}" for k in (101, 103, 105, 106, 108)}
-    file = "sysdig:file:" + str(uuid.uuid5(uuid.NAMESPACE_URL, "sysdig:h:file:/tmp/a.txt"))
-    john = "sysdig:process:" + str(uuid.uuid5(uuid.NAMESPACE_URL, "sysdig:h:process:18"))
-    a, b = got["sysdig:101"], got["sysdig:103"]
-    assert (a.src, a.dst, a.relation, a.timestamp_ns, a.data_size, a.src_label) == (john, file, "EVENT_WRITE", 5_226_832_508, 124, "/bin/john")
-    assert (b.src, b.relation, b.timestamp_ns, b.dst_label) == (file, "EVENT_READ", 6_600_000_000, "scp")
-    assert got["sysdig:106"].dst_label == "/opt/run/../x"
-    assert got["sysdig:108"].dst_label == "10.0.0.1:5->10.0.0.2:80"
-    assert sysdig.latest_write(events, "/tmp/a.txt", 124).first().event_id == "sysdig:101"
+    assert set(got) == {f"sysdig:{k}" for k in (8, 10, 12, 13, 15, 17)}
+    file = "sysdig:file:" + str(uuid.uuid5(uuid.NAMESPACE_URL, "sysdig:h:file:/srv/out 1.tgz"))
+    tar = "sysdig:process:" + str(uuid.uuid5(uuid.NAMESPACE_URL, "sysdig:h:process:881"))
+    a, b = got["sysdig:8"], got["sysdig:10"]
+    assert (a.src, a.dst, a.relation, a.timestamp_ns, a.data_size, a.src_label) == (tar, file, "EVENT_WRITE", 40_000_000_900, 4096, "/usr/bin/tar")
+    assert (b.src_label, b.relation, b.timestamp_ns, b.dst_label) == ("/var/backup/list", "EVENT_READ", 41_260_000_000, "rsync")
+    assert got["sysdig:12"].dst_label == "904"
+    assert got["sysdig:13"].dst_label == "/opt/tool/bin/lint"
+    assert got["sysdig:15"].dst_label == "fe80::1:70->fe80::2:8443"
+    assert got["sysdig:17"].dst_label == "/var/log/new"
+    assert sysdig.latest_write(events, "/srv/out 1.tgz", 4096).first().event_id == "sysdig:8"
+    assert sysdig.latest_write(events, "/srv/out 1.tgz", 1).first().event_id == "sysdig:8"

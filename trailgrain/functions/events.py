@@ -66,7 +66,7 @@ def csv_safe(text: Column) -> Column:
 
 
 def masked_home(path: Column) -> Column:
-    """User names in home folders become *."""
+    """User names in home folders become *; the three patterns are fixed values, as keys must match."""
     path = F.regexp_replace(path, r"(?i)(/home/)[^/]+", "$1*")
     path = F.regexp_replace(path, r"(?i)(/users/)[^/]+", "$1*")
     return F.regexp_replace(path, r"(?i)([a-z]:\\users\\)[^\\]+", "$1*")

@@ -18,7 +18,7 @@ NODE_TYPES = {
 }
 PROPERTY_FIELDS = ("cmdLine", "path", "filename", "name", "gid", "localAddress", "localPort", "remoteAddress", "remotePort")
 LABEL_FIELDS = ("cmdLine", "path", "filename", "url", "name", "localAddress", "remoteAddress")
-SIZE_FIELDS = ("size", "dataSize", "bytes", "length", "len")
+SIZE_FIELDS = ("size", "bytes", "byteCount", "bytesRead", "bytesWritten")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -39,10 +39,15 @@ def scalar(field: str, body: str = "body") -> Column:
 
 
 def records(lines: DataFrame) -> DataFrame:
-    """kind and body of each record that has them."""
+    """kind and body of each record that has them: the only entry of the datum, or the datum itself where the record names its type."""
     datum = F.expr("coalesce(try_variant_get(v, '$.datum', 'map<string,variant>'), try_variant_get(v, '$', 'map<string,variant>'))")
-    one = lines.where("v is not null").withColumn("datum", datum).where("size(datum) = 1")
-    return one.select(F.element_at(F.split(F.map_keys("datum")[0], r"\."), -1).alias("kind"), F.map_values("datum")[0].alias("body"))
+    whole = F.expr("coalesce(try_variant_get(v, '$.datum', 'variant'), v)")
+    named = F.expr("coalesce(try_variant_get(v, '$.datumType', 'string'), try_variant_get(v, '$.typeName', 'string'))")
+    rows = lines.where("v is not null").withColumn("datum", datum).withColumn("named", named).withColumn("whole", whole)
+    nested = F.expr("size(datum) = 1 and try_variant_get(map_values(datum)[0], '$', 'map<string,variant>') is not null")
+    kind = F.when(nested, F.map_keys("datum")[0]).otherwise(F.col("named"))
+    body = F.when(nested, F.map_values("datum")[0]).otherwise(F.col("whole"))
+    return rows.where(F.expr("size(datum) > 0")).select(F.element_at(F.split(kind, r"\."), -1).alias("kind"), body.alias("body")).where("kind is not null")
 
 
 def properties() -> Column:
@@ -76,13 +81,31 @@ def nodes(recs: DataFrame) -> DataFrame:
     address, port = F.coalesce(p["remoteAddress"], p["localAddress"]), F.coalesce(p["remotePort"], p["localPort"])
     labelled = found.withColumn("label", F.coalesce(*candidates, F.col("uuid")))
     key = F.when((F.col("kind") == "NetFlowObject") & address.isNotNull(), F.concat(F.lit("socket:"), F.concat_ws(":", address, port))).otherwise(semantic_key(F.col("node_type"), F.col("label")))
-    return labelled.select("uuid", "node_type", "label", F.coalesce("host", F.lit("")).alias("host"), key.alias("semantic_key"), "properties")
+    declared = labelled.select("uuid", "node_type", "label", F.coalesce("host", F.lit("")).alias("host"), key.alias("semantic_key"), "properties")
+    return declared.unionByName(mentioned(recs))
+
+
+def mentioned(recs: DataFrame) -> DataFrame:
+    """Nodes that events describe: the subject by the program or command in its properties, and objects by their paths."""
+    events = recs.where("kind = 'Event'").select(
+        "body", scalar("subject").alias("subject"), F.coalesce(scalar("hostId"), F.lit("")).alias("host"), properties().alias("p"),
+        *[scalar(f).alias(f) for f in ("predicateObject", "predicateObject2", "predicateObjectPath", "predicateObject2Path")],
+    )
+    program = F.coalesce(F.col("p")["exec"], F.col("p")["command"])
+    process = F.struct(F.col("subject").alias("uuid"), F.lit("process").alias("node_type"), program.alias("label"), F.map_filter("p", lambda k, _: k.isin("exec", "command", "cmdLine", "gid")).alias("properties"))
+    file = lambda f: F.struct(F.col(f).alias("uuid"), F.lit("file").alias("node_type"), F.col(f"{f}Path").alias("label"), F.create_map(F.lit("path"), F.col(f"{f}Path")).alias("properties"))
+    found = [F.when(F.expr("subject <> ''") & (program != ""), process)]
+    found += [F.when(F.expr(f"subject <> '' and {f} <> '' and {f}Path <> ''"), file(f)) for f in ("predicateObject", "predicateObject2")]
+    rows = events.select("host", F.explode(F.array(*found)).alias("n")).where("n is not null").select("host", "n.*")
+    return rows.select("uuid", "node_type", "label", "host", semantic_key(F.col("node_type"), F.col("label")).alias("semantic_key"), "properties")
 
 
 def edges(recs: DataFrame) -> DataFrame:
     """Events as directed flow, one edge for each object (the second with the suffix :2), and the lineage of subjects."""
-    size = F.coalesce(*[F.when(F.expr(f"try_cast(x_{f} as bigint)") >= 0, F.expr(f"try_cast(x_{f} as bigint)")) for f in SIZE_FIELDS])
-    events = recs.where("kind = 'Event'").withColumns({f"x_{f}": scalar(f) for f in SIZE_FIELDS}).select(
+    valid = lambda f: F.when(F.expr(f"try_cast(x_{f} as bigint)") >= 0, F.expr(f"try_cast(x_{f} as bigint)"))
+    size = F.coalesce(*[valid(f) for f in SIZE_FIELDS])
+    own = recs.where("kind = 'Event'").withColumn("p", properties()).withColumns({f"x_{f}": F.coalesce(scalar(f), F.col("p")[f]) for f in SIZE_FIELDS})
+    events = own.select(
         scalar("uuid").alias("event_id"), scalar("subject").alias("subject"), F.coalesce(scalar("type"), F.lit("EVENT_UNKNOWN")).alias("relation"),
         F.coalesce(F.expr("try_variant_get(body, '$.timestampNanos', 'bigint')"), scalar("timestampNanos").cast("long"), F.lit(0)).alias("timestamp_ns"),
         F.coalesce(scalar("hostId"), F.lit("")).alias("host"), size.alias("data_size"),

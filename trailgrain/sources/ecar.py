@@ -21,6 +21,7 @@ def ecar_edges(raw: DataFrame) -> DataFrame:
     p = lambda f: F.nullif(F.col(f"properties.{f}"), F.lit(""))
     shown = lambda f: F.coalesce(F.col(f"properties.{f}"), F.lit("?"))
     created = (F.col("object") == "PROCESS") & (F.col("action") == "CREATE") & p("parent_image_path").isNotNull()
+    # The words of these labels, which enter signatures.
     actor = F.when(created, p("parent_image_path")).otherwise(F.coalesce(p("image_path"), F.concat(F.lit("进程 PID "), F.coalesce(F.col("pid").cast("string"), F.lit("?")))))
     flow = F.concat(shown("src_ip"), F.lit(":"), shown("src_port"), F.lit(" → "), shown("dest_ip"), F.lit(":"), shown("dest_port"))
     target = (
