@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,17 +25,32 @@ def merged_dependencies(edges: DataFrame, gap_ns: int) -> DataFrame:
 
 
 def bounded_episodes(edges: DataFrame, keys: list[str], span_ns: int) -> DataFrame:
-    """Greedy episodes no longer than span, from each one's first event: edge_id and the episode's start.
+    """Greedy episodes no longer than span, from each one's first event: keys, edge_id and the episode's start.
 
-    The cut depends on all earlier ones, so it is a fold over the key's ordered times.
+    A gap above the span always begins an episode, so the stretches between such gaps are folded in different tasks, each in
+    time order with nothing in memory but the episode's start.
     """
-    times = edges.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("timestamp_ns", "edge_id"))).alias("events"))
-    start = F.expr(f"""
-      aggregate(events, named_struct('at', cast(null as bigint), 'out', array()::array<struct<edge_id: bigint, start: bigint>>), (a, e) ->
-        transform(array(if(a.at is null or e.timestamp_ns - a.at > {span_ns}, e.timestamp_ns, a.at)), t ->
-          named_struct('at', t, 'out', concat(a.out, array(named_struct('edge_id', e.edge_id, 'start', t)))))[0], a -> a.out)
-    """)
-    return times.select(*keys, F.explode(start).alias("e")).select(*keys, "e.edge_id", "e.start")
+    import numpy as np
+    import pyarrow as pa
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, start = None, 0
+        for b in batches:
+            names, times, starts = b.column("stretch_").to_pylist(), b.column("timestamp_ns").to_pylist(), np.zeros(b.num_rows, np.int64)
+            for k, (name, t) in enumerate(zip(names, times, strict=True)):
+                if name != last or t - start > span_ns:
+                    start = t
+                last = name
+                starts[k] = start
+            yield pa.record_batch([*(b.column(c) for c in [*keys, "edge_id"]), pa.array(starts)], [*keys, "edge_id", "start"])
+
+    w = Window.partitionBy(*keys).orderBy("timestamp_ns", "edge_id")
+    gap = F.when(F.col("timestamp_ns") - F.lag("timestamp_ns").over(w) <= span_ns, 0).otherwise(1)
+    rows = edges.withColumn("gap_", gap).withColumn("number_", F.sum("gap_").over(w))
+    rows = rows.withColumn("stretch_", F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys], F.col("number_").cast("string")))
+    rows = rows.repartition("stretch_").sortWithinPartitions("stretch_", "timestamp_ns", "edge_id").select(*keys, "edge_id", "timestamp_ns", "stretch_")
+    schema = ", ".join(f"`{k}` {edges.schema[k].dataType.simpleString()}" for k in keys)
+    return rows.mapInArrow(fold, f"{schema}, edge_id long, start long")
 
 
 def running_before(order: tuple[str, ...], *partition: str) -> object:

@@ -43,13 +43,13 @@ def path_metrics(edges: DataFrame) -> DataFrame:
     return found.agg(F.count("*").alias("paths"), F.count_if("retained").alias("retained"), F.count_if(F.expr("retained and chosen")).alias("chosen_retained"), F.count_if(F.expr("retained and not chosen")).alias("other_retained"))
 
 
-@edge_query(f", {SCORED}, {CHAINS}, w AS (SELECT path, list(scored.edge_id ORDER BY position) AS events, list(scored.dst ORDER BY position) AS nodes, round(avg(rarity), 6) AS score, min(rarity) AS least FROM path JOIN scored USING (edge_id) GROUP BY ALL) SELECT path, array_to_string(events, ',') AS events, array_to_string(nodes, ',') AS nodes, score FROM w WHERE least >= 0.05")
+@edge_query(f", {SCORED}, {CHAINS}, w AS (SELECT path, list(scored.edge_id ORDER BY position) AS events, list(scored.dst ORDER BY position) AS nodes, round(avg(rarity), 6) AS score, min(rarity) AS least FROM path JOIN scored USING (edge_id) GROUP BY ALL) SELECT path, array_to_string(events, ',') AS events, array_to_string(nodes, ',') AS nodes, score FROM w WHERE least >= 0.008")
 def reconstructed_paths(edges: DataFrame) -> DataFrame:
-    """Paths of which everything is kept (here: rarity of 0.05 or more), with their events and nodes."""
+    """Paths of which everything is kept (here: rarity of 0.008 or more), with their events and nodes."""
     rows = own_chains(edges).join(tied(edges).select("edge_id", "dst", "rarity"), "edge_id")
     listed = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", F.col(c).cast("string").alias("x")))), lambda s: s.x), ",")
     found = rows.groupBy("path").agg(listed("edge_id").alias("events"), listed("dst").alias("nodes"), F.round(F.avg("rarity"), 6).alias("score"), F.min("rarity").alias("least"))
-    return found.where("least >= 0.05").drop("least")
+    return found.where("least >= 0.008").drop("least")
 
 
 STABLE = f"""ends AS (SELECT src_semantic AS k, src_type AS t, 'out' AS d, day, timestamp_ns FROM edges UNION ALL SELECT dst_semantic, dst_type, 'in', day, timestamp_ns FROM edges),
