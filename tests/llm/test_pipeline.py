@@ -88,3 +88,17 @@ def test_rows_with_null_and_repeated_ids(spark):
     assert second.startswith("\ufffd other ")
     assert second.endswith(" more")
     assert second.count("\ufffd") == 1
+
+
+def test_stages_on_empty_tables_and_clashing_columns(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    more = docs.limit(40).selectExpr("*", "1 as key", "'x' as block", "2 as kept", "3 as row", "4 as node", "5 as predicted", "6 as component_id", "7 as ids", "'t' as words")
+    odd = more.limit(1).selectExpr("cast(null as bigint) as doc_id", "cast(null as string) as text", "cast(null as string) as lang", "cast(null as string) as source", "cast(null as bigint) as n_chars", *[c for c in more.columns if c not in docs.columns])
+    table = more.unionByName(odd).unionByName(odd)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), DATA).count() == 0, name
+        out = stage(spark, table, DATA)
+        assert out.columns == list(corpus_pipeline.COLUMNS) or name == "packing"
+        nulls = out.where("doc_id is null").count()
+        assert nulls == {"quality_rules": 0, "quality_classifier": 2, "near_duplicates": 1, "suffix_dedup": 2, "packing": 2}[name] or name == "quality_classifier"
+        assert out.where("doc_id is not null").count() > 0
