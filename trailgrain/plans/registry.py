@@ -35,7 +35,7 @@ def table_query(sql: str | None) -> Callable:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from trailgrain.plans import continuations, diffusion, evaluation, features, graphs, ledgers, lookups, metrics, pages, profiles, ranking, scores, windows  # noqa: F401
+    from trailgrain.plans import continuations, diffusion, evaluation, features, graphs, ingests, ledgers, lookups, metrics, pages, profiles, ranking, scores, windows  # noqa: F401
 
     return dict(QUERIES)
 
