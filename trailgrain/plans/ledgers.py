@@ -25,13 +25,19 @@ def contributions(edges: DataFrame) -> DataFrame:
     return edges.join(p, "dst").select("edge_id", "poi", F.round(1 / (1 + F.abs(F.col("timestamp_ns") - F.col("t")) / float(DAY)), 6).alias("s"))
 
 
+_LEDGERS: dict[tuple, str] = {}
+
+
 def stored(edges: DataFrame) -> str:
-    """The folder of a ledger of these events."""
-    rated = cut(rounded_rarity(edges))
-    given = cut(contributions(rated))
-    rows = L.build(rated, given, pois(rated), BUDGETS, CUTOFF)
-    folder = edges.sparkSession.sparkContext.getCheckpointDir()
-    return L.write(folder, rows, given, own_chains(edges))
+    """The folder of the ledger of these events; an application writes it once."""
+    context = edges.sparkSession.sparkContext
+    name = (context.applicationId, *sorted(edges.inputFiles()))
+    if name not in _LEDGERS:
+        rated = cut(rounded_rarity(edges))
+        given = cut(contributions(rated))
+        rows = L.build(rated, given, pois(rated), BUDGETS, CUTOFF)
+        _LEDGERS[name] = L.write(context.getCheckpointDir(), rows, given, own_chains(edges))
+    return _LEDGERS[name]
 
 
 def check(sql: str) -> Callable:
