@@ -212,3 +212,18 @@ def test_parts_bound_guests_too(spark):
     assert sides.max() <= 200
     met = found[found.cell == 1].merge(found[found.cell == 1], on=["r", "q"])
     assert (met.resident_x & ~met.resident_y).sum() == 5 * 3005
+
+
+def test_exact_vectors(spark, monkeypatch):
+    import trailgrain.llm.vector_dedup as V
+
+    monkeypatch.setattr(V, "CELL", 2)
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(300, 12))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.concatenate([base, base + rng.normal(scale=0.36, size=base.shape)]).astype(np.float32))]
+    got = {r.vec_id: r.n_links for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), sample=50, exact=True).collect()}
+    v = np.array([r[1] for r in rows], float)
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    want = (v @ v.T >= 0.9).sum(1) - 1
+    assert want.sum() > 100
+    assert [got[i] for i in range(len(rows))] == want.tolist()

@@ -151,11 +151,55 @@ def _partners(entries: DataFrame, names: list[int], queries: np.ndarray, books:
     return hits.groupBy("query").applyInArrow(rank, "rank long, weight double").groupBy("rank").agg(F.sum("weight").alias("weight")).collect()
 
 
-def near_vectors(embeddings: DataFrame, threshold: float = 0.9, recall: float = 0.99, sample: int = SAMPLE, part: int = PART) -> DataFrame:
+def cells_within(v: np.ndarray, books: tuple[np.ndarray, np.ndarray], radii: tuple[np.ndarray, np.ndarray], limit: float) -> list[np.ndarray]:
+    """For each vector all cells that can hold a vector within this squared distance, its home first.
+
+    A resident is no farther from its codewords than their radius, so by the triangle inequality in each half.
+    """
+    half = books[0].shape[1]
+    gaps = []
+    for d, c, r, x in zip(distances(v, books), books, radii, (v[:, :half], v[:, half:]), strict=True):
+        away = np.sqrt(np.maximum(d + (x * x).sum(1)[:, None], 0)) - r - 1e-9
+        gaps.append(np.where(r[None, :] < 0, np.inf, np.maximum(away, 0) ** 2))
+    out = []
+    for a, b, home in zip(*gaps, homes(v, books), strict=True):
+        order = np.argsort(b)
+        n = np.searchsorted(b[order], limit + 1e-9 - a, "right")
+        i = np.repeat(np.arange(len(a)), n)
+        cells = i * len(b) + order[np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)]
+        out.append(np.concatenate([[home], cells[cells != home]]))
+    return out
+
+
+def _radii(entries: DataFrame, books: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """How far the farthest resident of each codeword is from it, -1 without residents: a row a codeword."""
+    shared = entries.sparkSession.sparkContext.broadcast(books)
+
+    def widest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        books = shared.value
+        far = [np.full(len(c), -1.0) for c in books]
+        half = books[0].shape[1]
+        for b in batches:
+            if b.num_rows:
+                v = np.stack([unit(np.frombuffer(x, np.float64)) for x in b.column("key").to_pylist()])
+                for d, r, x in zip(distances(v, books), far, (v[:, :half], v[:, half:]), strict=True):
+                    near = np.argmin(d, 1)
+                    np.maximum.at(r, near, np.sqrt(np.maximum(d[np.arange(len(v)), near] + (x * x).sum(1), 0)))
+        yield pa.record_batch([pa.array(np.repeat([0, 1], [len(r) for r in far])), pa.array(np.concatenate([np.arange(len(r)) for r in far])), pa.array(np.concatenate(far))], ["book", "word", "radius"])
+
+    found = entries.select("key").mapInArrow(widest, "book long, word long, radius double").groupBy("book", "word").agg(F.max("radius").alias("radius")).collect()
+    out = tuple(np.full(len(c), -1.0) for c in books)
+    for r in found:
+        out[r.book][r.word] = r.radius
+    return out
+
+
+def near_vectors(embeddings: DataFrame, threshold: float = 0.9, recall: float = 0.99, sample: int = SAMPLE, part: int = PART, exact: bool = False) -> DataFrame:
     """Rows of embeddings: vec_id, n_links (other vectors linked directly), component_id and kept.
 
     Vectors link if the cosine, in double precision, is at least the threshold; candidates come from the index, whose
-    codebooks are fitted on `sample` vectors at most and whose visits are calibrated against all, so that links may be missed within the recall but none is wrong. Null and zero vectors,
+    codebooks are fitted on `sample` vectors at most and whose visits are calibrated against all, so that links may be missed within the recall but none is wrong. exact: vectors visit every cell
+    that can hold a partner, by the cells' radii, so that none is missed; there may be many. Null and zero vectors,
     vectors with null or non-finite components and vectors of other lengths than the most frequent link with nothing.
     Repeated rows are vectors of their own; rows with null vec_id count as links of others, but get no component
     (null) and are not kept. Labels and other columns are ignored; an empty table gives no rows.
@@ -180,18 +224,20 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.9, recall: float =
     total = entries.count()
     k = int(min(1024, max(4, round((total / CELL) ** 0.5))))
     books = _books(entries, k, sample)
-    visits = calibrate(entries, books, threshold, recall)
-    shared = spark.sparkContext.broadcast(books)
+    visits = 0 if exact else calibrate(entries, books, threshold, recall)
+    shared = spark.sparkContext.broadcast((books, _radii(entries, books) if exact else None))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books = shared.value
+        books, radii = shared.value
         for b in batches:
             keys = b.column("key").to_pylist()
             if not keys:
                 continue
             v = np.stack([unit(np.frombuffer(x, np.float64)) for x in keys])
-            d1, d2 = distances(v, books)
-            seen = [multi_sequence(x, y, visits) for x, y in zip(d1, d2, strict=True)]
+            if exact:
+                seen = cells_within(v, books, radii, 2 - 2 * threshold)
+            else:
+                seen = [multi_sequence(x, y, visits) for x, y in zip(*distances(v, books), strict=True)]
             small = [_narrow(np.frombuffer(x, np.float64)) for x in keys]
             yield pa.record_batch([b.column("entry"), b.column("copies"), pa.array(small, pa.binary()), pa.array([s[0] for s in seen], pa.int32()), pa.array(seen, pa.list_(pa.int32()))], ["entry", "copies", "vector", "home", "seen"])
 
