@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailgrain.functions import events as E
@@ -47,10 +47,13 @@ def edge_rarity(edges: DataFrame, weights: tuple[float, float, float] = (0.2, 0.
 
     The three count tables hold a row for each type, relation and pattern, so they are joined without moving the edges.
     """
-    nodes = P.both_ends(edges).groupBy("node_type").agg(F.countDistinct("uuid").alias("c"))
-    tables = {"node": nodes, "relation": edges.groupBy("relation").agg(F.count("*").alias("c")), "pattern": edges.groupBy("src_type", "relation", "dst_type").agg(F.count("*").alias("c"))}
-    top = {k: t.agg(F.max("c")).first()[0] or 0 for k, t in tables.items()}
-    rare = lambda k, name: tables[k].withColumn(name, E.log_rarity(F.col("c"), F.lit(top[k]))).drop("c")
+    patterns = edges.groupBy("src_type", "relation", "dst_type").agg(F.count("*").alias("c"))
+    tables = {
+        "node": P.both_ends(edges).groupBy("node_type").agg(F.countDistinct("uuid").alias("c")),
+        "relation": patterns.groupBy("relation").agg(F.sum("c").alias("c")), "pattern": patterns,
+    }
+    top = F.max("c").over(Window.partitionBy(F.lit(0)))  # over a row for each type, relation or pattern
+    rare = lambda k, name: tables[k].withColumn("top_", top).withColumn(name, E.log_rarity(F.col("c"), F.col("top_"))).drop("c", "top_")
     out = edges.join(rare("node", "r_src").withColumnRenamed("node_type", "src_type"), "src_type")
     out = out.join(rare("node", "r_dst").withColumnRenamed("node_type", "dst_type"), "dst_type")
     out = out.join(rare("relation", "r_rel"), "relation").join(rare("pattern", "r_pat"), ["src_type", "relation", "dst_type"])
@@ -65,8 +68,6 @@ def nearest_poi_ns(edges: DataFrame, pois: DataFrame) -> DataFrame:
     One window over the time order would put all rows in a task, so times are cut into days first: within its day an
     event has neighbours, and for days without any the nearest before and after come from a table of days.
     """
-    from pyspark.sql import Window
-
     times = pois.select(F.col("timestamp_ns").alias("t"), F.expr("timestamp_ns div 86400000000000").alias("day")).distinct()
     days = edges.select(F.expr("timestamp_ns div 86400000000000").alias("day")).union(times.select("day")).distinct()
     per_day = days.join(times.groupBy("day").agg(F.min("t").alias("first"), F.max("t").alias("last")), "day", "left")
