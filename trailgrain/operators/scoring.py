@@ -9,6 +9,7 @@ from trailgrain.functions import events as E
 from trailgrain.operators import profiles as P
 
 FLOOR, BACKOFF = 1e-6, 0.1
+MINUTE_NS = 60_000_000_000
 
 
 def transition_probability(edges: DataFrame, cutoff_ns: int) -> DataFrame:
@@ -65,21 +66,22 @@ def edge_rarity(edges: DataFrame, weights: tuple[float, float, float] = (0.2, 0.
 def nearest_poi_ns(edges: DataFrame, pois: DataFrame) -> DataFrame:
     """Distance in time to the nearest point of interest, by the last one before and the first one after each event.
 
-    One window over the time order would put all rows in a task, so times are cut into days first: within its day an
-    event has neighbours, and for days without any the nearest before and after come from a table of days.
+    One window over the time order would put all rows in a task, so times are cut into minutes first: within its minute an
+    event has neighbours, and for minutes without any the nearest before and after come from a table of minutes.
     """
-    times = pois.select(F.col("timestamp_ns").alias("t"), F.expr("timestamp_ns div 86400000000000").alias("day")).distinct()
-    days = edges.select(F.expr("timestamp_ns div 86400000000000").alias("day")).union(times.select("day")).distinct()
-    per_day = days.join(times.groupBy("day").agg(F.min("t").alias("first"), F.max("t").alias("last")), "day", "left")
-    order = Window.orderBy("day")  # a row for each day
-    per_day = per_day.select("day", F.last("last", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"), F.first("first", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("later"))
-    keep = edges.withColumn("day", F.expr("timestamp_ns div 86400000000000"))
+    slot = lambda c: F.expr(f"{c} div {MINUTE_NS}").alias("slot")
+    times = pois.select(F.col("timestamp_ns").alias("t"), slot("timestamp_ns")).distinct()
+    keep = edges.withColumn("slot", slot("timestamp_ns"))
+    slots = keep.select("slot").union(times.select("slot")).distinct()
+    per_slot = slots.join(times.groupBy("slot").agg(F.min("t").alias("first"), F.max("t").alias("last")), "slot", "left")
+    order = Window.orderBy("slot")  # a row for each minute with events
+    per_slot = per_slot.select("slot", F.last("last", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"), F.first("first", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("later"))
     marked = keep.withColumn("t", F.lit(None).cast("long")).unionByName(times.withColumn("timestamp_ns", F.col("t")), allowMissingColumns=True)
-    within = Window.partitionBy("day").orderBy("timestamp_ns")
+    within = Window.partitionBy("slot").orderBy("timestamp_ns")
     marked = marked.withColumn("back", F.max("t").over(within.rangeBetween(Window.unboundedPreceding, 0))).withColumn("ahead", F.min("t").over(within.rangeBetween(0, Window.unboundedFollowing)))
-    out = marked.where("t is null").join(per_day, "day")
+    out = marked.where("t is null").join(per_slot, "slot")
     back, ahead = F.coalesce("back", "earlier"), F.coalesce("ahead", "later")
-    return out.withColumn("distance_ns", F.least(F.col("timestamp_ns") - back, ahead - F.col("timestamp_ns"))).drop("t", "back", "ahead", "earlier", "later")
+    return out.withColumn("distance_ns", F.least(F.col("timestamp_ns") - back, ahead - F.col("timestamp_ns"))).drop("t", "back", "ahead", "earlier", "later", "slot")
 
 
 def noisy_or(scores: DataFrame, key: str, poi: str, score: str) -> DataFrame:

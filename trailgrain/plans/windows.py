@@ -56,17 +56,16 @@ row_number() OVER (ORDER BY timestamp_ns, edge_id) - 1 AS n FROM edges) SELECT e
 def prequential_rarity(edges: DataFrame) -> DataFrame:
     """Rarity of each event's pattern by the counts before it.
 
-    The global count is a sum over days and a rank within the day, so that no window covers all rows.
+    The global count is a sum over minutes and a place within the minute, so that no window covers more than a minute's events.
     """
-    order = ("timestamp_ns", "edge_id")
-    per_day = edges.groupBy("day").agg(F.count("*").alias("c"))
-    earlier = per_day.withColumn("base", F.coalesce(F.sum("c").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("day", "base")
-    patterns = edges.groupBy("src_type", "relation", "dst_type", "day").agg(F.count("*").alias("c"))
-    before = Window.partitionBy("src_type", "relation", "dst_type").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    patterns = patterns.withColumn("pattern_base", F.coalesce(F.sum("c").over(before), F.lit(0))).drop("c")
-    out = edges.join(earlier, "day").join(patterns, ["src_type", "relation", "dst_type", "day"])
-    n = F.col("base") + F.row_number().over(Window.partitionBy("day").orderBy(*order)) - 1
-    c = F.col("pattern_base") + F.row_number().over(Window.partitionBy("day", "src_type", "relation", "dst_type").orderBy(*order)) - 1
+    order, key = ("timestamp_ns", "edge_id"), ("src_type", "relation", "dst_type")
+    rows = edges.withColumn("slot", F.expr(f"timestamp_ns div {HOUR // 60}"))
+    before = lambda *keys: F.coalesce(F.sum("c").over(Window.partitionBy(*keys).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    patterns = rows.groupBy(*key, "slot").agg(F.count("*").alias("c"))
+    earlier = patterns.groupBy("slot").agg(F.sum("c").alias("c")).select("slot", before(F.lit(0)).alias("base"))  # a row a minute
+    out = rows.join(earlier, "slot").join(patterns.select(*key, "slot", before(*key).alias("pattern_base")), [*key, "slot"])
+    n = F.col("base") + F.row_number().over(Window.partitionBy("slot").orderBy(*order)) - 1
+    c = F.col("pattern_base") + F.row_number().over(Window.partitionBy("slot", *key).orderBy(*order)) - 1
     return out.withColumn("n", n).withColumn("c", c).select("edge_id", F.round(F.log((F.col("n") + 2) / (F.col("c") + 1)) / F.log(F.col("n") + 2), 9).alias("rarity"))
 
 
