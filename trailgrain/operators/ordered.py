@@ -72,6 +72,17 @@ def running(rows: DataFrame, keys: list[str], order: list[Column | str], parts:
     return out.withColumns({n: F.col(f"{n}_in") + F.col(f"{n}_base") for n in names}).drop("part_", *[f"{n}{s}" for n in names for s in ("_", "_in", "_base")])
 
 
+def running_max(rows: DataFrame, keys: list[str], order: list[Column | str], value: Column, name: str) -> DataFrame:
+    """rows with the largest value over the rows before in the order (within the keys), null for the first."""
+    columns = [F.col(c) if isinstance(c, str) else c for c in [*keys, *order]]
+    dealt = cut(rows.withColumn("value_", value).repartitionByRange(*columns).withColumn("part_", F.spark_partition_id()))
+    before = Window.partitionBy(*keys).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    bases = dealt.groupBy("part_", *keys).agg(F.max("value_").alias("most_")).select("part_", *keys, F.max("most_").over(before).alias("base_"))
+    inside = Window.partitionBy("part_", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.withColumn("in_", F.max("value_").over(inside)).join(bases, ["part_", *keys])
+    return out.withColumn(name, F.greatest("in_", "base_")).drop("part_", "value_", "in_", "base_")
+
+
 def ranked(rows: DataFrame, keys: list[str], order: list[Column | str], name: str = "place") -> DataFrame:
     """rows with their place (from 1) in a unique order within the keys."""
     return running(rows, keys, order, **{name: F.lit(1).cast("long")}).withColumn(name, F.col(name) + 1)

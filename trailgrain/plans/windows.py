@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailgrain.operators import ordered as O
 from trailgrain.operators import sessions as S
 from trailgrain.plans.registry import edge_query
 from trailgrain.plans.scores import HOUR, POIS, pois
@@ -72,9 +73,9 @@ def prequential_rarity(edges: DataFrame) -> DataFrame:
 @edge_query("SELECT host, count(*) FILTER (WHERE late) AS late, count(*) AS events FROM (SELECT host, timestamp_ns < max(timestamp_ns) OVER (PARTITION BY host ORDER BY hash_order ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS late FROM (SELECT *, sha256(CAST(edge_id AS VARCHAR)) AS hash_order FROM edges)) GROUP BY ALL")
 def late_arrivals(edges: DataFrame) -> DataFrame:
     """Events of each host that arrive (here in the order of a hash) after a later one; they are counted, never dropped."""
-    w = Window.partitionBy("host").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
-    late = edges.withColumn("arrival", F.sha2(F.col("edge_id").cast("string"), 256)).withColumn("late", F.col("timestamp_ns") < F.max("timestamp_ns").over(w))
-    return late.groupBy("host").agg(F.count_if("late").alias("late"), F.count("*").alias("events"))
+    arrived = edges.select("host", "timestamp_ns", F.sha2(F.col("edge_id").cast("string"), 256).alias("arrival"))
+    seen = O.running_max(arrived, ["host"], ["arrival"], F.col("timestamp_ns"), "latest")
+    return seen.groupBy("host").agg(F.count_if(F.coalesce(F.col("timestamp_ns") < F.col("latest"), F.lit(False))).alias("late"), F.count("*").alias("events"))
 
 
 @edge_query("SELECT host, edge_id FROM (SELECT host, edge_id, row_number() OVER (PARTITION BY host ORDER BY timestamp_ns DESC, edge_id DESC) AS k FROM edges) WHERE k <= 200")
