@@ -64,12 +64,20 @@ def node_search(edges: DataFrame) -> DataFrame:
     return counts.where(F.col("semantic_key").contains("1")).orderBy(F.when(F.col("node_type") == "process", 0).otherwise(1), F.desc("events"), "uuid").limit(60)
 
 
-@edge_query(", q AS (SELECT uuid FROM nodes WHERE node_type = 'file'), p AS (SELECT dst AS uuid, count(*) AS parents, count(*) FILTER (WHERE src_type = 'file') AS files FROM edges GROUP BY ALL) SELECT n.uuid, n.node_type FROM nodes n LEFT JOIN p USING (uuid) WHERE n.node_type = 'socket' OR (n.node_type = 'file' AND parents IS NULL) OR (n.node_type = 'process' AND (parents IS NULL OR parents = files))")
+LIBRARIES = ("/doc1", "/doc2")  # in the place of "/lib/", "/lib64/", "/usr/lib/", which the table has not
+
+
+@edge_query(""", lib AS (SELECT uuid FROM nodes WHERE node_type = 'file' AND (lower(semantic_key) LIKE '%/doc1%' OR lower(semantic_key) LIKE '%/doc2%')), p AS (SELECT dst AS uuid, bool_and(src IN (SELECT uuid FROM lib)) AS only_libraries FROM edges GROUP BY ALL)
+SELECT n.uuid, n.node_type FROM nodes n LEFT JOIN p USING (uuid) WHERE n.node_type = 'socket' OR (n.node_type = 'file' AND only_libraries IS NULL AND n.uuid NOT IN (SELECT uuid FROM lib)) OR (n.node_type = 'process' AND coalesce(only_libraries, true))""")
 def entry_candidates(edges: DataFrame) -> DataFrame:
-    """Where an attack may enter: sockets, files without writers, and processes that only files lead to."""
-    parents = edges.groupBy(F.col("dst").alias("uuid")).agg(F.count("*").alias("parents"), F.count_if(F.col("src_type") == "file").alias("files"))
-    found = graph_nodes(edges).select("uuid", "node_type").join(parents, "uuid", "left")
-    return found.where("node_type = 'socket' or (node_type = 'file' and parents is null) or (node_type = 'process' and (parents is null or parents = files))").select("uuid", "node_type")
+    """Where an attack may enter: sockets, files that nothing leads to and that are no libraries, processes that only libraries lead to."""
+    nodes = graph_nodes(edges)
+    marked = [F.lower("semantic_key").contains(m) for m in LIBRARIES]
+    library = (F.col("node_type") == "file") & (marked[0] | marked[1])
+    named = nodes.select("uuid", "node_type", library.alias("library"))
+    parents = edges.select("src", F.col("dst").alias("child")).distinct().join(named.select(F.col("uuid").alias("src"), "library"), "src").groupBy(F.col("child").alias("uuid")).agg(F.bool_and("library").alias("only_libraries"))
+    found = named.join(parents, "uuid", "left")
+    return found.where("node_type = 'socket' or (node_type = 'file' and only_libraries is null and not library) or (node_type = 'process' and coalesce(only_libraries, true))").select("uuid", "node_type")
 
 
 @edge_query(", t AS (SELECT uuid FROM nodes WHERE hash(1) IS NOT NULL AND substr(sha256(uuid), 1, 1) < '8') SELECT edge_id FROM edges WHERE src IN (SELECT uuid FROM t) AND dst IN (SELECT uuid FROM t)")
@@ -94,10 +102,12 @@ def as_of_probe(edges: DataFrame) -> DataFrame:
     return edges.withColumn("before_ns", F.max("timestamp_ns").over(w)).where(F.col("edge_id") % POI == 0).select(F.col("edge_id").alias("poi"), "before_ns")
 
 
-@edge_query(f", {POIS} SELECT e.edge_id, p.edge_id AS poi FROM edges e JOIN pois p USING (src, dst, relation) WHERE e.edge_id <> p.edge_id")
+@edge_query(f", {POIS} SELECT e.edge_id, p.edge_id AS poi FROM edges e JOIN pois p USING (src, dst, relation) WHERE e.edge_id <> p.edge_id AND e.timestamp_ns // {24 * HOUR * 10} = p.timestamp_ns // {24 * HOUR * 10}")
 def dependency_instances(edges: DataFrame) -> DataFrame:
-    p = pois(edges).select("src", "dst", "relation", F.col("edge_id").alias("poi"))
-    return edges.join(p, ["src", "dst", "relation"]).where("edge_id <> poi").select("edge_id", "poi")
+    """Other records of a point of interest's dependency at its time, which here is a stretch of ten days, as no times are equal."""
+    slot = F.expr(f"timestamp_ns div {24 * HOUR * 10}").alias("slot")
+    p = pois(edges).select("src", "dst", "relation", slot, F.col("edge_id").alias("poi"))
+    return edges.withColumn("slot", slot).join(p, ["src", "dst", "relation", "slot"]).where("edge_id <> poi").select("edge_id", "poi")
 
 
 @edge_query(f""", {POIS}, f AS (SELECT src AS node FROM pois UNION SELECT dst FROM pois) SELECT edge_id FROM edges WHERE src IN (SELECT node FROM f) OR dst IN (SELECT node FROM f)""")
@@ -120,3 +130,12 @@ def dimension_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def csv_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.expr("case when c_custkey % 3 = 0 then concat('=', c_name) when c_custkey % 3 = 1 then concat(' -', c_name) else c_name end")
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", E.csv_safe(v).alias("safe"))
+
+
+@edge_query(f", {POIS}, w AS (SELECT timestamp_ns - {HOUR} AS lo, timestamp_ns + {HOUR} AS hi FROM pois), u AS (SELECT DISTINCT e.edge_id, e.src, e.dst FROM w JOIN edges e ON e.timestamp_ns BETWEEN lo AND hi), n AS (SELECT src AS node FROM u UNION SELECT dst FROM u) SELECT (SELECT count(*) FROM u) AS events, (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM u) > 20 AS incomplete")
+def window_union(edges: DataFrame) -> DataFrame:
+    """Different events and nodes in all windows together, and whether that is more than an investigation takes (here 20 events)."""
+    p = pois(edges).select((F.col("timestamp_ns") - HOUR).alias("lo"), (F.col("timestamp_ns") + HOUR).alias("hi"))
+    p = p.withColumn("hour", F.explode(F.expr(f"sequence(lo div {HOUR}, hi div {HOUR})")))
+    own = edges.withColumn("hour", F.expr(f"timestamp_ns div {HOUR}")).join(p, "hour").where("timestamp_ns between lo and hi").select("edge_id", "src", "dst").distinct()
+    return own.agg(F.count("*").alias("events")).join(own.select(F.explode(F.array("src", "dst")).alias("n")).agg(F.countDistinct("n").alias("nodes"))).select("events", "nodes", (F.col("events") > 20).alias("incomplete"))  # a row each

@@ -178,3 +178,19 @@ def diverse_pois(edges: DataFrame) -> DataFrame:
     """The 25 best events of different destinations."""
     first = Window.partitionBy("dst").orderBy(F.desc("rarity"), "tie")
     return tied(edges).withColumn("k", F.row_number().over(first)).where("k = 1").orderBy(F.desc("rarity"), "tie").limit(25).select("edge_id", "dst")
+
+
+@edge_query(f", {NODE_SCORES}, r AS (SELECT node, kind, row_number() OVER (PARTITION BY kind ORDER BY best DESC, node) AS a, row_number() OVER (PARTITION BY kind ORDER BY events DESC, node) AS b FROM n) SELECT node, kind, round(1 / (60 + a) + 1 / (60 + b), 9) AS fused, a AS main FROM r")
+def fused_views(edges: DataFrame) -> DataFrame:
+    """Two views' places fused by reciprocal ranks without ties, and the place in the main view."""
+    views = O.ranked(O.ranked(node_scores(edges), ["kind"], [F.desc("best"), "node"], "a"), ["kind"], [F.desc("events"), "node"], "b")
+    return views.select("node", "kind", F.round(1 / (60 + F.col("a")) + 1 / (60 + F.col("b")), 9).alias("fused"), F.col("a").alias("main"))
+
+
+@edge_query(f", {SCORED}, r AS (SELECT relation, rarity * (edge_id % 7) AS v, row_number() OVER (PARTITION BY relation ORDER BY rarity * (edge_id % 7), edge_id) AS k, count(*) OVER (PARTITION BY relation) AS n FROM scored) SELECT relation, CAST(q AS DOUBLE) AS q, round(v, 6) AS value FROM r, (SELECT unnest([0, 0.25, 0.5, 0.75, 1]) AS q) WHERE k = 1 + CAST(floor(q * (n - 1) + 0.5) AS BIGINT)")
+def index_quantiles(edges: DataFrame) -> DataFrame:
+    """Values at the places nearest to fractions of the order, half upwards."""
+    own = tied(edges).select("relation", "edge_id", (F.col("rarity") * (F.col("edge_id") % 7)).alias("v"))
+    n = own.groupBy("relation").agg(F.count("*").alias("n"))
+    wanted = n.select("relation", F.explode(F.array(*[F.lit(q) for q in (0.0, 0.25, 0.5, 0.75, 1.0)])).alias("q"), "n").withColumn("place", 1 + F.floor(F.col("q") * (F.col("n") - 1) + 0.5))
+    return O.ranked(own, ["relation"], ["v", "edge_id"]).join(wanted, ["relation", "place"]).select("relation", "q", F.round("v", 6).alias("value"))
