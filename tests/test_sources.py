@@ -136,3 +136,61 @@ def test_sysdig(spark, tmp_path):
     assert got["sysdig:17"].dst_label == "/var/log/new"
     assert sysdig.latest_write(events, "/srv/out 1.tgz", 4096).first().event_id == "sysdig:8"
     assert sysdig.latest_write(events, "/srv/out 1.tgz", 1).first().event_id == "sysdig:8"
+
+
+def write(tmp_path, name, content):
+    (tmp_path / name).write_text(content if isinstance(content, str) else json.dumps(content))
+    return str(tmp_path / name)
+
+
+def test_manifests(spark, tmp_path):
+    import pytest
+
+    from trailgrain.sources import manifests as M
+
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(M.poi_manifest(spark, write(tmp_path, "a", "﻿# two\nx1\n\n x2 # second\n"))) == [("x1", None, None, None), ("x2", None, None, None)]
+    assert rows(M.poi_manifest(spark, write(tmp_path, "b", ["x1"]))) == [("x1", None, None, None)]
+    grouped = {"event_ids": ["a", "b"], "seed_event_groups": [{"group_id": "g", "seed_event_ids": ["a"], "window_start_ns": 1, "window_end_ns": 9}, {"group_id": "h", "seed_event_ids": ["b"]}]}
+    assert rows(M.poi_manifest(spark, write(tmp_path, "c", grouped))) == [("a", "g", 1, 9), ("b", "h", None, None)]
+    for bad in (["x", "x"], {"event_ids": ["z"], "seed_event_groups": grouped["seed_event_groups"]}, {"seed_event_groups": [{"group_id": "g", "seed_event_ids": ["a"], "window_start_ns": 1}]}):
+        with pytest.raises(ValueError):
+            M.poi_manifest(spark, write(tmp_path, "bad", bad))
+    notes = {"name": "n", "seed_event_ids": ["a"], "attack_event_ids": ["b", "c"], "attack_node_uuids": ["u"], "attack_paths": [["b", "c"]]}
+    got = M.annotations(spark, write(tmp_path, "d", notes))
+    assert rows(got["events"]) == [("a", "seed"), ("b", "attack"), ("c", "attack")]
+    assert rows(got["paths"]) == [(0, 0, "b"), (0, 1, "c")]
+    with pytest.raises(ValueError):
+        M.annotations(spark, write(tmp_path, "e", {"name": "n", "attack_event_ids": ["b"]}))
+    line = {"event_ids": ["a", "b", "c"], "paths": [["a", "c"], ["b"]]}
+    assert rows(M.timeline(spark, write(tmp_path, "f", line), 2)) == [(0, "a", 0, 0), (1, "b", 1, 0)]
+    for paths in ([["c", "a"], ["b"]], [["a"], ["b"]], [["a", "b"], ["b", "c"]]):
+        with pytest.raises(ValueError):
+            M.timeline(spark, write(tmp_path, "bad", line | {"paths": paths}))
+    assert rows(M.csv_labels(spark, write(tmp_path, "g.csv", "ab-1,\"{'k': \"\"v\"\", 'n': 1}\"\n\n"))) == [("AB-1", "{'k': \"v\", 'n': 1}")]
+    assert M.properties(spark, write(tmp_path, "h", "# c\nPOI = /x=y\ndetectionSize=12\n")) == {"POI": "/x=y", "detectionSize": "12"}
+
+
+def test_raw_corpus(spark, tmp_path):
+    import pytest
+
+    from trailgrain.sources import corpus as K
+
+    (tmp_path / "in").mkdir()
+    for name, n in (("a.txt", 5000), ("b.txt", 3)):
+        (tmp_path / "in" / name).write_text("".join(f"{name} {i}\n" for i in range(1, n + 1)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 4096)
+    try:
+        lines = K.raw_lines(spark, str(tmp_path / "in")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(lines) == 5003
+    assert all(r.value.split() == [r.file.rsplit("/", 1)[1], str(r.line)] for r in lines)
+    frame = spark.createDataFrame([("1", "x", "h"), ("1", "x", "h"), ("2", "y", "h")], "id string, a string, host string")
+    assert sorted(r.id for r in K.checked(frame, "id", ["a", "host"]).collect()) == ["1", "2"]
+    for more in (("1", "z", "h"), ("3", " ", "h")):
+        with pytest.raises(ValueError):
+            K.checked(frame.union(spark.createDataFrame([more], frame.schema)), "id", ["a", "host"])
+    nodes = spark.createDataFrame([("u", "old"), ("v", "own")], "uuid string, label string")
+    labels = spark.createDataFrame([("f2", 1, "u", "late"), ("f1", 9, "u", "first"), ("f1", 10, "u", "second"), ("f1", 1, "U", "other")], "file string, line int, uuid string, name string")
+    assert {r.uuid: r.label for r in K.labelled(nodes, labels).collect()} == {"u": "first", "v": "own"}
