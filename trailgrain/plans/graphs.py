@@ -137,3 +137,28 @@ def execution_lineage(edges: DataFrame) -> DataFrame:
     forks = edges.where("relation = 'EVENT_FORK'")
     births = forks.groupBy(F.col("dst").alias("process")).agg(F.min("timestamp_ns").alias("born"), F.min_by("src", "timestamp_ns").alias("parent"))
     return G.lineage(births, births.select("process", "born"), 4).select("root", "process", "generation")
+
+
+def _reach(order: str) -> str:
+    a, b, agg = ("src", "dst", "min") if order == "<=" else ("dst", "src", "max")
+    return f"""SELECT node, {agg}(moment) AS moment FROM (WITH RECURSIVE r AS (SELECT unnest([src, dst]) AS node, timestamp_ns AS moment FROM pois UNION SELECT e.{b}, e.timestamp_ns FROM r JOIN truth e ON e.{a} = r.node AND r.moment {order} e.timestamp_ns) SELECT * FROM r) GROUP BY ALL"""
+
+
+@edge_query(f", {POIS}, truth AS (SELECT * FROM edges WHERE edge_id % 5 = 0), fw AS ({_reach('<=')}), bw AS ({_reach('>=')}) SELECT e.edge_id FROM truth e LEFT JOIN fw ON fw.node = e.src LEFT JOIN bw ON bw.node = e.dst WHERE fw.moment <= e.timestamp_ns OR bw.moment >= e.timestamp_ns")
+def truth_context(edges: DataFrame) -> DataFrame:
+    """Labelled events (here every fifth) that time-ordered chains of labelled events join with a point of interest, either way."""
+    truth = G.cut(edges.where("edge_id % 5 = 0"))
+    ends = pois(edges).select(F.explode(F.array("src", "dst")).alias("node"), F.col("timestamp_ns").alias("at"))
+    ahead = G.earliest_arrival(truth, ends, strict=False).select(F.col("node").alias("src"), F.col("at").alias("since"))
+    back = G.latest_departure(truth, ends, strict=False).select(F.col("node").alias("dst"), F.col("at").alias("until"))
+    return truth.join(ahead, "src", "left").join(back, "dst", "left").where("since <= timestamp_ns or until >= timestamp_ns").select("edge_id")
+
+
+@edge_query(_routes("src", "dst", "").replace("FROM edges),", f"FROM edges WHERE EXISTS (SELECT 1 FROM pois p WHERE abs(edges.timestamp_ns - p.timestamp_ns) <= {DAY})),").replace("depth < 4", "depth < 3"))
+def window_completion(edges: DataFrame) -> DataFrame:
+    """What leads to the points of interest in three hops at most inside the windows of a day around any of them."""
+    p = pois(edges).select((F.col("timestamp_ns") - DAY).alias("lo"), (F.col("timestamp_ns") + DAY).alias("hi"))
+    p = p.withColumn("hour", F.explode(F.expr(f"sequence(lo div {HOUR}, hi div {HOUR})")))
+    inside = edges.withColumn("hour", F.expr(f"timestamp_ns div {HOUR}")).join(p, "hour").where("timestamp_ns between lo and hi").select("edge_id").distinct()
+    own = G.cut(edges.join(inside, "edge_id", "left_semi"))
+    return G.temporal_routes(_hourly(own), pois(own), True, rounds=3).select("edge_id", "depth")

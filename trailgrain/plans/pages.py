@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailgrain.functions import events as E
@@ -14,7 +14,7 @@ from trailgrain.operators import sessions as S
 from trailgrain.plans.continuations import MARKED, STEP, marked
 from trailgrain.plans.evaluation import FLAGS, flagged
 from trailgrain.plans.registry import edge_query
-from trailgrain.plans.scores import HOUR, POI, POIS, pois
+from trailgrain.plans.scores import HOUR, POI, POIS, RARITY, pois, rounded_rarity
 
 DAY = 24 * HOUR
 CONTROL = ("EVENT_CLONE", "EVENT_EXECUTE", "EVENT_EXIT", "EVENT_FORK")  # fixed values: relations that pass control, not data
@@ -202,3 +202,17 @@ def csv_export(edges: DataFrame) -> DataFrame:
     path = folder(edges, "export")
     edges.select("edge_id", E.csv_safe(label).alias("label")).write.csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return edges.sparkSession.read.schema("edge_id long, label string").csv(path, header=True)
+
+
+@edge_query(f""", {RARITY}, o AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, edge_id, rarity, timestamp_ns, row_number() OVER (PARTITION BY least(src, dst), greatest(src, dst) ORDER BY timestamp_ns, edge_id) AS k FROM rarity),
+r AS (SELECT a, b, edge_id, k, timestamp_ns AS start FROM o WHERE k = 1 UNION ALL SELECT o.a, o.b, o.edge_id, o.k, CASE WHEN o.timestamp_ns - r.start > {5 * DAY} THEN o.timestamp_ns ELSE r.start END FROM r JOIN o ON o.a = r.a AND o.b = r.b AND o.k = r.k + 1),
+base AS (SELECT edge_id FROM rarity ORDER BY rarity DESC, edge_id LIMIT 100), grp AS (SELECT DISTINCT a, b, start FROM r WHERE edge_id IN (SELECT edge_id FROM base)),
+sib AS (SELECT edge_id, rarity FROM r JOIN grp USING (a, b, start) JOIN rarity USING (edge_id) WHERE edge_id NOT IN (SELECT edge_id FROM base) ORDER BY rarity DESC, edge_id LIMIT 150) SELECT edge_id, true AS anchor FROM base UNION ALL SELECT edge_id, false FROM sib""")
+def sibling_pool(edges: DataFrame) -> DataFrame:
+    """The hundred rarest events and at most 150 others of their interaction groups, the rarest first."""
+    rated = G.cut(rounded_rarity(edges))
+    groups = G.cut(interaction_groups(rated))
+    base = G.cut(rated.orderBy(F.desc("rarity"), "edge_id").limit(100).select("edge_id"))
+    own = groups.join(base, "edge_id", "left_semi").select("a", "b", "start").distinct()
+    near = groups.join(own, ["a", "b", "start"], "left_semi").join(base, "edge_id", "left_anti").select("edge_id").join(rated.select("edge_id", "rarity"), "edge_id")
+    return base.select("edge_id", F.lit(True).alias("anchor")).union(near.orderBy(F.desc("rarity"), "edge_id").limit(150).select("edge_id", F.lit(False)))
