@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailgrain.operators import store
@@ -11,7 +11,9 @@ from trailgrain.plans.registry import edge_query
 from trailgrain.sources import cdm, ecar, sysdig
 from trailgrain.streaming.arrivals import Arrivals
 
-READ = F.col("relation") == "EVENT_READ"
+
+def reads() -> Column:
+    return F.col("relation") == "EVENT_READ"
 
 
 def written_lines(lines: DataFrame, name: str) -> str:
@@ -23,7 +25,7 @@ def written_lines(lines: DataFrame, name: str) -> str:
 def cdm_lines(edges: DataFrame) -> DataFrame:
     """The events and nodes as CDM records; every thirtieth event has no size of its own but one in its properties, and some lines are broken."""
     ref = lambda c: F.struct(c.alias("com.bbn.UUID"))
-    subject, obj = F.when(READ, F.col("dst")).otherwise(F.col("src")), F.when(READ, F.col("src")).otherwise(F.col("dst"))
+    subject, obj = F.when(reads(), F.col("dst")).otherwise(F.col("src")), F.when(reads(), F.col("src")).otherwise(F.col("dst"))
     inner = F.col("edge_id") % 30 == 0
     event = F.struct(
         F.concat(F.lit("e"), F.col("edge_id").cast("string")).alias("uuid"), F.col("relation").alias("type"), ref(subject).alias("subject"), ref(obj).alias("predicateObject"), F.col("timestamp_ns").alias("timestampNanos"),
@@ -80,8 +82,8 @@ def ingested_edges(edges: DataFrame) -> DataFrame:
 
 def sysdig_lines(edges: DataFrame) -> DataFrame:
     """Each event as an entry and an exit line of its actor's thread; every tenth call fails."""
-    actor = F.substring(F.when(READ, F.col("dst")).otherwise(F.col("src")), 2, 20)
-    other = F.substring(F.when(READ, F.col("src")).otherwise(F.col("dst")), 2, 20)
+    actor = F.substring(F.when(reads(), F.col("dst")).otherwise(F.col("src")), 2, 20)
+    other = F.substring(F.when(reads(), F.col("src")).otherwise(F.col("dst")), 2, 20)
     call = F.expr("case relation when 'EVENT_READ' then 'read' when 'EVENT_WRITE' then 'pwrite' when 'EVENT_SENDTO' then 'sendto' when 'EVENT_EXECUTE' then 'execve' else 'clone' end")
     about = F.expr("case when relation in ('EVENT_READ', 'EVENT_WRITE') then concat('fd=3(<f>/srv/f', o, ') size=1') when relation = 'EVENT_SENDTO' then concat('fd=4(<4t>1.1.1.1:1->10.0.0.', o, ':443)') else '' end")
     failed = F.col("edge_id") % 10 == 0
