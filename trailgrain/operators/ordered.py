@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trailgrain.operators.graph import cut
 
-DIGITS, FEW = 3, 10_000  # characters of the key a round; rows of a group among which the last ones are ordered
+DIGITS, FEW = 3, 100_000  # characters of the key a round; rows of a group among which the last ones are ordered
 LAST = "~"  # sorts after the characters of keys: all that begins so far is below the border
 
 
