@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailgrain.llm.block_names import name_copies
 from trailgrain.llm.byte_bpe import byte_bpe, byte_bpe_decode
 from trailgrain.llm.chat_format import format_conversations, read_back
 from trailgrain.llm.ngram_join import near_duplicates
@@ -76,10 +77,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return name_copies(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_ngram_join, op2_suffix_dedup, op3_substring_dedup, op4_quality_classifier, op5_quality_rules,
-        op6_vector_dedup, op7_byte_bpe, op8_chat_format, op9_warc, op10_packing,
+        op6_vector_dedup, op7_byte_bpe, op8_chat_format, op9_warc, op10_packing, op11_exact_dedup,
     )}
 
 
@@ -108,5 +113,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+EXACT_DEDUP_SQL = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": quality_rules_sql()}
+    return {"op5_quality_rules": quality_rules_sql(), "op11_exact_dedup": EXACT_DEDUP_SQL}
