@@ -3,11 +3,13 @@
 import collections
 import hashlib
 import random
+import zlib
 
 import pytest
 from pyspark.sql import types as T
 
 from trailgrain.llm import block_names as B
+from trailgrain.llm import merkle as M
 
 DOCS = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("source", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("text", T.StringType()),
@@ -56,3 +58,92 @@ def test_copies(docs, monkeypatch, block, buckets, hot):
 
 def test_copies_of_nothing(docs):
     assert B.name_copies(docs.limit(0)).count() == 0
+
+
+def h(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def tree(digests, fanout):
+    levels = [list(digests)]
+    while len(levels[-1]) > 1:
+        levels.append([h(*levels[-1][k : k + fanout]) for k in range(0, len(levels[-1]), fanout)])
+    return levels
+
+
+def way(levels, k, fanout):
+    for level in levels[:-1]:
+        g = k // fanout * fanout
+        yield k - g, [d for j, d in enumerate(level[g : g + fanout], g) if j != k]
+        k //= fanout
+
+
+def leaf_of(doc, source, lang, n, text):
+    return h(*["-" if v is None else f"{len(str(v).encode())}:{v}" for v in (doc, source, lang, n, text)])
+
+
+def manifest_rows(rows, fanout):
+    by = collections.defaultdict(list)
+    for doc, source, lang, n, text, *_ in rows:
+        hit = doc is not None and n is not None and zlib.crc32(str(doc).encode()) % 7 == 0
+        by[lang].append((doc, leaf_of(doc, source, lang, n, text), leaf_of(doc, source, lang, n + 1, text) if hit else None))
+    langs = sorted(by, key=lambda v: (v is not None, (v or "").encode()))
+    trees = {}
+    for lang in langs:
+        by[lang].sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        trees[lang] = tree([r[1] for r in by[lang]], fanout)
+    top = tree([trees[lang][-1][0] for lang in langs], fanout)
+    out = []
+    for k, lang in enumerate(langs):
+        for i, (doc, leaf, other) in enumerate(by[lang]):
+            path = [*way(trees[lang], i, fanout), *way(top, k, fanout)]
+            now = other or leaf
+            for place, others in path:
+                now = h(*others[:place], now, *others[place:])
+            out.append((doc, leaf, trees[lang][-1][0], top[-1][0], h(*[d for _, o in path for d in o]), now, now == top[-1][0]))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize(("fanout", "chunk", "width"), [(2, M.CHUNK, M.WIDTH), (2, 5, 2), (3, 4, 3)])
+def test_manifest(docs, fanout, chunk, width):
+    got = sorted([tuple(r) for r in M.manifest(docs, fanout, chunk, width).collect()], key=str)
+    assert got == manifest_rows(ROWS, fanout)
+    assert {r[6] for r in got} == {True, False}
+
+
+def test_manifest_of_little(docs):
+    assert M.manifest(docs.limit(0)).count() == 0
+    one = docs.where("doc_id = 9")
+    assert [tuple(r) for r in M.manifest(one).collect()] == manifest_rows([r for r in ROWS if r[0] == 9], 2)
+
+
+@pytest.mark.parametrize(("size", "fanout"), [(n, f) for n in (1, 2, 3, 7, 8, 9, 30, 64, 65) for f in (2, 3, 5)])
+def test_peaks(size, fanout):
+    """Stacks over runs of any length, merged, hold every node of the tree once; asked() names what a run lacks."""
+    rng = random.Random(size)
+    leaves = [h(str(k)) for k in range(size)]
+    want = {(level, k): d for level, row in enumerate(tree(leaves, fanout)) for k, d in enumerate(row)}
+    borders = sorted({0, size, *(rng.randrange(size) for _ in range(3))})
+    parts, nodes, left = list(zip(borders, borders[1:], strict=False)), {}, []
+    for a, b in parts:
+        s = M.Peaks(fanout)
+        for k in range(a, b):
+            s.push(0, k, leaves[k])
+        left += s.peaks
+    whole = M.Peaks(fanout, size)
+    for p in left:
+        whole.push(*p)
+    for level, k, d in [*left, *whole.born]:
+        nodes[level, k] = d
+    assert nodes.items() <= want.items()
+    assert len(whole.peaks) == 1
+    for a, b in parts:
+        outside = {k: nodes[k] for k in M.asked(a, b - a, size, fanout)}
+        got = list(M.siblings(a, leaves[a:b], size, fanout, outside))
+        assert got == [list(way(tree(leaves, fanout), k, fanout)) for k in range(a, b)]
+
+
+def test_node_records(spark):
+    leaves = spark.createDataFrame([("t", k, h(str(k)), None) for k in range(23)], "tree string, id long, leaf string, other string").repartition(4)
+    got = {(r.level, r.idx): r.digest for r in M.node_records(leaves, ["id"], 2, 3, 2).collect()}
+    assert got == {(level, k): d for level, row in enumerate(tree([h(str(k)) for k in range(23)], 2)) for k, d in enumerate(row)}

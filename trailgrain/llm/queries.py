@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from trailgrain.llm.block_names import name_copies
 from trailgrain.llm.byte_bpe import byte_bpe, byte_bpe_decode
 from trailgrain.llm.chat_format import format_conversations, read_back
+from trailgrain.llm.merkle import manifest
 from trailgrain.llm.ngram_join import near_duplicates
 from trailgrain.llm.packing import pack
 from trailgrain.llm.quality_classifier import classify
@@ -81,10 +82,14 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return name_copies(table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_ngram_join, op2_suffix_dedup, op3_substring_dedup, op4_quality_classifier, op5_quality_rules,
-        op6_vector_dedup, op7_byte_bpe, op8_chat_format, op9_warc, op10_packing, op11_exact_dedup,
+        op6_vector_dedup, op7_byte_bpe, op8_chat_format, op9_warc, op10_packing, op11_exact_dedup, op12_merkle_manifest,
     )}
 
 
@@ -119,5 +124,38 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def merkle_sql() -> str:
+    """Trees level by level, each leaf's siblings on the way up, and the same way with the changed leaf; CRC-32 byte by byte, bit by bit."""
+    def framed(n_chars: str) -> str:
+        fields = [f"CAST({c} AS VARCHAR)" for c in ("doc_id", "source", "lang", n_chars, "text")]
+        return "sha256(concat(" + ", ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + "))"
+
+    steps = "flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: list_prepend(CAST(ascii(c) AS BIGINT), [-1 for i in range(8)])))"
+    bit = "CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END"
+    crc = f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {steps}), lambda a, x: {bit}), 4294967295)"
+    return f"""
+WITH RECURSIVE leaves AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, {framed("n_chars")} AS leaf, CASE WHEN {crc} % 7 = 0 THEN {framed("n_chars + 1")} END AS other FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM leaves),
+nodes AS (SELECT tree, 0 AS level, idx, leaf AS digest, count(*) OVER (PARTITION BY tree) AS n FROM placed
+  UNION ALL SELECT tree, level + 1, idx // 2, sha256(string_agg(digest, '' ORDER BY idx)), any_value((n + 1) // 2) FROM nodes WHERE n > 1 GROUP BY tree, level, idx // 2),
+subroots AS (SELECT tree, digest AS subroot, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS n FROM nodes WHERE n = 1),
+upper AS (SELECT 0 AS level, place AS idx, subroot AS digest, n FROM subroots
+  UNION ALL SELECT level + 1, idx // 2, sha256(string_agg(digest, '' ORDER BY idx)), any_value((n + 1) // 2) FROM upper WHERE n > 1 GROUP BY level, idx // 2),
+numbered AS (SELECT row_number() OVER () AS r, p.*, s.subroot, s.place FROM placed p JOIN subroots s USING (tree)),
+climb AS (SELECT r, tree, 0 AS level, idx, coalesce(other, leaf) AS now, '' AS proof FROM numbered
+  UNION ALL SELECT c.r, c.tree, c.level + 1, c.idx // 2,
+    CASE WHEN o.digest IS NULL THEN sha256(c.now) WHEN c.idx % 2 = 0 THEN sha256(c.now || o.digest) ELSE sha256(o.digest || c.now) END, c.proof || coalesce(o.digest, '')
+  FROM climb c JOIN nodes s ON s.tree = c.tree AND s.level = c.level AND s.idx = c.idx AND s.n > 1 LEFT JOIN nodes o ON o.tree = c.tree AND o.level = c.level AND o.idx = xor(c.idx, 1)),
+below AS (SELECT r, max_by(now, level) AS now, max_by(proof, level) AS proof FROM climb GROUP BY r),
+above AS (SELECT r, 0 AS level, place AS idx, now, proof FROM below JOIN numbered USING (r)
+  UNION ALL SELECT c.r, c.level + 1, c.idx // 2,
+    CASE WHEN o.digest IS NULL THEN sha256(c.now) WHEN c.idx % 2 = 0 THEN sha256(c.now || o.digest) ELSE sha256(o.digest || c.now) END, c.proof || coalesce(o.digest, '')
+  FROM above c JOIN upper s ON s.level = c.level AND s.idx = c.idx AND s.n > 1 LEFT JOIN upper o ON o.level = c.level AND o.idx = xor(c.idx, 1)),
+done AS (SELECT r, max_by(now, level) AS now, max_by(proof, level) AS proof FROM above GROUP BY r)
+SELECT n.doc_id, n.leaf, n.subroot, u.digest AS root, sha256(d.proof) AS proof_sha256, d.now AS folded_root, d.now = u.digest AS verified
+FROM numbered n JOIN done d USING (r) JOIN upper u ON u.n = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": quality_rules_sql(), "op11_exact_dedup": EXACT_DEDUP_SQL}
+    return {"op5_quality_rules": quality_rules_sql(), "op11_exact_dedup": EXACT_DEDUP_SQL, "op12_merkle_manifest": merkle_sql()}
