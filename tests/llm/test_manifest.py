@@ -2,13 +2,16 @@
 
 import collections
 import hashlib
+import math
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import types as T
 
 from trailgrain.llm import block_names as B
+from trailgrain.llm import centroids as C
 from trailgrain.llm import merkle as M
 
 DOCS = T.StructType([
@@ -147,3 +150,50 @@ def test_node_records(spark):
     leaves = spark.createDataFrame([("t", k, h(str(k)), None) for k in range(23)], "tree string, id long, leaf string, other string").repartition(4)
     got = {(r.level, r.idx): r.digest for r in M.node_records(leaves, ["id"], 2, 3, 2).collect()}
     assert got == {(level, k): d for level, row in enumerate(tree([h(str(k)) for k in range(23)], 2)) for k, d in enumerate(row)}
+
+
+def clusters(rows, k, rounds, dims):
+    kept = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if v is not None and len(v) == dims and all(x is not None and math.isfinite(x) for x in v)]
+    order = sorted(kept, key=lambda r: (r[0] is None, hashlib.sha256(f"2:{r[0]}".encode()).hexdigest(), r[1]))
+    at = [v for _, v in order[:k]]
+    for t in range(rounds + 1):
+        near = [min((sum((a - b) ** 2 for a, b in zip(v, c, strict=True)), j) for j, c in enumerate(at)) for _, v in kept]
+        if t < rounds:
+            for j in range(len(at)):
+                own = [v for (_, v), (_, n) in zip(kept, near, strict=True) if n == j]
+                at[j] = [sum(c) // len(own) for c in zip(*own, strict=True)] if own else at[j]
+    sums = collections.Counter()
+    for d, j in near:
+        sums[j] += d
+    return sorted([(i, j, d, sums[j], sum(sums.values()), hashlib.sha256(",".join(map(str, at[j])).encode()).hexdigest()) for (i, _), (d, j) in zip(kept, near, strict=True)], key=str)
+
+
+VECTORS = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("v", T.StringType()), T.StructField("cluster", T.StringType()), T.StructField("x", T.StringType())])
+
+
+@pytest.mark.parametrize(("n", "k", "dims"), [(300, 40, 64), (7, 40, 64), (120, 5, 11)])
+def test_clusters(spark, n, k, dims):
+    rng = random.Random(n)
+    middles = [[rng.gauss(0, 1) for _ in range(dims)] for _ in range(6)]
+    rows = [(i, [float(np.float32(x + rng.gauss(0, 0.1))) for x in rng.choice(middles)]) for i in range(n)]
+    rows += [(500, None), (501, [1.0] * (dims - 1)), (502, [float("nan")] * dims), (503, [1.0] * (dims - 1) + [float("-inf")]), (504, [None] * dims), (505, []), (506, [0.0] * dims), (507, [-0.001] * dims)]
+    rows += [rows[0], rows[0], (1, rows[2][1]), (None, rows[3][1])] + [(600 + i, [0.5] * dims) for i in range(n // 3)]
+    df = spark.createDataFrame([(*r, "v", "c", "x") for r in rows], VECTORS).repartition(3)
+    got = sorted([tuple(r) for r in C.cluster(df, k=k, dims=dims).collect()], key=str)
+    assert got == clusters(rows, k, 5, dims)
+
+
+def test_clusters_of_nothing(spark):
+    assert C.cluster(spark.createDataFrame([(1, None, "v", "c", "x")], VECTORS)).count() == 0
+
+
+def test_screening():
+    rng = np.random.default_rng(3)
+    middles = rng.normal(size=(12, 64)) * rng.uniform(10, 3000, size=(12, 8)).repeat(8, axis=1)
+    v = np.floor(middles[rng.integers(0, 12, 800)] + rng.normal(size=(800, 64)) * 20).astype(np.int64)
+    c = np.concatenate([np.floor(middles).astype(np.int64), v[:20], v[:3]])
+    d = ((v[:, None, :] - c[None, :, :]) ** 2).sum(2)
+    best, least, done = C.nearest(v, C.norms(v), c)
+    assert (best == d.argmin(1)).all()
+    assert (least == d.min(1)).all()
+    assert done < d.size / 4

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from trailgrain.llm.block_names import name_copies
 from trailgrain.llm.byte_bpe import byte_bpe, byte_bpe_decode
+from trailgrain.llm.centroids import cluster
 from trailgrain.llm.chat_format import format_conversations, read_back
 from trailgrain.llm.merkle import manifest
 from trailgrain.llm.ngram_join import near_duplicates
@@ -86,10 +87,14 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_ngram_join, op2_suffix_dedup, op3_substring_dedup, op4_quality_classifier, op5_quality_rules,
-        op6_vector_dedup, op7_byte_bpe, op8_chat_format, op9_warc, op10_packing, op11_exact_dedup, op12_merkle_manifest,
+        op6_vector_dedup, op7_byte_bpe, op8_chat_format, op9_warc, op10_packing, op11_exact_dedup, op12_merkle_manifest, op13_centroid_clustering,
     )}
 
 
@@ -157,5 +162,26 @@ FROM numbered n JOIN done d USING (r) JOIN upper u ON u.n = 1
 """
 
 
+def clustering_sql(k: int = 40, rounds: int = 5) -> str:
+    """Every distance of every round in integers."""
+    distance = "list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    out = f"""
+WITH kept AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS k, v AS c FROM (SELECT sha256('2:' || vec_id) AS h, v FROM kept ORDER BY h, v LIMIT {k}))"""
+    for t in range(rounds + 1):
+        out += f""",
+a{t} AS MATERIALIZED (SELECT r, any_value(vec_id) AS vec_id, any_value(v) AS v, min({{'d': d, 'k': k}}) AS m FROM (SELECT r, vec_id, v, k, CAST({distance} AS BIGINT) AS d FROM kept, c{t}) GROUP BY r)"""
+        if t < rounds:
+            out += f""",
+s{t} AS (SELECT k, list(q ORDER BY i) AS c FROM (SELECT m.k AS k, i, CAST(sum(v[i]) // count(*) AS BIGINT) - CASE WHEN sum(v[i]) < 0 AND sum(v[i]) % count(*) <> 0 THEN 1 ELSE 0 END AS q FROM a{t}, unnest(range(1, 65)) AS u(i) GROUP BY ALL) GROUP BY k),
+c{t + 1} AS MATERIALIZED (SELECT k, coalesce(s{t}.c, c{t}.c) AS c FROM c{t} LEFT JOIN s{t} USING (k))"""
+    return out + f"""
+SELECT vec_id, CAST(m.k AS INTEGER) AS cluster, m.d AS distance, CAST(sum(m.d) OVER (PARTITION BY m.k) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.c, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.k = a.m.k
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": quality_rules_sql(), "op11_exact_dedup": EXACT_DEDUP_SQL, "op12_merkle_manifest": merkle_sql()}
+    return {"op5_quality_rules": quality_rules_sql(), "op11_exact_dedup": EXACT_DEDUP_SQL, "op12_merkle_manifest": merkle_sql(), "op13_centroid_clustering": clustering_sql()}
