@@ -125,7 +125,7 @@ def bundle_rows(seed, n=18):
     rng = random.Random(seed)
     rows = []
     for i in range(n):
-        rows.append({"case": "c", "anchor": i, "score": round(rng.random(), 2), "tie": i, "mandatory": i < 2, "families": [f"f{rng.randrange(4)}", f"g{rng.randrange(3)}"], "members": sorted({i, *rng.sample(range(n), rng.randrange(4))})})
+        rows.append({"case": "c", "anchor": i, "score": round(rng.random(), 2), "mandatory": i < 2, "families": [f"f{rng.randrange(4)}", f"g{rng.randrange(3)}"], "members": sorted({i, *rng.sample(range(n + 3), rng.randrange(4))})})
     return rows
 
 
@@ -133,9 +133,9 @@ def slow_greedy(rows, budget, gain):
     """The bundle of the largest gain at each step, all gains computed anew; one that does not fit is given up."""
     kept, best, left = {r["anchor"] for r in rows if r["mandatory"]}, {r["anchor"]: r for r in rows}, [r for r in rows if not r["mandatory"]]
     while left and len(kept) < budget:
-        r = min(left, key=lambda r: (-gain(r, kept, best), r["tie"]))
+        r = min(left, key=lambda r: (*[-v for v in gain(r, kept, best)], r["anchor"]))
         left.remove(r)
-        if gain(r, kept, best) <= 0 or r["anchor"] in kept:
+        if gain(r, kept, best)[0] <= 0 or r["anchor"] in kept:
             continue
         new = set(r["members"]) - kept
         if len(kept) + len(new) <= budget:
@@ -143,27 +143,111 @@ def slow_greedy(rows, budget, gain):
     return kept
 
 
-@pytest.mark.parametrize(("seed", "budget"), list(itertools.product([1, 2, 3], [2, 5, 9, 18])))
-def test_greedy_choices(seed, budget):
-    rows = bundle_rows(seed)
+def gains(rows):
+    weight = {}
+    for r in rows:
+        weight[r["families"][0]] = max(weight.get(r["families"][0], 0.0), r["score"])
 
     def coverage(r, kept, best):
         total = 0.0
         for k, f in enumerate(r["families"]):
-            have = max((best[i]["score"] for i in kept if best[i]["families"][k] == f), default=0.0)
+            have = max((best[i]["score"] for i in kept & best.keys() if best[i]["families"][k] == f), default=0.0)
             total += max(r["score"] - have, 0.0)
-        return total / 2
+        return (total / 2,)
+
+    def mass(f, kept, best):
+        return sum(best[i]["score"] for i in sorted(kept & best.keys()) if best[i]["families"][0] == f)
 
     def diminishing(r, kept, best):
-        f = r["families"][0]
-        w = max(x["score"] for x in rows if x["families"][0] == f)
-        mass = sum(best[i]["score"] for i in kept if best[i]["families"][0] == f)
-        return 0.05 * r["score"] + 0.95 * w * math.log1p(r["score"] / (w + mass))
-
-    assert B.by_coverage(rows, budget) == slow_greedy(rows, budget, coverage)
-    assert B.diminishing(rows, budget) == slow_greedy(rows, budget, diminishing)
-    assert B.in_order(rows, budget) == slow_greedy(rows, budget, lambda r, kept, best: r["score"] + 1)
-    assert len(B.in_order(rows, budget)) <= max(budget, 2)
+        w = weight[r["families"][0]]
+        return (0.05 * r["score"] + 0.95 * w * math.log1p(r["score"] / (w + mass(r["families"][0], kept, best))),)
+
+    def evidence(r, kept, best):
+        new, add = set(r["members"]) - kept, {}
+        for i in new & best.keys():
+            add[best[i]["families"][0]] = add.get(best[i]["families"][0], 0.0) + best[i]["score"]
+        gain = sum(0.05 * d + 0.95 * weight[f] * math.log1p(d / (weight[f] + mass(f, kept, best))) for f, d in add.items() if d)
+        return (round(gain / len(new), 12), round(gain, 12)) if new else (0.0, 0.0)
+
+    return {"coverage": coverage, "diminishing": diminishing, "evidence": evidence, "order": lambda r, kept, best: (r["score"] + 1,)}
+
+
+def as_tables(spark, rows):
+    own = spark.createDataFrame([(r["case"], r["anchor"], r["score"], r["mandatory"], r["anchor"], *r["families"]) for r in rows], "case string, edge_id long, score double, mandatory boolean, pivot long, f string, g string").repartition(3)
+    parts = spark.createDataFrame([(r["anchor"], m) for r in rows for m in r["members"]], "anchor long, member long").repartition(3)
+    return own, parts
+
+
+@pytest.mark.parametrize(("seed", "budget"), list(itertools.product([1, 2, 3, 4], [2, 5, 9, 18])))
+def test_greedy_choices(seed, budget):
+    """The streamed choices without Spark, their rows in the order of the bounds."""
+    rows, slow = bundle_rows(seed), gains(bundle_rows(seed))
+    weight = {}
+    for r in rows:
+        weight[r["families"][0]] = max(weight.get(r["families"][0], 0.0), r["score"])
+    best = {r["anchor"]: r for r in rows}
+    single = lambda s, w: 0.95 * w * math.log1p(s / w) + 0.05 * s if w else 0.0
+
+    def stream(bound):
+        out = []
+        for r in rows:
+            ids = [r["anchor"]] if r["mandatory"] else r["members"]
+            members = [{"id": i, **({"score": best[i]["score"], "families": best[i]["families"], "weight": weight[best[i]["families"][0]]} if i in best else {"score": None, "families": None, "weight": None})} for i in ids]
+            row = {**r, "weight": weight[r["families"][0]], "members": members}
+            out.append({**row, "bound": bound(row)})
+        return iter(sorted(out, key=lambda r: (not r["mandatory"], -r["bound"], r["anchor"])))
+
+    kept = lambda ledger: {e for _, _, e, _ in ledger}
+    assert kept(B.by_coverage(stream(lambda r: r["score"]), budget)) == slow_greedy(rows, budget, slow["coverage"])
+    assert kept(B.diminishing(stream(lambda r: single(r["score"], r["weight"])), budget)) == slow_greedy(rows, budget, slow["diminishing"])
+    most = lambda r: max(single(m["score"], m["weight"]) if m["score"] is not None else 0.0 for m in r["members"])
+    assert kept(B.by_evidence(stream(most), budget)) == slow_greedy(rows, budget, slow["evidence"])
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_packing_of_all_anchors(spark, seed):
+    """More than a thousand anchors, two cases, budgets that are met exactly, early and never."""
+    rng = random.Random(seed)
+    rows = []
+    for case, n in (("a", 1200), ("b", 300)):
+        base = 0 if case == "a" else 10_000
+        for i in range(n):
+            path = {base + i} | {base + rng.randrange(n + 50) for _ in range(rng.choice([0, 1, 1, 2, 30]))}
+            rows.append({"case": case, "anchor": base + i, "score": round(rng.random(), 2) + 0.01, "mandatory": i < 5, "families": ["f", "g"], "members": sorted(path)})
+    own, parts = as_tables(spark, rows)
+    for limits in ({"a": 400, "b": 200}, {"a": 5, "b": 100_000}):
+        got = B.packed(own, parts, spark.createDataFrame(list(limits.items()), "case string, budget long")).collect()
+        for case, budget in limits.items():
+            mine = [r for r in rows if r["case"] == case]
+            assert {r.edge_id for r in got if r.case == case} == slow_greedy(mine, budget, gains(mine)["order"])
+
+
+def test_streamed_choice_and_its_audit(spark):
+    from trailgrain.operators import audits as A
+
+    rows = bundle_rows(8, 30)
+    more = [{**r, "case": "d", "anchor": r["anchor"] + 1000, "members": [m + 1000 for m in r["members"]]} for r in bundle_rows(9, 25)]
+    own, parts = as_tables(spark, rows + more)
+    limits = spark.createDataFrame([("c", 12), ("d", 7)], "case string, budget long")
+    bundles = B.bundled(own, parts, ["f", "g"], B.evidence_bound())
+    ledger = spark.createDataFrame(B.streamed(bundles, limits, B.by_evidence).collect(), B.LEDGER)
+    for case, budget, mine in (("c", 12, rows), ("d", 7, more)):
+        assert {r.edge_id for r in ledger.collect() if r.case == case} == slow_greedy(mine, budget, gains(mine)["evidence"])
+    assert all(r["rows"] == 0 for r in A.faults(own, parts, ledger, limits, "f").collect())
+    broken = ledger.where("step <> 1").unionByName(ledger.where("step = 2").limit(1).withColumn("edge_id", F.lit(77).cast("long"))).withColumn("gain", F.when(F.col("step") == 3, 9.0).otherwise(F.col("gain")))
+    found = {r.fault: r["rows"] for r in A.faults(own, parts, broken, spark.createDataFrame([("c", 3), ("d", 100)], "case string, budget long"), "f").collect()}
+    assert found["members differ"] >= 1
+    assert found["gain differs"] >= 1
+    assert found["budget exceeded"] == 1
+    assert {r.fault: r["rows"] for r in A.faults(own, parts, ledger.where("step > 0"), limits, "f").collect()}["mandatory event missing"] == 4
+    value = {r.case: r for r in A.objective(own, ledger, "f").collect()}
+    assert all(0 < value[c].attained <= value[c].upper + 1e-9 for c in "cd")
+    reasons = {r.edge_id: r.reason for r in A.reasons(own.select("case", "edge_id"), own, parts, ledger, limits).collect()}
+    assert reasons[0] == reasons[1001] == "mandatory"
+    assert "left out" not in reasons.values()
+    for name, bound in (("diminishing", B.diminishing_bound()), ("by_coverage", F.col("score"))):
+        got = B.streamed(B.bundled(own, parts, ["f", "g"], bound), limits, getattr(B, name)).collect()
+        assert {r.edge_id for r in got if r.case == "c"} == slow_greedy(rows, 12, gains(rows)["coverage" if name == "by_coverage" else name])
 
 
 @pytest.mark.parametrize("few", [1, 7, 10_000])
