@@ -276,3 +276,25 @@ def test_components_of_a_long_chain(spark):
     assert got == {**{i: 0 for i in range(61)}, **{i: 61 for i in range(61, 101)}, 200: 200, 300: 250, 250: 250}
     reached = G.followed(spark.createDataFrame([(5,)], "edge_id long"), spark.createDataFrame([(i, i + 1) for i in range(40)], "edge_id long, next long").coalesce(1))
     assert {r.edge_id for r in reached.collect()} == set(range(5, 41))
+
+
+def test_impact_to_the_tolerance(spark):
+    """Against a dense solve: scores of the given ends are 1, others the weighted sum of what they lead to."""
+    import numpy as np
+
+    rng = random.Random(12)
+    pairs = {tuple(rng.sample(range(7), 2)) for _ in range(18)}
+    out = {a: sum(1 for x, _ in pairs if x == a) for a, _ in pairs}
+    edges = spark.createDataFrame([(i, f"{a}", f"{b}", 0.9 / out[a]) for i, (a, b) in enumerate(sorted(pairs))], "edge_id long, src string, dst string, w double").coalesce(1)
+    given = sorted(pairs)[4]
+    got = {int(r.node): r.score for r in G.dependency_impact(edges, edges.where("edge_id = 4"), "w", rounds=2000, tolerance=1e-8).collect()}
+    m, b = np.eye(7), np.zeros(7)
+    for a, to in pairs:
+        if a not in given:
+            m[a, to] -= 0.9 / out[a]
+    for g in given:
+        b[g] = 1
+    want = np.linalg.solve(m, b)
+    assert all(math.isclose(got.get(k, 0.0), want[k], abs_tol=1e-6) for k in range(7))
+    with pytest.raises(RuntimeError, match="settle"):
+        G.dependency_impact(edges, edges.where("edge_id = 4"), "w", rounds=1, tolerance=1e-12)

@@ -117,16 +117,27 @@ def channel_pagerank(channels: DataFrame, seeds: DataFrame, rounds: int = 10, re
     return score.select("node", "score")
 
 
-def dependency_impact(edges: DataFrame, pois: DataFrame, weight: str, rounds: int = 8) -> DataFrame:
-    """Impact flows from the points of interest back over weighted edges: (node, score), fixed at 1 at their ends."""
+def dependency_impact(edges: DataFrame, pois: DataFrame, weight: str, rounds: int = 8, tolerance: float | None = None) -> DataFrame:
+    """Impact flows from the points of interest back over weighted edges: (node, score), fixed at 1 at their ends.
+
+    With a tolerance rounds go on until no score changes by more; where a node's weights sum to less than 1, they get there.
+    """
     fixed = cut(pois.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
     score = fixed.withColumn("score", F.lit(1.0))
     flow = edges.groupBy("src", "dst").agg(F.sum(weight).alias("w"))
+    flow = flow if tolerance is None else cut(flow)
     for k in range(rounds):
+        before = score
         pushed = flow.join(score.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.least(F.lit(1.0), F.sum(F.col("w") * F.col("score"))).alias("score"))
         score = pushed.join(fixed, "node", "left_anti").unionByName(fixed.withColumn("score", F.lit(1.0)))
-        if k % 4 == 3:
+        if k % 4 == 3 or tolerance is not None:
             score = cut(score)
+        if tolerance is not None:
+            gap = score.join(before.withColumnRenamed("score", "old"), "node", "full").agg(F.max(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0]
+            if (gap or 0.0) <= tolerance:
+                return score
+    if tolerance is not None:
+        raise RuntimeError(f"impact did not settle in {rounds} rounds")
     return score
 
 

@@ -56,11 +56,15 @@ both_ AS (SELECT src AS node, dst AS next, w FROM a UNION ALL SELECT dst, src, w
 p0 AS (SELECT 0 AS seed, node, 1 / count(*) OVER () AS m FROM (SELECT src AS node FROM pois UNION SELECT dst FROM pois)){_walk("p", 5)} SELECT node, round(m, 6) AS score FROM p5""")
 def affinity_pagerank(edges: DataFrame) -> DataFrame:
     """PageRank over all events, each of which transmits by its rarity and its nearness in time to a point of interest."""
+    return affinity(edges, 5, None)
+
+
+def affinity(edges: DataFrame, rounds: int, tolerance: float | None) -> DataFrame:
     near = S.nearest_poi_ns(rounded_rarity(edges), pois(edges)).select("src", "dst", "edge_id", transmission().alias("weight"))
     every = near.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit("").alias("relation"), "weight")
     ends = pois(edges).select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     n = ends.count()
-    found = W.pagerank(W.transition(every), ends.select(F.lit(0).alias("seed"), "node", F.lit(1.0 / n).alias("mass")), rounds=5)[0]
+    found = W.pagerank(W.transition(every), ends.select(F.lit(0).alias("seed"), "node", F.lit(1.0 / n).alias("mass")), rounds=rounds, tolerance=tolerance)[0]
     return found.select("node", F.round("mass", 6).alias("score"))
 
 
@@ -156,6 +160,50 @@ def balanced_contrast(edges: DataFrame) -> DataFrame:
     return W.contrast(rated, share, pois(edges), processes(edges), FLOOR, ESCAPE, 3, mix=0.5).select("edge_id", F.round("score", 5).alias("score"))
 
 
+MANY, TOLERANCE = 400, 1e-6  # rounds at most, and the residual at which walks have settled; the distance to the limit is a restart's part of it
+
+
+@edge_query(None)
+def affinity_pagerank_full(edges: DataFrame) -> DataFrame:
+    """affinity_pagerank to the tolerance, as are the others whose names end in _full."""
+    return affinity(edges, MANY, TOLERANCE)
+
+
+@edge_query(None)
+def background_contrast_full(edges: DataFrame) -> DataFrame:
+    rated = cut(rounded_rarity(edges))
+    share = W.transition(channels(rated, FLOOR + (1 - FLOOR) * F.col("rarity")))
+    return W.contrast(rated, share, pois(edges), processes(edges), FLOOR, ESCAPE, MANY, tolerance=TOLERANCE).select("edge_id", F.round("score", 5).alias("score"))
+
+
+@edge_query(None)
+def balanced_contrast_full(edges: DataFrame) -> DataFrame:
+    rated = cut(semantically_unique(rounded_rarity(edges)))
+    share = W.transition(channels(rated, FLOOR + (1 - FLOOR) * F.col("rarity")), balanced=True)
+    return W.contrast(rated, share, pois(edges), processes(edges), FLOOR, ESCAPE, MANY, mix=0.5, tolerance=TOLERANCE).select("edge_id", F.round("score", 5).alias("score"))
+
+
+@edge_query(None)
+def walk_scores_full(edges: DataFrame) -> DataFrame:
+    return by_geometric_mean(edges, W.pagerank(unit_share(edges), own_seeds(edges), rounds=MANY, tolerance=TOLERANCE)[0])
+
+
+@edge_query(None)
+def heat_scores_full(edges: DataFrame) -> DataFrame:
+    return by_geometric_mean(edges, W.heat(unit_share(edges), own_seeds(edges), tolerance=1e-9))
+
+
+@edge_query(None)
+def degree_normalized_scores_full(edges: DataFrame) -> DataFrame:
+    found, degree = W.pagerank(unit_share(edges), own_seeds(edges), rounds=MANY, tolerance=TOLERANCE)[0], W.degrees(channels(edges, F.lit(1.0)))
+    return by_geometric_mean(edges, found.join(degree, "node").withColumn("mass", F.col("mass") / F.col("degree")))
+
+
+@edge_query(None)
+def fork_propagation_full(edges: DataFrame) -> DataFrame:
+    return forked_scores(edges, None)
+
+
 @edge_query(None)
 def certified_pagerank(edges: DataFrame) -> DataFrame:
     """PageRank of all points of interest's ends until its distance to the limit is certified; the bound is a column."""
@@ -294,7 +342,11 @@ def _forks(rounds: int, cb: str, cf: str) -> str:
 @edge_query(f", {RARITY}, {POIS}, {COSTS}{_forks(2, 'cb', 'cf')} SELECT e.edge_id, round(CASE WHEN e.edge_id % 997 = 0 THEN 1 WHEN v IS NULL THEN 0 ELSE 1 / (1 + v) END, 6) AS score FROM edges e LEFT JOIN f2 USING (edge_id)")
 def fork_propagation(edges: DataFrame) -> DataFrame:
     """1 / (1 + the least cost of a fork), by two events each way at most."""
-    found = forked(channel_costs(rounded_rarity(edges)), pois(edges), 2)
+    return forked_scores(edges, 2)
+
+
+def forked_scores(edges: DataFrame, rounds: int | None) -> DataFrame:
+    found = forked(channel_costs(rounded_rarity(edges)), pois(edges), rounds)
     own = pois(edges).select("edge_id", F.lit(True).alias("poi"))
     out = edges.select("edge_id").join(found, "edge_id", "left").join(own, "edge_id", "left")
     score = F.when(F.col("poi"), 1.0).when(F.col("cost").isNull(), 0.0).otherwise(1 / (1 + F.col("cost")))

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailgrain.functions import events as E
+from trailgrain.operators import mixtures as M
 from trailgrain.operators import ordered as O
 from trailgrain.operators import scoring as S
 from trailgrain.operators import sessions
+from trailgrain.operators.graph import cut
 from trailgrain.plans.profiles import CUTOFF
 from trailgrain.plans.ranking import SCORED, tied
 from trailgrain.plans.registry import edge_query
-from trailgrain.plans.scores import HOUR, POIS, RARITY, pois, rounded_rarity
+from trailgrain.plans.scores import HOUR, POIS, RARITY, dependency_features, pois, rounded_rarity
 
 DAY, MINUTE = 24 * HOUR, HOUR // 60
 CHANNEL = ("host", "relation", "src_type", "src_semantic", "dst_type", "dst_semantic")
@@ -139,3 +141,20 @@ def context_reads(edges: DataFrame) -> DataFrame:
     written = F.max(F.when(writes, F.col("timestamp_ns"))).over(sessions.running_before(("timestamp_ns", "edge_id"), "file"))
     found = own.withColumn("delay_ns", F.col("timestamp_ns") - written).where(F.expr(f"relation = 'EVENT_READ' and delay_ns <= {2 * DAY}"))
     return found.join(busy, "file", "left_anti").select("edge_id", "file", "delay_ns")
+
+
+@edge_query(None)
+def score_mixture(edges: DataFrame) -> DataFrame:
+    """Membership of each event's rarity in the higher of two fitted components, 0 where one fits as well: (edge_id, membership)."""
+    rated = cut(rounded_rarity(edges).select("edge_id", F.col("rarity").alias("score")))
+    return M.membership(rated, M.fit_mixture(rated)).select("edge_id", F.round("membership", 6).alias("membership"))
+
+
+@edge_query(None)
+def projected_relevance(edges: DataFrame) -> DataFrame:
+    """Size, time and rarity of what leads into points of interest, scaled and projected onto the direction that parts two clusters: (edge_id, poi, relevance)."""
+    rows = cut(dependency_features(edges).join(rounded_rarity(edges).select("edge_id", "rarity"), "edge_id").withColumn("key", F.concat_ws("|", "edge_id", "poi")))
+    names = ["flow", "near", "rarity"]
+    points = cut(M.scaled(rows, names))
+    weights = M.projection(points, names, "key")
+    return points.select("edge_id", "poi", F.round(sum((F.col(n) * float(w) for n, w in zip(names, weights, strict=True)), F.lit(0.0)), 6).alias("relevance"))

@@ -123,9 +123,18 @@ def _impact(k: int) -> str:
 @edge_query(f""", {NODES}, t AS (SELECT src, count(*) AS c FROM edges GROUP BY ALL), flow AS (SELECT src, dst, sum(CAST(0.99 AS DOUBLE) / c) AS w FROM edges JOIN t USING (src) GROUP BY ALL), i0 AS (SELECT node, CAST(1 AS DOUBLE) AS s FROM seeds)"""
             + "".join(map(_impact, range(1, 6))) + " SELECT node, round(CAST(s AS DOUBLE), 6) AS score FROM i5")
 def dependency_impact(edges: DataFrame) -> DataFrame:
-    total = edges.groupBy("src").agg(F.count("*").alias("c"))
-    weighted = edges.join(total, "src").withColumn("w", 0.99 / F.col("c"))
-    return G.dependency_impact(weighted, pois(edges), "w", rounds=5).select("node", F.round("score", 6).alias("score"))
+    return G.dependency_impact(weighted(edges), pois(edges), "w", rounds=5).select("node", F.round("score", 6).alias("score"))
+
+
+def weighted(edges: DataFrame) -> DataFrame:
+    """Events with an equal share of their source's 0.99."""
+    return edges.join(edges.groupBy("src").agg(F.count("*").alias("c")), "src").withColumn("w", 0.99 / F.col("c"))
+
+
+@edge_query(None)
+def dependency_impact_full(edges: DataFrame) -> DataFrame:
+    """The same until no score changes by more than 1e-7."""
+    return G.dependency_impact(weighted(edges), pois(edges), "w", rounds=5000, tolerance=1e-7).select("node", F.round("score", 5).alias("score"))
 
 
 BIRTHS = "births AS (SELECT dst AS process, min(timestamp_ns) AS born, arg_min(src, timestamp_ns) AS parent FROM edges WHERE relation = 'EVENT_FORK' GROUP BY ALL)"
