@@ -35,7 +35,7 @@ def table_query(sql: str | None) -> Callable:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from trailgrain.plans import continuations, diffusion, evaluation, expansions, features, graphs, ingests, ledgers, lookups, metrics, pages, profiles, ranking, removals, scores, selectors, windows  # noqa: F401
+    from trailgrain.plans import alternatives, continuations, diffusion, evaluation, expansions, features, graphs, ingests, ledgers, lookups, metrics, pages, profiles, ranking, removals, scores, selectors, windows  # noqa: F401
 
     return dict(QUERIES)
 
