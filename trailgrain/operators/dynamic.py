@@ -79,11 +79,11 @@ def solved(rank: Rank, tolerance: float = 1e-7, rounds: int = 1000) -> tuple[Ran
     """Push until every residual is below its share of the tolerance, or for so many rounds: the rank, the bound on the L1 error, and the pushes."""
     if tolerance <= 0 or rounds < 1:
         raise ValueError("tolerance and rounds must be positive")
-    values = rank.values
+    values = cut(rank.values)
     threshold = rank.restart * tolerance / max(1, values.count())
     pushes = 0
     for _ in range(rounds):
-        front = cut(values.where(F.abs("residual") > threshold).select("node", "residual"))
+        front = values.where(F.abs("residual") > threshold).select("node", "residual")
         n = front.count()
         if n == 0:
             break

@@ -8,11 +8,8 @@ from pyspark.sql import functions as F
 from trailgrain.operators import store
 from trailgrain.plans.pages import folder
 from trailgrain.plans.registry import edge_query
-from trailgrain.plans.scores import pois
 from trailgrain.sources import cdm, ecar, sysdig
 from trailgrain.streaming.arrivals import Arrivals
-from trailgrain.streaming.snapshots import ROWS as SNAPSHOT_ROWS
-from trailgrain.streaming.snapshots import Snapshots
 
 
 def reads() -> Column:
@@ -144,22 +141,3 @@ def streamed_rarity(edges: DataFrame) -> DataFrame:
     arrivals = Arrivals(edges.sparkSession, f"{path}/state", window=1 << 30)
     arrivals.run(stream, f"{path}/checkpoint").awaitTermination()
     return arrivals.scored().select("seq", F.round("rarity", 6).alias("rarity"), "late")
-
-
-@edge_query(None)
-def stream_snapshots(edges: DataFrame) -> DataFrame:
-    """The events as a stream of two micro-batches with declared types: the decisions of the last snapshot over the last quarter of the events."""
-    path, spark = folder(edges, "snapshots"), edges.sparkSession
-    ends = edges.select(F.col("src").alias("uuid"), F.col("src_type").alias("node_type"), "edge_id").unionByName(edges.select(F.col("dst").alias("uuid"), F.col("dst_type").alias("node_type"), "edge_id"))
-    declared = ends.groupBy("uuid").agg(F.min_by("node_type", "edge_id").alias("node_type"), (2 * F.min("edge_id")).alias("seq")).withColumn("kind", F.lit("node"))
-    event = edges.select((2 * F.col("edge_id") + 1).alias("seq"), F.lit("edge").alias("kind"), F.col("edge_id").cast("string").alias("event_id"), "src", "dst", "relation", "timestamp_ns")
-    names = [c.strip().split(" ")[0] for c in SNAPSHOT_ROWS.split(",")]
-    rows = declared.unionByName(event, allowMissingColumns=True).select(*names)
-    n, middle = edges.agg(F.count("*"), F.expr("min(edge_id) + max(edge_id)")).first()
-    for k, part in enumerate((rows.where(F.col("seq") <= middle), rows.where(F.col("seq") > middle))):
-        part.coalesce(1).write.parquet(f"{path}/in/{k}")  # a file is a micro-batch here
-    stream = spark.readStream.schema(SNAPSHOT_ROWS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{path}/in")
-    snapshots = Snapshots(spark, f"{path}/state", pois(edges).select(F.col("edge_id").cast("string").alias("event_id")), window=max(1, n // 4), tolerance=1e-2)
-    snapshots.run(stream, f"{path}/checkpoint").awaitTermination()
-    last = snapshots.reports().agg(F.max("batch")).first()[0]
-    return snapshots.decisions(last).select(F.col("event_id").cast("long").alias("edge_id"), F.round("rarity", 6).alias("rarity"), "retained", "status")
