@@ -64,7 +64,7 @@ def packed(rows: DataFrame, parts: DataFrame, budgets: DataFrame) -> DataFrame:
         left = cut(missing.join(fits, ["case", "place"], "left_semi").select("case", "place", "anchor", "member"))
         if left.isEmpty():
             return kept.withColumnRenamed("member", "edge_id")
-        own_turn = left.join(_unmet(left), ["case", "place"], "left_semi")
+        own_turn = left.join(unmet(left), ["case", "place"], "left_semi")
         first = cut(own_turn.groupBy("case", "member").agg(F.min("place").alias("place")))
         costs = O.running(first.groupBy("case", "place").agg(F.count("*").alias("n")), ["case"], ["place"], before=F.col("n"))
         ends = cut(costs.join(room, "case").where("before + n > room").groupBy("case").agg(F.min("place").alias("end")))
@@ -75,7 +75,7 @@ def packed(rows: DataFrame, parts: DataFrame, budgets: DataFrame) -> DataFrame:
     raise RuntimeError(f"packing did not end in {ROUNDS} rounds")
 
 
-def _unmet(left: DataFrame) -> DataFrame:
+def unmet(left: DataFrame) -> DataFrame:
     """The places (case, place) whose anchor no earlier one of these has brought, if all of these fit.
 
     An anchor is decided once no undecided earlier one has it among its members.
