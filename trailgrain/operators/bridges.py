@@ -43,19 +43,14 @@ def bridges(edges: DataFrame, targets: DataFrame) -> DataFrame:
 
 def bridge_events(found: DataFrame) -> DataFrame:
     """The events of each bridge of `bridges`: (edge_id, position, bridge)."""
-    steps = cut(found.where("next is not null").select("edge_id", "next"))
-    front, out, k = steps.select("edge_id", F.col("next").alias("bridge")), [], 0
-    while True:
-        front = cut(front)
-        if out and front.isEmpty():
-            break
-        out.append(front.select("edge_id", F.lit(k).alias("position"), "bridge"))
-        front = front.join(steps.withColumnRenamed("edge_id", "bridge"), "bridge").select("edge_id", F.col("next").alias("bridge"))
-        k += 1
-    rows = out[0]
-    for o in out[1:]:
-        rows = rows.unionByName(o)
-    return rows
+    jump = cut(found.where("next is not null").select("edge_id", "next"))
+    out, step = jump.select("edge_id", F.lit(0).alias("position"), F.col("next").alias("bridge")), 1
+    while True:  # the ways so far, and from their ends the ways so far again
+        out = cut(out.unionByName(jump.join(out.withColumnRenamed("edge_id", "next"), "next").select("edge_id", (F.col("position") + step).alias("position"), "bridge")))
+        jump = cut(jump.join(jump.select(F.col("edge_id").alias("next"), F.col("next").alias("after")), "next").select("edge_id", F.col("after").alias("next")))
+        if jump.isEmpty():
+            return out
+        step *= 2
 
 
 def stage_pairs(sequences: DataFrame) -> DataFrame:

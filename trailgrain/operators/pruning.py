@@ -150,7 +150,7 @@ def pruned(
     of = rows.select("edge_id", "group")
     links = bridges.join(of, "edge_id").join(rows.select("case", F.col("edge_id").alias("bridge"), F.col("group").alias("member")), "bridge").select("case", "group", "member")
     needs = cut(links.union(groups.select("case", "group", F.col("group").alias("member"))).distinct())
-    ranks = O.ranked(groups, ["case"], [F.desc(F.col("score") / F.col("size")), F.desc("score"), "group"])
+    ranks = cut(O.ranked(groups, ["case"], [F.desc(F.col("score") / F.col("size")), F.desc("score"), "group"]))
     core = groups.where("mandatory").select("case", "group")
     first = cut(needs.join(core, ["case", "group"], "left_semi").groupBy("case", F.col("member").alias("group")).agg(F.min("group").alias("by")).join(core.withColumn("core", F.lit(True)), ["case", "group"], "left"))
     ledger = first.select("case", "group", F.when(F.col("core"), F.col("group")).otherwise(F.col("by")).alias("by"), F.when(F.col("core"), "mandatory").otherwise("bridge").alias("reason"))

@@ -13,6 +13,7 @@ from trailgrain.plans.registry import edge_query
 from trailgrain.plans.scores import HOUR, pois, rarity_escape, rounded_rarity
 
 KEEP, BEFORE = 0.2, 0.1  # the share that stays, and that of the earlier result with which churn is bounded
+WEEK = 7 * 24 * HOUR
 CHURN, QUOTA, THRESHOLD = 0.02, 0.05, 0.05
 
 
@@ -21,13 +22,13 @@ def scored(edges: DataFrame) -> DataFrame:
 
 
 def candidates(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Events with their groups, bursts of one dependency within an hour, and the bridges to points of interest; a case is a host."""
+    """Events with their groups, runs of one dependency without a gap of more than a week, and the bridges to points of interest; a case is a host."""
     rated = scored(edges)
     keys = ["src", "dst", "relation"]
-    bursts = cut(S.bounded_episodes(edges, keys, HOUR).select("edge_id", *keys, "start"))
+    bursts = cut(S.bounded_episodes(edges, keys, WEEK).select("edge_id", *keys, "start"))
     group = bursts.groupBy(*keys, "start").agg(F.min("edge_id").alias("group")).join(bursts, [*keys, "start"]).select("edge_id", "group")
     hosts = rated.select("edge_id", "host").withColumnRenamed("edge_id", "group")
-    own = rated.join(group, "edge_id").join(hosts.withColumnRenamed("host", "case"), "group")  # a burst is on the host of its first event
+    own = rated.join(group, "edge_id").join(hosts.withColumnRenamed("host", "case"), "group")  # a run is on the host of its first event
     goals = pois(edges).select("edge_id")
     own = own.join(goals.withColumn("mandatory", F.lit(True)), "edge_id", "left").join(rarity_escape(edges), "edge_id")
     events = own.select("case", "edge_id", "group", "score", "mandatory", F.lit(False).alias("previous"), "escape")
