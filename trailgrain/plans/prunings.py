@@ -12,9 +12,7 @@ from trailgrain.operators.graph import cut
 from trailgrain.plans.registry import edge_query
 from trailgrain.plans.scores import HOUR, pois, rarity_escape, rounded_rarity
 
-KEEP, BEFORE = 0.2, 0.1  # the share that stays, and that of the earlier result with which churn is bounded
-WEEK = 7 * 24 * HOUR
-CHURN, QUOTA, THRESHOLD = 0.02, 0.05, 0.05
+KEEP, WEEK = 0.2, 7 * 24 * HOUR
 
 
 def scored(edges: DataFrame) -> DataFrame:
@@ -36,14 +34,8 @@ def candidates(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def prune(edges: DataFrame, mode: str) -> tuple[DataFrame, DataFrame]:
-    """A smaller result, and the larger one that must not lose much of it."""
-    events, links = candidates(edges)
-    if mode == "progressive":
-        events = events.withColumn("case", F.lit("graph"))
-    before, _ = P.pruned(events, links, BEFORE, mode)
-    known = before.select("edge_id", F.lit(True).alias("was"))
-    events = events.join(known, "edge_id", "left").withColumn("previous", F.coalesce("was", F.lit(False))).drop("was")
-    return P.pruned(events, links, KEEP, mode, churn_slack=CHURN, escape_ratio=QUOTA, escape_threshold=THRESHOLD)
+    """What stays and its account, without an earlier result or a quota."""
+    return P.pruned(*candidates(edges), KEEP, mode)
 
 
 def _events(edges: DataFrame, mode: str) -> DataFrame:
@@ -68,15 +60,9 @@ def prune_guard(edges: DataFrame) -> DataFrame:
     return _events(edges, "rdp_guard")
 
 
-@edge_query(None)
-def prune_progressive(edges: DataFrame) -> DataFrame:
-    """What progressive removal leaves of the whole graph."""
-    return _events(edges, "progressive")
-
-
 @edge_query(None)
 def prune_account(edges: DataFrame) -> DataFrame:
-    """Budgets, losses, overlap and bounds of each host under the guard mode."""
+    """Budgets, sums and bounds of each host under the guard mode."""
     found = prune(edges, "rdp_guard")[1]
     return found.withColumns({c: F.round(c, 6) for c in ("threshold", "mass_share", "jaccard")})
 
