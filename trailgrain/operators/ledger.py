@@ -33,8 +33,11 @@ def noisy_or(channels: dict[str, Column]) -> tuple[Column, Column]:
     return both, both + (1 - both) * WEIGHTS["verification"] * channels["verification"]
 
 
-def build(edges: DataFrame, contributions: DataFrame, pois: DataFrame, budgets: dict[str, float], cutoff: float) -> DataFrame:
-    """Ledger rows of edges (with rarity) from contributions (edge_id, poi, s): aggregate, place, percentile, high scores with ties, decisions."""
+def build(edges: DataFrame, contributions: DataFrame, pois: DataFrame, budgets: dict[str, float], cutoff: float, given: DataFrame | None = None) -> DataFrame:
+    """Ledger rows of edges (with rarity) from contributions (edge_id, poi, s): aggregate, place, percentile, high scores with ties, decisions.
+
+    given: (edge_id, backward, forward, verification) channels of a verification, 0 where absent; without them score and rarity stand for the channels.
+    """
     total = S.noisy_or(contributions, "edge_id", "poi", "s").withColumnRenamed("aggregate", "score")
     own = pois.select("edge_id", F.lit(True).alias("is_declared_poi"))
     rows = edges.join(total, "edge_id", "left").join(own, "edge_id", "left").fillna({"score": 0.0, "winner_score": 0.0, "support": 0, "is_declared_poi": False})
@@ -42,6 +45,9 @@ def build(edges: DataFrame, contributions: DataFrame, pois: DataFrame, budgets:
     placed = cut(O.ranked(rows, [], [F.desc("score"), "edge_id"], "rank"))
     level = placed.where(F.col("rank") == max(1, round(cutoff * n))).select(F.col("score").alias("level"))
     channels = {"backward": F.col("score"), "forward": F.col("rarity"), "verification": F.least("score", "rarity")}
+    if given is not None:
+        placed = placed.join(given.select("edge_id", *[F.col(c).alias(f"given_{c}") for c in WEIGHTS]), "edge_id", "left")
+        channels = {c: F.coalesce(f"given_{c}", F.lit(0.0)) for c in WEIGHTS}
     both, verified = noisy_or(channels)
     poi = F.col("is_declared_poi")
     kept = lambda ratio: poi | (F.col("rank") <= max(1, int(n * ratio)))
