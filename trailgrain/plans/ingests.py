@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailgrain.operators import store
 from trailgrain.plans.pages import folder
 from trailgrain.plans.registry import edge_query
-from trailgrain.sources import cdm, ecar, sysdig
+from trailgrain.sources import avro, cdm, ecar, sysdig
 from trailgrain.streaming.arrivals import Arrivals
 
 
@@ -54,6 +56,33 @@ def cdm_edges(edges: DataFrame) -> DataFrame:
     return cdm.edges(cdm_records(edges))
 
 
+AVRO = {
+    "type": "record", "name": "Datum", "namespace": "com.bbn.tc.schema", "fields": [{"name": "datum", "type": [
+        {"type": "record", "name": "Event", "fields": [
+            {"name": "uuid", "type": "string"}, {"name": "type", "type": "string"}, {"name": "subject", "type": "string"}, {"name": "predicateObject", "type": "string"},
+            {"name": "timestampNanos", "type": "long"}, {"name": "size", "type": ["null", "long"]}, {"name": "hostId", "type": "string"},
+        ]},
+        {"type": "record", "name": "Subject", "fields": [{"name": "uuid", "type": "string"}, {"name": "hostId", "type": "string"}, {"name": "cmdLine", "type": ["null", "string"]}]},
+    ]}],
+}
+
+
+@edge_query(" SELECT 'e' || edge_id AS event_id, src, dst, relation, timestamp_ns, host, data_size FROM edges")
+def avro_edges(edges: DataFrame) -> DataFrame:
+    """The events and their processes as CDM records in Avro containers, read in splits of 100,000 bytes."""
+    subject, obj = F.when(reads(), F.col("dst")).otherwise(F.col("src")), F.when(reads(), F.col("src")).otherwise(F.col("dst"))
+    event = F.struct(
+        F.concat(F.lit("e"), F.col("edge_id").cast("string")).alias("uuid"), F.col("relation").alias("type"), subject.alias("subject"), obj.alias("predicateObject"),
+        F.col("timestamp_ns").alias("timestampNanos"), F.col("data_size").alias("size"), F.col("host").alias("hostId"),
+    )
+    process = edges.where("src_type = 'process'").select(F.col("src").alias("uuid"), F.lit("h").alias("hostId"), F.concat(F.lit("run "), "src").alias("cmdLine")).distinct()
+    line = lambda kind, body: F.to_json(F.struct(F.struct(body.alias(f"com.bbn.tc.schema.{kind}")).alias("datum"))).alias("value")
+    lines = edges.select(line("Event", event)).union(process.select(line("Subject", F.struct("uuid", "hostId", "cmdLine"))))
+    path = folder(edges, "avro")
+    avro.write_avro(lines, path, json.dumps(AVRO))
+    return cdm.edges(cdm.records(avro.read_avro(edges.sparkSession, path, split_bytes=100_000)))
+
+
 CDM_NODES = """n AS (SELECT uuid, node_type, substr(uuid, 2) AS k FROM nodes),
 cdm AS (SELECT uuid, node_type, CASE node_type WHEN 'process' THEN 'app' || k WHEN 'file' THEN '/home/u' || k || '/doc' || k ELSE '10.0.0.' || k || ':443' END AS label, CASE node_type WHEN 'process' THEN 'process:app' || k WHEN 'file' THEN 'file:/home/*/doc' || k ELSE 'socket:10.0.0.' || k || ':443' END AS semantic_key FROM n)"""
 
