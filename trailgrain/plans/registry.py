@@ -35,7 +35,7 @@ def table_query(sql: str | None) -> Callable:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from trailgrain.plans import alternatives, behaviours, continuations, diffusion, evaluation, expansions, features, graphs, ingests, ledgers, lookups, metrics, pages, profiles, prunings, ranking, removals, scores, selectors, verifications, windows  # noqa: F401
+    from trailgrain.plans import alternatives, behaviours, continuations, diffusion, evaluation, expansions, features, graphs, ingests, ledgers, lineages, lookups, metrics, pages, profiles, prunings, ranking, removals, scores, selectors, verifications, windows  # noqa: F401
 
     return dict(QUERIES)
 
