@@ -48,8 +48,8 @@ def fan_out_slices(edges: DataFrame) -> DataFrame:
 
 @edge_query(", r AS (SELECT src, dst, relation, edge_id, row_number() OVER (PARTITION BY src, dst, relation ORDER BY coalesce(data_size, 0) DESC, timestamp_ns, edge_id) AS k FROM edges) SELECT src, dst, relation, edge_id FROM r WHERE k = 1")
 def dependency_representatives(edges: DataFrame) -> DataFrame:
-    w = Window.partitionBy("src", "dst", "relation").orderBy(F.coalesce("data_size", F.lit(0)).desc(), "timestamp_ns", "edge_id")
-    return edges.withColumn("k", F.row_number().over(w)).where("k = 1").select("src", "dst", "relation", "edge_id")
+    first = F.min_by("edge_id", F.struct(-F.coalesce("data_size", F.lit(0)), "timestamp_ns", "edge_id"))
+    return edges.groupBy("src", "dst", "relation").agg(first.alias("edge_id"))
 
 
 @edge_query(""", c AS (SELECT edge_id, count(*) OVER (PARTITION BY src_type, relation, dst_type ORDER BY timestamp_ns, edge_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS c,
