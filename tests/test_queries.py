@@ -51,6 +51,16 @@ def test_graph_rounds_run_to_the_end(spark, monkeypatch):
     assert {(r.node, r.hop) for r in got} == {(k, k) for k in range(9)}
 
 
+def test_noisy_or_winner_by_the_order_of_the_sql(spark):
+    from trailgrain.plans import scores
+
+    # Scores 0.999988 of the point of interest 96709 and 0.999977 of 3988, which is far less in id.
+    rows = [(1, "f1", "p1", 0), (96709, "p1", "f2", 10**9), (3988, "p1", "f3", 2 * 10**9)]
+    edges = spark.createDataFrame(rows, "edge_id long, src string, dst string, timestamp_ns long").coalesce(1)
+    (row,) = scores.poi_noisy_or(edges).collect()
+    assert (row.winner, row.support) == (3988, 2)
+
+
 def test_lineage_replay_without_deep_chains(spark):
     from trailgrain.plans import lineages
 

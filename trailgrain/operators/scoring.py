@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailgrain.functions import events as E
@@ -84,11 +84,11 @@ def nearest_poi_ns(edges: DataFrame, pois: DataFrame) -> DataFrame:
     return out.withColumn("distance_ns", F.least(F.col("timestamp_ns") - back, ahead - F.col("timestamp_ns"))).drop("t", "back", "ahead", "earlier", "later", "slot")
 
 
-def noisy_or(scores: DataFrame, key: str, poi: str, score: str) -> DataFrame:
-    """1 - product of (1 - score) for each key, with the strongest point of interest (ties: the smallest) and the support."""
+def noisy_or(scores: DataFrame, key: str, poi: str, score: str, order: Column | None = None) -> DataFrame:
+    """1 - product of (1 - score) for each key, with the strongest point of interest (ties: the smallest; or the least in the order) and the support."""
     return scores.groupBy(key).agg(
         (1 - F.product(1 - F.col(score))).alias("aggregate"),
-        F.min_by(poi, F.struct(-F.col(score), F.col(poi))).alias("winner"),
+        F.min_by(poi, F.struct(-F.col(score), F.col(poi)) if order is None else order).alias("winner"),
         F.max(score).alias("winner_score"),
         F.count_if(F.col(score) > 0).alias("support"),
     )
