@@ -298,3 +298,48 @@ def test_impact_to_the_tolerance(spark):
     assert all(math.isclose(got.get(k, 0.0), want[k], abs_tol=1e-6) for k in range(7))
     with pytest.raises(RuntimeError, match="settle"):
         G.dependency_impact(edges, edges.where("edge_id = 4"), "w", rounds=1, tolerance=1e-12)
+
+
+def test_contrast_in_chunks_of_seeds_and_blocks(spark, monkeypatch, mix=0.5):
+    """Seeds in several vectors and links in several blocks give what a walk for each seed gives; no row for each event and seed is made."""
+    import numpy as np
+
+    monkeypatch.setattr(W, "WIDTH", 4)
+    monkeypatch.setattr(W, "BLOCKS", 3)
+    rng = random.Random(5)
+    ends = [tuple(f"n{x}" for x in rng.sample(range(9), 2)) for _ in range(40)] + [(f"n{x}", f"n{(x + 1) % 9}") for x in range(9)]
+    events = [(i, a, b, rng.choice([0.2, 0.7])) for i, (a, b) in enumerate(ends)]
+    edges = spark.createDataFrame(events, "edge_id long, src string, dst string, rarity double").coalesce(1)
+    m = np.zeros((9, 9))
+    channels = {}
+    for _, a, b, r in events:
+        channels[tuple(sorted((a, b)))] = max(r, channels.get(tuple(sorted((a, b))), 0))
+    for (a, b), r in channels.items():
+        m[int(a[1]), int(b[1])] = m[int(b[1]), int(a[1])] = r
+    p = (m / m.sum(1)[:, None]).T
+
+    def walk(seed):
+        now = seed
+        for _ in range(3):
+            now = 0.85 * p @ now + 0.15 * seed
+        return now
+
+    q, best = walk(np.full(9, 1 / 9)), {i: [0.0, 0.0, {}] for i, *_ in events}
+    for s in range(0, 40, 6):
+        x = walk(sum(0.5 * np.eye(9)[int(v[1])] for v in ends[s]))
+        lift = np.log1p(np.maximum(x / q - 1, 0))
+        at = [(int(a[1]), int(b[1]), 0.2 + 0.8 * r) for _, a, b, r in events]
+        local = np.array([((1 - mix) * math.sqrt(lift[a] * lift[b]) + mix * (lift[a] + lift[b]) / 2) * w for a, b, w in at])
+        plain = np.array([math.sqrt(x[a] * x[b]) * w for a, b, w in at])
+        for i in range(len(events)):
+            best[i][0] = max(best[i][0], local[i] / local.max())
+            best[i][2][s] = local[i] / local.max()
+            best[i][1] = max(best[i][1], plain[i] / plain.max())
+    share = W.transition(spark.createDataFrame([(a, b, "r", r) for (a, b), r in channels.items()], "a string, b string, relation string, weight double").coalesce(1))
+    pois, nodes = edges.where("edge_id % 6 = 0 and edge_id < 40"), spark.createDataFrame([(f"n{k}",) for k in range(9)], "node string").coalesce(1)
+    got = {r.edge_id: r for r in W.contrast(edges, share, pois, nodes, 0.2, 0.1, 3, mix).collect()}
+    assert got.keys() == best.keys()
+    for i, (local, plain, seeds) in best.items():
+        score = 1.0 if i % 6 == 0 and i < 40 else (local + 0.1 * plain) / 1.1
+        assert math.isclose(got[i].score, score, abs_tol=1e-9)
+        assert math.isclose(seeds[got[i].winner], local, abs_tol=1e-9) if local > 0 else got[i].winner is None
