@@ -121,6 +121,35 @@ def test_pagerank_and_heat_against_dense(spark):
     assert all(math.isclose(got[k], exact[k], abs_tol=1e-6) for k in got)
 
 
+def test_walks_move_only_hubs(spark):
+    """Nodes whose links are all to busier nodes are in no state; two hubs of different degree, a link between them, and a lone pair."""
+    import numpy as np
+
+    pairs = [("h0", f"n{k}") for k in range(12)] + [("h1", f"n{k}") for k in range(0, 12, 2)] + [("h0", "h1"), ("x", "y")]
+    names = sorted({v for pair in pairs for v in pair})
+    at = {v: k for k, v in enumerate(names)}
+    m = np.zeros((len(names), len(names)))
+    for k, (a, b) in enumerate(pairs):
+        m[at[a], at[b]] = m[at[b], at[a]] = 1 + k % 3
+    p = (m / m.sum(1)[:, None]).T
+    share = W.transition(spark.createDataFrame([(a, b, "r", float(m[at[a], at[b]])) for a, b in pairs], "a string, b string, relation string, weight double").coalesce(1))
+    seeds = spark.createDataFrame([(1, "n0", 0.5), (1, "h0", 0.5), (2, "x", 1.0), (3, "n1", 1.0)], "seed long, node string, mass double").coalesce(1)
+    first = {s: np.zeros(len(names)) for s in (1, 2, 3)}
+    for s, v, x in [(1, "n0", 0.5), (1, "h0", 0.5), (2, "x", 1.0), (3, "n1", 1.0)]:
+        first[s][at[v]] = x
+    w = W.walks(share, seeds)
+    for rounds, tolerance in ((3, None), (200, 1e-9)):
+        state, _, k = W.ranked(w, 0.15, rounds, tolerance)
+        assert {r.node for r in state.hubs.collect()} <= {"h0", "h1", "y"}
+        got = {(r.seed, r.node): r.mass for r in w.spread(state).collect()}
+        for s, start in first.items():
+            want = start
+            for _ in range(3 if tolerance is None else 400):
+                want = 0.85 * p @ want + 0.15 * start
+            assert all(math.isclose(got.get((s, v), 0.0), want[at[v]], abs_tol=1e-8) for v in names)
+        assert tolerance is None or k < 100  # 0.85 ** k alone is below 1e-9 from 128 on
+
+
 def bundle_rows(seed, n=18):
     rng = random.Random(seed)
     rows = []
