@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailgrain.operators import graph as G
 from trailgrain.operators import ordered as O
 from trailgrain.operators import sessions as S
 from trailgrain.plans.registry import edge_query
@@ -115,10 +116,18 @@ def process_births(edges: DataFrame) -> DataFrame:
 
 @edge_query(f", {POIS}, r AS (SELECT p.edge_id AS poi, e.edge_id, row_number() OVER (PARTITION BY p.edge_id ORDER BY abs(e.timestamp_ns - p.timestamp_ns), e.edge_id) AS k FROM pois p JOIN edges e ON e.dst = p.dst AND e.edge_id <> p.edge_id) SELECT poi, edge_id, k FROM r WHERE k <= 3")
 def nearest_events(edges: DataFrame) -> DataFrame:
-    """The three events at each point of interest's destination that are nearest to it in time."""
-    p = pois(edges).select(F.col("edge_id").alias("poi"), "dst", F.col("timestamp_ns").alias("poi_ns"))
+    """The three events at each point of interest's destination that are nearest to it in time.
+
+    They are among those of its own time and of the three times before and after it, so a hub's events are not paired with all its points.
+    """
+    same = Window.partitionBy("dst", "timestamp_ns").orderBy("edge_id")  # of one time four are enough, as one may be the point itself
+    first = edges.select("dst", "timestamp_ns", "edge_id").withColumn("k", F.row_number().over(same)).where("k <= 4")
+    times = G.cut(O.ranked(first.groupBy("dst", "timestamp_ns").agg(F.collect_list("edge_id").alias("ids")), ["dst"], ["timestamp_ns"]))
+    p = pois(edges).select(F.col("edge_id").alias("poi"), "dst", "timestamp_ns").join(times.drop("ids"), ["dst", "timestamp_ns"])
+    p = p.select("poi", "dst", F.col("timestamp_ns").alias("poi_ns"), F.explode(F.sequence(F.col("place") - 3, F.col("place") + 3)).alias("place"))
+    near = times.join(p, ["dst", "place"]).select("poi", "poi_ns", "timestamp_ns", F.explode("ids").alias("edge_id")).where("edge_id <> poi")
     w = Window.partitionBy("poi").orderBy(F.abs(F.col("timestamp_ns") - F.col("poi_ns")), "edge_id")
-    return edges.join(p, "dst").where("edge_id <> poi").withColumn("k", F.row_number().over(w)).where("k <= 3").select("poi", "edge_id", F.col("k").cast("long").alias("k"))
+    return near.withColumn("k", F.row_number().over(w)).where("k <= 3").select("poi", "edge_id", F.col("k").cast("long").alias("k"))
 
 
 @edge_query(f", {POIS}, w AS (SELECT timestamp_ns - {2 * HOUR} AS s, timestamp_ns + {2 * HOUR} AS t FROM pois), o AS (SELECT *, CASE WHEN s <= max(t) OVER (ORDER BY s, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS n FROM w), g AS (SELECT *, sum(n) OVER (ORDER BY s, t) AS g FROM o) SELECT min(s) AS start_ns, max(t) AS end_ns FROM g GROUP BY g")
