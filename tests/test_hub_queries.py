@@ -29,3 +29,13 @@ def test_nearest_events_do_not_pair_a_hub(spark, monkeypatch):
             want += [(p, k, e) for k, (_, e) in enumerate(near, 1)]
     assert found == sorted(want)
     assert len(dealt) == 1 and dealt[0] <= 1000
+
+
+def test_duplicate_assignments_do_not_pair_a_hub(spark, monkeypatch):
+    rows, edges = hub(spark, STEP)
+    dealt = spied(monkeypatch, metrics, "running")
+    found = {r.edge_id: r.groups for r in metrics.duplicate_assignments(edges).collect()}
+    marked = [t for e, _, t in rows if e % STEP == 0]
+    want = {e: sum(abs(x - t) <= 5 * metrics.DAY for x in marked) for e, _, t in rows}
+    assert found == {e: n for e, n in want.items() if n > 1}
+    assert dealt == [2 * 1000 + len(marked)]

@@ -260,10 +260,15 @@ def miss_reasons(edges: DataFrame) -> DataFrame:
 
 @edge_query(f", {MARKED}, g AS (SELECT DISTINCT p.edge_id AS grp, e.edge_id FROM p JOIN edges e ON e.dst = p.dst AND abs(e.timestamp_ns - p.timestamp_ns) <= {5 * DAY}) SELECT edge_id, count(DISTINCT grp) AS groups FROM g GROUP BY ALL HAVING count(DISTINCT grp) > 1")
 def duplicate_assignments(edges: DataFrame) -> DataFrame:
-    """Events that belong to more than one alert group."""
-    p = marked(edges).select(F.col("edge_id").alias("grp"), "dst", F.col("timestamp_ns").alias("t"))
-    own = edges.join(p, "dst").where(F.abs(F.col("timestamp_ns") - F.col("t")) <= 5 * DAY)
-    return own.groupBy("edge_id").agg(F.countDistinct("grp").alias("groups")).where("groups > 1")
+    """Events that belong to more than one alert group: the groups up to the end of an event's range less those before its start, both from running counts."""
+    span, none = 5 * DAY, F.lit(None).cast("long")
+    groups = marked(edges).select("dst", F.col("timestamp_ns").alias("t"), F.lit(1).alias("kind"), "edge_id", F.lit(1).cast("long").alias("one"))
+    ask = lambda t, kind: edges.select("dst", t.alias("t"), F.lit(kind).alias("kind"), "edge_id", none.alias("one"))
+    # Of one time: asks for what is strictly before, then groups, then asks for what is there.
+    rows = groups.unionByName(ask(F.col("timestamp_ns") - span, 0)).unionByName(ask(F.col("timestamp_ns") + span, 2))
+    seen = O.running(rows, ["dst"], ["t", "kind", "edge_id"], seen=F.col("one")).where("kind <> 1")
+    counted = seen.groupBy("edge_id").agg(F.sum(F.when(F.col("kind") == 2, F.col("seen")).otherwise(-F.col("seen"))).alias("groups"))
+    return counted.where("groups > 1")
 
 
 @edge_query(f", {CHAINS}, l AS (SELECT path, count(*) AS n FROM path GROUP BY ALL) SELECT CASE WHEN n = {LENGTH} THEN 'length' ELSE 'no_later_event' END AS reason, count(*) AS paths, CAST(sum(n) AS BIGINT) AS events FROM l GROUP BY ALL")
