@@ -1,6 +1,6 @@
 """Queries at a hub: rows grow with the events, not with pairs of events and points of interest."""
 
-from trailgrain.plans import metrics, windows
+from trailgrain.plans import metrics, pages, windows
 from trailgrain.plans.continuations import STEP
 from trailgrain.plans.scores import POI
 
@@ -39,3 +39,19 @@ def test_duplicate_assignments_do_not_pair_a_hub(spark, monkeypatch):
     want = {e: sum(abs(x - t) <= 5 * metrics.DAY for x in marked) for e, _, t in rows}
     assert found == {e: n for e, n in want.items() if n > 1}
     assert dealt == [2 * 1000 + len(marked)]
+
+
+def test_reference_actors_do_not_pair_events_and_references(spark, monkeypatch):
+    hour = 3_600_000_000_000
+    rows = [(i * STEP if i % 7 == 0 else 1_000_003 * (i + 1) * STEP + 1, "h0", 0, f"k{i % 2}", f"p{i // 40}", (i * 13 % 900) * hour // 40 * 3) for i in range(900)]
+    edges = spark.createDataFrame(rows, "edge_id long, host string, day int, src_semantic string, src string, timestamp_ns long")
+    dealt = spied(monkeypatch, pages, "running_max")
+    found = {r.ref: r.actor for r in pages.reference_actors(edges).collect()}
+    want = {}
+    for e, _, _, k, _, t in rows:
+        if e % STEP == 0:
+            met = {r[4] for r in rows if r[3] == k and abs(r[5] - t - hour) <= 4 * hour}
+            if len(met) == 1:
+                want[e] = met.pop()
+    assert found == want
+    assert len(dealt) == 2 and max(dealt) <= 900 + sum(e % STEP == 0 for e, *_ in rows)

@@ -121,10 +121,19 @@ def alert_matches(edges: DataFrame) -> DataFrame:
 
 @edge_query(f", {MARKED}, r AS (SELECT edge_id AS ref, host, day, src_semantic, timestamp_ns + {HOUR} AS t FROM p), m AS (SELECT ref, count(DISTINCT e.src) AS actors, min(e.src) AS actor FROM r JOIN edges e ON e.host = r.host AND e.day = r.day AND e.src_semantic = r.src_semantic AND abs(e.timestamp_ns - t) <= {4 * HOUR} GROUP BY ALL) SELECT ref, actor FROM m WHERE actors = 1")
 def reference_actors(edges: DataFrame) -> DataFrame:
-    """References by host, date and program near a time, where just one actor fits."""
-    refs = marked(edges).select(F.col("edge_id").alias("ref"), "host", "day", "src_semantic", (F.col("timestamp_ns") + HOUR).alias("t"))
-    found = refs.join(edges.select("host", "day", "src_semantic", "src", "timestamp_ns"), ["host", "day", "src_semantic"]).where(F.abs(F.col("timestamp_ns") - F.col("t")) <= 4 * HOUR)
-    return found.groupBy("ref").agg(F.countDistinct("src").alias("actors"), F.min("src").alias("actor")).where("actors = 1").select("ref", "actor")
+    """References by host, date and program near a time, where just one actor fits: no other acts between the first event of the time and the last.
+
+    Each reference meets the last event before its end and the event at which that one's actor took over, so no pairs are made.
+    """
+    key, near = ["host", "day", "src_semantic"], 4 * HOUR
+    events = edges.select(*key, F.col("timestamp_ns").alias("t"), F.lit(1).alias("kind"), F.col("edge_id").alias("id"), "src")
+    ends = marked(edges).select(*key, (F.col("timestamp_ns") + HOUR + near).alias("t"), F.lit(2).alias("kind"), F.col("edge_id").alias("id"), F.lit(None).cast("string").alias("src"))
+    last = O.running_max(events.unionByName(ends), key, ["t", "kind", "id"], F.when(F.col("kind") == 1, F.struct("t", "id", "src")), "last")
+    takes_over = (F.col("kind") == 1) & (F.col("last").isNull() | (F.col("last.src") != F.col("src")))
+    found = O.running_max(last, key, ["t", "kind", "id"], F.when(takes_over, F.struct("t", "id", "src", F.col("last.t").alias("before"))), "start").where("kind = 2")
+    since = F.col("t") - 2 * near
+    alone = (F.col("start.t") < since) | F.col("start.before").isNull() | (F.col("start.before") < since)
+    return found.where((F.col("last.t") >= since) & alone).select(F.col("id").alias("ref"), F.col("start.src").alias("actor"))
 
 
 @edge_query(f" SELECT edge_id, CASE WHEN edge_id % {STEP} = 1 THEN 'no_decision' WHEN edge_id % {STEP} = 2 THEN 'differs' ELSE 'no_candidate' END AS fault FROM (SELECT edge_id FROM edges WHERE edge_id % {STEP} IN (1, 2) UNION ALL SELECT edge_id + 3000000000 - (edge_id + 3000000000) % {STEP} + 3 FROM edges WHERE edge_id % {STEP} = 4)")
