@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailgrain.operators import ordered as O
+from trailgrain.operators.graph import cut
+
 
 def basename(key: Column) -> Column:
     """Lower-case last part of a file's path; null for other keys."""
@@ -214,7 +217,17 @@ def shared_file_bridge(
 def command_line_executions(pois: DataFrame, executions: DataFrame, delay_ns: int, most: int = 2) -> DataFrame:
     """Executions (edge_id, timestamp_ns, host, command) whose command line names an opened or written file soon after it."""
     p = _poi(pois.where("relation in ('EVENT_OPEN', 'EVENT_WRITE')")).where("p_name <> ''")
-    # An equi-join on the words of the command that could be the name; the pattern then decides.
+    # An equi-join on the words of the command that could be the name. A name's executions have places in time, and a point of
+    # interest takes those after its own place, so that no name pairs all its executions with all its points of interest.
+    lane = lambda c: F.concat(F.lit("host:"), F.coalesce(F.col(c), F.lit("")))
+    lanes = F.when(F.coalesce("p_host", F.lit("")) == "", F.array(F.lit("all"))).otherwise(F.array(lane("p_host"), F.lit("host:")))
+    asks = cut(p.select("poi", "p_t", "p_name", F.explode(lanes).alias("lane")))
     words = executions.withColumn("p_name", F.explode(F.array_distinct(F.split(F.lower("command"), r"[^\w.\-]+"))))
-    found = p.join(words, "p_name").where(_within(0, delay_ns) & _same_host())
+    words = words.withColumn("lane", F.explode(F.array(lane("host"), F.lit("all")))).join(asks.select("p_name", "lane").distinct(), ["p_name", "lane"], "left_semi")
+    rows = words.select("p_name", "lane", "timestamp_ns", F.lit(1).alias("run"), "edge_id").unionByName(asks.select("p_name", "lane", F.col("p_t").alias("timestamp_ns"), F.lit(0).alias("run"), F.col("poi").alias("edge_id")))
+    placed = cut(O.running(rows, ["p_name", "lane"], ["timestamp_ns", "run", "edge_id"], before=F.col("run").cast("long")))
+    places = F.explode(F.sequence(F.col("before") + 1, F.col("before") + most)).alias("place")
+    took = placed.where("run = 0").select("p_name", "lane", F.col("edge_id").alias("poi"), F.col("timestamp_ns").alias("p_t"), places)
+    runs = placed.where("run = 1").select("p_name", "lane", "edge_id", "timestamp_ns", (F.col("before") + 1).alias("place"))
+    found = took.join(runs, ["p_name", "lane", "place"]).where(_within(0, delay_ns))
     return _first(found, most).select("edge_id").distinct()
