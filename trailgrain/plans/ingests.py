@@ -8,19 +8,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailgrain.operators import store
+from trailgrain.operators.graph import cut
 from trailgrain.plans.pages import folder
 from trailgrain.plans.registry import edge_query
 from trailgrain.sources import avro, cdm, ecar, sysdig
 from trailgrain.streaming.arrivals import Arrivals
 
 
+LINES_A_FILE = 50_000  # a file that is gzipped is one task's work
+
+
 def reads() -> Column:
     return F.col("relation") == "EVENT_READ"
 
 
 def written_lines(lines: DataFrame, name: str) -> str:
     path = folder(lines, name)
-    lines.write.text(path, compression="gzip")
+    lines.write.option("maxRecordsPerFile", LINES_A_FILE).text(path, compression="gzip")
     return path
 
 
@@ -100,12 +104,15 @@ def cdm_malformed(edges: DataFrame) -> DataFrame:
 
 @edge_query(f", {CDM_NODES}, d AS (SELECT * FROM cdm WHERE CAST(substr(uuid, 2) AS BIGINT) % 3 <> 0 OR node_type = 'process') SELECT 'e' || edge_id AS event_id, src, dst, coalesce(a.node_type, 'unknown') AS src_type, coalesce(a.semantic_key, src) AS src_semantic, coalesce(b.node_type, 'unknown') AS dst_type, coalesce(b.semantic_key, dst) AS dst_semantic FROM edges LEFT JOIN d a ON a.uuid = src LEFT JOIN d b ON b.uuid = dst")
 def ingested_edges(edges: DataFrame) -> DataFrame:
-    """Records ingested: nodes of which a third is not declared, events that come twice; the wide view over them."""
-    recs = cdm_records(edges)
+    """Records ingested: nodes of which a third is not declared, events that come twice; the wide view over them.
+
+    Lines are parsed once; what several steps need is cut, as each would parse them again.
+    """
+    recs = cut(cdm_records(edges))
     nodes = cdm.nodes(recs).where("cast(substr(uuid, 2) as bigint) % 3 <> 0 or node_type = 'process'")
-    own = cdm.edges(recs)
-    once = store.deduplicated(own.union(own))
-    whole = store.with_placeholders(store.upserted(nodes.withColumn("n", F.lit(1)), "n"), once)
+    own = cut(cdm.edges(recs))
+    once = cut(store.deduplicated(own.union(own)))
+    whole = cut(store.with_placeholders(cut(store.upserted(nodes.withColumn("n", F.lit(1)), "n")), once))
     return store.wide(once, whole).select("event_id", "src", "dst", "src_type", "src_semantic", "dst_type", "dst_semantic")
 
 

@@ -43,22 +43,28 @@ def records(lines: DataFrame) -> DataFrame:
     datum = F.expr("coalesce(try_variant_get(v, '$.datum', 'map<string,variant>'), try_variant_get(v, '$', 'map<string,variant>'))")
     whole = F.expr("coalesce(try_variant_get(v, '$.datum', 'variant'), v)")
     named = F.expr("coalesce(try_variant_get(v, '$.datumType', 'string'), try_variant_get(v, '$.typeName', 'string'))")
-    rows = lines.where("v is not null").withColumn("datum", datum).withColumn("named", named).withColumn("whole", whole)
+    # Filters do not move below the explode, where they would parse each line again for every use of v.
+    rows = lines.select(F.explode(F.array(F.struct(datum.alias("datum"), named.alias("named"), whole.alias("whole")))).alias("r")).select("r.*")
     nested = F.expr("size(datum) = 1 and try_variant_get(map_values(datum)[0], '$', 'map<string,variant>') is not null")
     kind = F.when(nested, F.map_keys("datum")[0]).otherwise(F.col("named"))
     body = F.when(nested, F.map_values("datum")[0]).otherwise(F.col("whole"))
     return rows.where(F.expr("size(datum) > 0")).select(F.element_at(F.split(kind, r"\."), -1).alias("kind"), body.alias("body")).where("kind is not null")
 
 
-def properties() -> Column:
+def property_maps() -> tuple[Column, Column]:
+    """The record's own property map and that of its base object."""
+    return tuple(F.coalesce(F.expr(f"try_variant_get(body, '$.{at}properties.map', 'map<string,string>')"), F.expr(f"try_variant_get(body, '$.{at}properties', 'map<string,string>')")) for at in ("", "baseObject."))
+
+
+def properties(fields: tuple[str, ...] = PROPERTY_FIELDS) -> Column:
     """Merged property map; named fields win over properties of the base object, and those over the record's own map."""
-    own = F.coalesce(F.expr("try_variant_get(body, '$.properties.map', 'map<string,string>')"), F.expr("try_variant_get(body, '$.properties', 'map<string,string>')"))
-    base = F.coalesce(F.expr("try_variant_get(body, '$.baseObject.properties.map', 'map<string,string>')"), F.expr("try_variant_get(body, '$.baseObject.properties', 'map<string,string>')"))
-    named = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(f).alias("key"), scalar(f).alias("value")) for f in PROPERTY_FIELDS]), lambda e: e.value.isNotNull() & (e.value != "")))
+    maps = [*property_maps()]
+    if fields:
+        maps.append(F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(f).alias("key"), scalar(f).alias("value")) for f in fields]), lambda e: e.value.isNotNull() & (e.value != ""))))
     empty = F.expr("map()").cast("map<string,string>")
-    entries = F.concat(*[F.map_entries(F.coalesce(m, empty)) for m in (own, base, named)])
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries) + 1), lambda x: x.key == e.key) & (e.value != ""))
-    return F.map_from_entries(last)
+    entries = F.concat(*[F.map_entries(F.coalesce(m, empty)) for m in maps])
+    last = lambda es: F.filter(es, lambda e, i: ~F.exists(F.slice(es, i + 2, F.size(es) + 1), lambda x: x.key == e.key) & (e.value != ""))
+    return F.map_from_entries(F.transform(F.array(entries), last)[0])  # bound once; the lambda would evaluate them for each entry
 
 
 def semantic_key(node_type: Column, label: Column) -> Column:
@@ -87,7 +93,9 @@ def nodes(recs: DataFrame) -> DataFrame:
 
 def mentioned(recs: DataFrame) -> DataFrame:
     """Nodes that events describe: the subject by the program or command in its properties, and objects by their paths."""
-    events = recs.where("kind = 'Event'").select(
+    own, base = property_maps()
+    told = own.isNotNull() | base.isNotNull() | (scalar("predicateObjectPath") != "") | (scalar("predicateObject2Path") != "")  # most events describe none
+    events = recs.where((F.col("kind") == "Event") & told).select(
         "body", scalar("subject").alias("subject"), F.coalesce(scalar("hostId"), F.lit("")).alias("host"), properties().alias("p"),
         *[scalar(f).alias(f) for f in ("predicateObject", "predicateObject2", "predicateObjectPath", "predicateObject2Path")],
     )
@@ -104,7 +112,7 @@ def edges(recs: DataFrame) -> DataFrame:
     """Events as directed flow, one edge for each object (the second with the suffix :2), and the lineage of subjects."""
     valid = lambda f: F.when(F.expr(f"try_cast(x_{f} as bigint)") >= 0, F.expr(f"try_cast(x_{f} as bigint)"))
     size = F.coalesce(*[valid(f) for f in SIZE_FIELDS])
-    own = recs.where("kind = 'Event'").withColumn("p", properties()).withColumns({f"x_{f}": F.coalesce(scalar(f), F.col("p")[f]) for f in SIZE_FIELDS})
+    own = recs.where("kind = 'Event'").withColumn("p", properties(())).withColumns({f"x_{f}": F.coalesce(scalar(f), F.col("p")[f]) for f in SIZE_FIELDS})
     events = own.select(
         scalar("uuid").alias("event_id"), scalar("subject").alias("subject"), F.coalesce(scalar("type"), F.lit("EVENT_UNKNOWN")).alias("relation"),
         F.coalesce(F.expr("try_variant_get(body, '$.timestampNanos', 'bigint')"), scalar("timestampNanos").cast("long"), F.lit(0)).alias("timestamp_ns"),
