@@ -67,20 +67,22 @@ def stage_paths(edges: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFram
 
     edges: (edge_id, src, dst, relation, timestamp_ns, score). A way leaves the first event's causal target or the end from which
     it is traced, goes along causal directions strictly in order between both, and ends at the second's causal source or its own
-    such end. status: `absent` (an event is not there), `backwards`, `disconnected` or `connected`; equal ends need no event. The
-    windows of a sequence's pairs don't overlap, so an event is looked at once a sequence at most.
+    such end. status: `absent` (an event is not there), `backwards`, `disconnected` or `connected`; equal ends need no event. An
+    event meets only the pairs whose window it is in: one a sequence, if that is in time order.
     """
     order = F.struct("timestamp_ns", "edge_id")
     rows = edges.select("edge_id", E.causal_source().alias("from"), E.causal_target().alias("to"), E.investigation_anchor().alias("anchor"), "timestamp_ns", event_cost().alias("cost"), order.alias("at"))
-    rows = cut(rows)
-    one = rows.select(F.col("edge_id").alias("start"), F.array_distinct(F.array("to", "anchor")).alias("outs"), F.col("at").alias("since"))
-    two = rows.select(F.col("edge_id").alias("target"), F.array_distinct(F.array("from", "anchor")).alias("ins"), F.col("at").alias("until"))
+    # Starts cut time into stretches: an event is in the one after the last start before it, and a pair's window is whole stretches but for its end.
+    begins = pairs.select(F.col("start").alias("edge_id"), F.lit(1).cast("long").alias("begins")).distinct()
+    rows = cut(O.running(rows.join(begins, "edge_id", "left"), [], ["timestamp_ns", "edge_id"], stretch=F.coalesce("begins", F.lit(0).cast("long"))).drop("begins"))
+    one = rows.select(F.col("edge_id").alias("start"), F.array_distinct(F.array("to", "anchor")).alias("outs"), F.col("at").alias("since"), (F.col("stretch") + 1).alias("first"))
+    two = rows.select(F.col("edge_id").alias("target"), F.array_distinct(F.array("from", "anchor")).alias("ins"), F.col("at").alias("until"), F.col("stretch").alias("last"))
     both = pairs.join(one, "start", "left").join(two, "target", "left")
     here = F.when(F.col("since").isNull() | F.col("until").isNull(), "absent").when(F.col("until") <= F.col("since"), "backwards").when(F.arrays_overlap("outs", "ins"), "connected")
     known = cut(both.withColumn("status", here))
-    open_ = known.where("status is null").select("pair", "outs", "ins", F.col("since.timestamp_ns").alias("lo"), F.col("until.timestamp_ns").alias("hi"), "since", "until")
-    inside = rows.join(F.broadcast(open_.select("pair", "lo", "hi", "since", "until")), F.col("timestamp_ns").between(F.col("lo"), F.col("hi")))  # a row a declared pair
-    inside = inside.where((F.col("at") > F.col("since")) & (F.col("at") < F.col("until"))).select("pair", "edge_id", "from", "to", "timestamp_ns", "cost")
+    open_ = known.where("status is null").select("pair", "outs", "ins", "until", "first", "last")
+    windows = open_.select("pair", "until", F.explode(F.sequence("first", "last")).alias("stretch"))  # the start is before the end, so first <= last
+    inside = rows.join(windows, "stretch").where(F.col("at") < F.col("until")).select("pair", "edge_id", "from", "to", "timestamp_ns", "cost")
     # A pair's copy of an event is a node table of its own; t numbers them in order, and edge_id is that number for the rounds.
     placed = cut(O.ranked(inside, ["pair"], ["timestamp_ns", "edge_id"], "t"))
     named = O.ranked(placed, [], ["edge_id", "pair"], "name")  # ascends with edge_id, so ties go as they should

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailgrain.operators import bridges as B
+from trailgrain.operators import ordered as O
 from trailgrain.operators import pruning as P
 from trailgrain.operators import sessions as S
 from trailgrain.operators.graph import cut
@@ -76,8 +77,7 @@ def cost_bridges(edges: DataFrame) -> DataFrame:
 def stages(edges: DataFrame) -> DataFrame:
     """The points of interest of each host in time order, as one sequence: (sequence, position, edge_id)."""
     own = edges.join(pois(edges).select("edge_id"), "edge_id", "left_semi")
-    before = own.alias("a").join(own.alias("b"), (F.col("a.host") == F.col("b.host")) & (F.struct("b.timestamp_ns", "b.edge_id") < F.struct("a.timestamp_ns", "a.edge_id")), "left")  # a few rows a host
-    return before.groupBy(F.col("a.host").alias("sequence"), F.col("a.edge_id").alias("edge_id")).agg(F.count("b.edge_id").alias("position"))
+    return O.ranked(own, ["host"], ["timestamp_ns", "edge_id"]).select(F.col("host").alias("sequence"), "edge_id", (F.col("place") - 1).alias("position"))
 
 
 @edge_query(None)
