@@ -96,23 +96,26 @@ def witnesses(labels: DataFrame, back: DataFrame, k: int = 3) -> DataFrame:
     rows = labels.limit(0).select(F.col("edge_id").alias("anchor"), "slot", F.lit("").alias("part"), F.lit(0).alias("position"), "edge_id")
     for o in out:
         rows = rows.unionByName(o)
-    rows = cut(rows)
-    sets = rows.groupBy("anchor", "slot").agg(F.array_sort(F.collect_set("edge_id")).alias("events"))
-    first = sets.groupBy("anchor", "events").agg(F.min("slot").alias("slot")).withColumn("new", F.row_number().over(Window.partitionBy("anchor").orderBy("slot")) - 1).select("anchor", "slot", "new")
-    return rows.join(first, ["anchor", "slot"]).select("anchor", F.col("new").alias("slot"), "part", "position", "edge_id")
+    # An anchor's ways are moved once, as lists: all that follows goes by anchor.
+    ways = rows.repartition("anchor").groupBy("anchor", "slot").agg(F.collect_list(F.struct("part", "position", "edge_id")).alias("way"))
+    sets = ways.withColumn("events", F.array_sort(F.array_distinct(F.transform("way", lambda e: e["edge_id"]))))
+    first = sets.groupBy("anchor", "events").agg(F.min_by("way", "slot").alias("way"), F.min("slot").alias("slot")).withColumn("new", F.row_number().over(Window.partitionBy("anchor").orderBy("slot")) - 1)
+    return first.select("anchor", F.col("new").alias("slot"), F.explode("way").alias("e")).select("anchor", "slot", "e.*")
 
 
 def witness_faults(rows: DataFrame, events: DataFrame, pois: DataFrame) -> DataFrame:
     """Links of witnesses that are not directed and strictly in time, and witnesses that do not end at a point of interest: (anchor, slot, fault)."""
     own = events.select("edge_id", "src", "dst", "t").join(pois.select("edge_id", F.lit(True).alias("poi")), "edge_id", "left").fillna(False, ["poi"])
-    at = cut(rows.join(own, "edge_id"))
-    last = at.where("part = 'forward'").groupBy("anchor", "slot").agg(F.max("position").alias("end"))
-    nxt = at.select("anchor", "slot", "part", (F.col("position") - 1).alias("position"), *[F.col(c).alias(f"p_{c}") for c in ("src", "dst", "t", "poi")])
-    links = at.join(nxt, ["anchor", "slot", "part", "position"]).join(last, ["anchor", "slot"])
+    at = rows.join(own.withColumn("known", F.lit(True)), "edge_id", "left")  # events that are not known link nothing
+    whole, w = Window.partitionBy("anchor", "slot"), Window.partitionBy("anchor", "slot").orderBy("part", "position")
+    ahead_of = {f"p_{c}": F.lead(c).over(w) for c in ("part", "position", "src", "dst", "t", "poi", "known")}
+    links = at.withColumns(ahead_of | {"end": F.max(F.when(F.col("known") & (F.col("part") == "forward"), F.col("position"))).over(whole)})
+    linked = F.expr("known and p_known and p_part = part and p_position = position + 1")
     pivot = F.col("position") + 1 == F.col("end")
     ahead = ((F.col("p_dst") == F.col("src")) | (pivot & (F.col("p_src") == F.col("src")))) & (F.col("p_t") < F.col("t"))
     behind = ((F.col("dst") == F.col("p_src")) | (F.col("p_poi") & (F.col("dst") == F.col("p_dst")))) & (F.col("t") < F.col("p_t"))
-    broken = links.where(~F.when(F.col("part") == "forward", ahead).otherwise(behind)).select("anchor", "slot", F.lit("broken link").alias("fault"))
-    ends = at.where("part = 'back'").groupBy("anchor", "slot").agg(F.max_by("poi", "position").alias("poi"))
-    lost = rows.select("anchor", "slot").distinct().join(ends, ["anchor", "slot"], "left").where("not coalesce(poi, false)").select("anchor", "slot", F.lit("no point of interest").alias("fault"))
-    return broken.distinct().unionByName(lost)
+    broken = F.max(linked & F.col("end").isNotNull() & ~F.when(F.col("part") == "forward", ahead).otherwise(behind))
+    back = F.when(F.col("known") & (F.col("part") == "back"), F.col("position"))
+    found = links.groupBy("anchor", "slot").agg(broken.alias("broken"), F.max_by("poi", back).alias("poi"))
+    faults = F.array_compact(F.array(F.when(F.col("broken"), "broken link"), F.when(~F.coalesce("poi", F.lit(False)), "no point of interest")))
+    return found.select("anchor", "slot", F.explode(faults).alias("fault"))

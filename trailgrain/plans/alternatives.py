@@ -37,6 +37,6 @@ def witness_chain_faults(edges: DataFrame) -> DataFrame:
     events, back, labels = labelled(edges)
     rows = cut(A.witnesses(labels, back))
     planted = (F.col("anchor") % 50 == 0) & (F.col("part") == "back") & (F.col("position") == 0)
-    broken = cut(rows.withColumn("edge_id", F.when(planted, F.col("edge_id") + 1).otherwise(F.col("edge_id"))))
+    broken = rows.withColumn("edge_id", F.when(planted, F.col("edge_id") + 1).otherwise(F.col("edge_id")))
     found = [A.witness_faults(r, events, pois(edges)).groupBy("fault").agg(F.count("*").alias("rows")).select(F.lit(n).alias("witnesses"), "fault", "rows") for n, r in (("own", rows), ("planted", broken))]
     return found[0].unionByName(found[1])
